@@ -6,12 +6,12 @@ fixed width, so scoring needs no join and no shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Width of the hashed feature space, and the n-gram sizes.
 WIDTH, SIZES = 2048, (3, 4)
-MOST_RULES, MOST_LABELS = 500, 5_000
+MOST_RULES, MOST_LABELS = 500, 200
 
 # The small labelled URL table (1: allow, 0: block).
 LABELLED_URLS = """
@@ -112,27 +112,41 @@ def score(w: list[float], f: Column) -> Column:
     return F.lit(1.0) / (F.exp(-(total / F.greatest(F.size(f), F.lit(1)) + F.lit(w[WIDTH]))) + 1.0)
 
 
-def train(labelled: DataFrame, rounds: int = 12, rate: float = 900.0) -> list[float]:
+def train(labelled: DataFrame, rounds: int = 400, rate: float = 300.0, bias: float = 0.1) -> list[float]:
     """WIDTH weights and a bias (last) by gradient descent over a small table.
 
     ``labelled`` (url, label 0/1) may hold at most MOST_LABELS rows; rows with
     nulls are left out, and none gives a model that answers 0.5. A row's
     features are shares of its n-grams, so long URLs weigh as much as short
-    ones. Only sums over the bounded feature space reach the driver.
+    ones. The descent runs in the dual: each step moves one coefficient per
+    row, over the rows' inner products, inside one expression. Only the
+    weights, bounded by the feature space, reach the driver.
     """
-    rows = labelled.where("url is not null and label is not null").select(F.col("label").cast("double").alias("label"), features(host_of(F.col("url")), path_of(F.col("url"))).alias("f"))
-    rows = rows.coalesce(1).persist()
-    w = [0.0] * (WIDTH + 1)
-    n = rows.count()
+    n = labelled.count()
     if n > MOST_LABELS:
         raise ValueError(f"more than {MOST_LABELS} labelled URLs")
-    for _ in range(rounds if n else 0):
-        wrong = rows.select((F.col("label") - score(w, F.col("f"))).alias("e"), "f")
-        parts = wrong.select("e", F.size("f").alias("n"), F.explode(F.concat("f", F.array(F.lit(WIDTH)))).alias("i"))
-        step = parts.groupBy("i").agg(F.sum(F.col("e") / F.when(F.col("i") == WIDTH, F.lit(100.0)).otherwise(F.greatest("n", F.lit(1)))).alias("g"))
-        for i, g in step.collect():
-            w[i] += rate / n * g
-    rows.unpersist()
+    w = [0.0] * (WIDTH + 1)
+    rows = labelled.where("url is not null and label is not null").select(
+        F.row_number().over(Window.orderBy("url", "label")).alias("k"), F.col("label").cast("double").alias("y"), features(host_of(F.col("url")), path_of(F.col("url"))).alias("f")
+    )
+    cells = rows.select("k", "y", F.size("f").alias("n"), F.explode("f").alias("i")).groupBy("k", "y", "i").agg((F.count("*") / F.first("n")).alias("x"))
+    cells = cells.unionByName(rows.select("k", "y", F.lit(WIDTH).alias("i"), F.lit(bias).alias("x"))).coalesce(1).persist()
+    other = cells.select(F.col("k").alias("j"), "i", F.col("x").alias("z"))
+    inner = cells.join(other, "i").groupBy("k", "y", "j").agg(F.sum(F.col("x") * F.col("z")).alias("d"))
+    line = inner.groupBy("k", "y").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "d"))), lambda c: c["d"]).alias("d"))
+    table = line.groupBy().agg(F.sort_array(F.collect_list(F.struct("k", "y", "d"))).alias("rows"), F.count("*").alias("n"))
+
+    def step(a: Column, _: Column) -> Column:
+        def moved(row: Column, i: Column) -> Column:
+            z = F.aggregate(F.zip_with(row["d"], a, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+            return F.get(a, i) + rate / F.col("n") * (row["y"] - F.lit(1.0) / (F.exp(-z) + 1.0))
+
+        return F.transform("rows", moved)
+
+    dual = table.select(F.posexplode(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.transform("rows", lambda r: F.lit(0.0)), step)).alias("p", "a")).select((F.col("p") + 1).alias("k"), "a")
+    for i, v in cells.join(dual, "k").groupBy("i").agg(F.sum(F.col("x") * F.col("a")).alias("v")).collect():
+        w[i] = v * bias if i == WIDTH else v
+    cells.unpersist()
     return w
 
 
