@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, simhash, telephony, token_counts, url_filter
+from . import bpe, embedding_dedup, simhash, telephony, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_links(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.media_columns(_table(spark, sf_dir, "documents"), keep_media=False)
 
@@ -44,6 +49,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_embedding_near_dedup, op4_media_columns, op5_simhash_near_dedup, op6_token_counts, op9_byte_bpe, op10_url_filter)
+    f.__name__: f for f in (op1_embedding_near_dedup, op3_toxicity, op4_media_columns, op5_simhash_near_dedup, op6_token_counts, op9_byte_bpe, op10_url_filter)
 }
 ORACLE_SQL: dict[str, str] = {}
