@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, simhash, telephony, token_counts, toxicity, url_filter
+from . import bpe, embedding_dedup, mixing, simhash, telephony, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,71 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_links(_table(spark, sf_dir, "embeddings"))
 
 
+def source_domain() -> Column:
+    """The domain of a source: by the number at its end."""
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]+)$", 1)
+    return F.when(number == "", F.lit("other")).when(F.length(number) > 4, F.lit("forum")).when(number.cast("int") < 1, F.lit("web")).when(number.cast("int") < 10, F.lit("reference")).otherwise(F.lit("forum"))
+
+
+#: Target weights; every source of a language weighs the same.
+DOMAIN_WEIGHTS = {"web": 4, "reference": 4, "forum": 3}
+LANG_WEIGHTS = {"en": 5, "de": 2, "fr": 2, "es": 1}
+
+
+def mix_weights() -> dict[str, Column]:
+    def of(level: str, table: dict[str, int]) -> Column:
+        out = F.lit(1)
+        for name, w in table.items():
+            out = F.when(F.col(level) == name, F.lit(w)).otherwise(out)
+        return out
+
+    return {"domain": of("domain", DOMAIN_WEIGHTS), "lang": of("lang", LANG_WEIGHTS), "source": F.lit(1)}
+
+
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    mixed = mixing.mix(docs, source_domain(), mix_weights())
+    return mixed.select("doc_id", "lang", "source", "mix_domain", "mix_tokens", "mix_epoch")
+
+
+def _level_sql(level: str, up: str, by: str, weight: str) -> str:
+    """Common table expressions that fill one level of the tree."""
+    names = f"{up}, {level}" if up else level
+    start = f"SELECT c.*, g.given FROM n_{level} c JOIN b_{by}_given g USING ({up})" if by else f"SELECT c.*, (SELECT sum(tokens) FROM leaves)::BIGINT AS given FROM n_{level} c"
+    part = f"PARTITION BY {up}" if up else ""
+    return f"""
+n_{level} AS (SELECT {names}, sum(tokens)::BIGINT AS tokens, 3 * sum(tokens)::BIGINT AS capacity, {weight} AS weight FROM leaves GROUP BY {names}),
+s_{level} AS ({start}),
+r_{level} AS (SELECT *, coalesce(sum(capacity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken, sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w
+  FROM s_{level} WINDOW w AS ({part} ORDER BY capacity / weight, {level})),
+f_{level} AS (SELECT *, capacity::HUGEINT * open_w <= greatest(given - taken, 0)::HUGEINT * weight AS is_full FROM r_{level}),
+l_{level} AS (SELECT *, greatest(given - sum(CASE WHEN is_full THEN capacity ELSE 0 END) OVER ({part}), 0)::HUGEINT AS left_over, sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER ({part}) AS rest_w FROM f_{level}),
+b_{level} AS (SELECT {names}, tokens, CASE WHEN is_full THEN capacity ELSE least(capacity, (left_over * weight) // greatest(rest_w, 1)) END::BIGINT AS budget FROM l_{level}),
+b_{level}_given AS (SELECT {names}, budget AS given FROM b_{level}),"""
+
+
+def _case_sql(level: str, table: dict[str, int]) -> str:
+    return f"CASE {level} " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in table.items()) + " ELSE 1 END"
+
+
+def mix_sql(docs: str = "documents", out: str = "doc_id, lang, source, domain AS mix_domain, tokens AS mix_tokens, epoch AS mix_epoch") -> str:
+    words = "trim(regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')"
+    return f"""
+WITH raw AS (SELECT *, {words} AS words, regexp_extract(coalesce(source, ''), '([0-9]+)$', 1) AS number FROM {docs}),
+d AS (SELECT *, coalesce(lang, '') AS k_lang, coalesce(source, '') AS k_source,
+  CASE WHEN number = '' THEN 'other' WHEN length(number) > 4 THEN 'forum' WHEN number::INT < 1 THEN 'web' WHEN number::INT < 10 THEN 'reference' ELSE 'forum' END AS domain,
+  CASE WHEN words = '' THEN 0 ELSE length(words) - length(replace(words, ' ', '')) + 1 END::BIGINT AS n FROM raw),
+leaves AS (SELECT domain, k_lang, k_source, sum(n)::BIGINT AS tokens FROM d GROUP BY ALL),
+{_level_sql("domain", "", "", _case_sql("domain", DOMAIN_WEIGHTS))}
+{_level_sql("k_lang", "domain", "domain", _case_sql("k_lang", LANG_WEIGHTS))}
+{_level_sql("k_source", "domain, k_lang", "k_lang", "1")}
+plan AS (SELECT domain, k_lang, k_source, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS whole, budget - CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END * tokens AS rest FROM b_k_source),
+placed AS (SELECT d.*, whole, rest, md5('7:' || (whole + 1)::VARCHAR || ':' || coalesce(doc_id::VARCHAR, '')) AS k FROM d JOIN plan USING (domain, k_lang, k_source)),
+summed AS (SELECT *, sum(n) OVER (PARTITION BY domain, k_lang, k_source ORDER BY k, text ROWS UNBOUNDED PRECEDING) AS upto FROM placed),
+picked AS (SELECT *, unnest(range(1, whole + 1 + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END))::INT AS epoch, n AS tokens FROM summed)
+SELECT {out} FROM picked"""
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
@@ -49,6 +115,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_embedding_near_dedup, op3_toxicity, op4_media_columns, op5_simhash_near_dedup, op6_token_counts, op9_byte_bpe, op10_url_filter)
+    f.__name__: f for f in (op1_embedding_near_dedup, op2_source_mix, op3_toxicity, op4_media_columns, op5_simhash_near_dedup, op6_token_counts, op9_byte_bpe, op10_url_filter)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_source_mix": mix_sql()}
