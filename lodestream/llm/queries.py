@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, mixing, simhash, telephony, token_counts, toxicity, url_filter
+from . import bpe, embedding_dedup, kneser_ney, mixing, simhash, suffix_dedup, telephony, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,6 +101,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.mark_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digests=True, keep_ids=False)
 
@@ -115,6 +123,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_embedding_near_dedup, op2_source_mix, op3_toxicity, op4_media_columns, op5_simhash_near_dedup, op6_token_counts, op9_byte_bpe, op10_url_filter)
+    f.__name__: f for f in (op1_embedding_near_dedup, op2_source_mix, op3_toxicity, op4_media_columns, op5_simhash_near_dedup, op6_token_counts, op7_quality_classifier, op8_suffix_array_dedup, op9_byte_bpe, op10_url_filter)
 }
 ORACLE_SQL: dict[str, str] = {"op2_source_mix": mix_sql()}

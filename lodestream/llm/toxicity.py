@@ -328,3 +328,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     at = bare(docs, id_col, text_col).withColumn("held_out", held_out("doc_id"))
     return at.mapInArrow(run, f"doc_id long, held_out boolean, score double{extra}").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "toxicity") -> DataFrame:
+    """The input's rows and columns, and each whole text's score as a further column ``name``."""
+    from pyspark.sql import types as T
+
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = shared.value.scorer()
+        for batch in batches:
+            scores = [scorer.score(t or "") for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
