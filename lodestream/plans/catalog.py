@@ -1,10 +1,10 @@
-"""Registered queries over the driver's tables, with the SQL that checks each."""
+"""All registered queries over the driver's tables, with the SQL that checks each."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import dedup_queries, rank_queries, time_queries
+from .base import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+REGISTRIES = (time_queries.REG, dedup_queries.REG, rank_queries.REG)
+QUERIES: dict[str, Query] = {k: v for r in REGISTRIES for k, v in r.queries.items()}
+ORACLE_SQL: dict[str, str] = {k: v for r in REGISTRIES for k, v in r.sql.items()}
