@@ -82,18 +82,49 @@ def _ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return flat[shift + np.arange(ends[-1] if len(ends) else 0)]
 
 
+#: Ranks below FEW are a byte of their own; the others are a byte for their class and 14 bits.
+FEW, LOW_BITS = 192, 14
+
+
+def _pack_ranks(ranks_: np.ndarray) -> bytes:
+    """Frequency ranks, as a skewed byte stream and the low bits of the rare ones."""
+    rest = ranks_.astype(np.int64) - FEW
+    rare = rest >= 0
+    if len(rest) and (rest.max() >> LOW_BITS) >= 256 - FEW:
+        return b"\0" + _pack(ranks_)
+    lead = np.where(rare, FEW + (rest >> LOW_BITS), ranks_).astype(np.uint8)
+    low = (rest[rare] & ((1 << LOW_BITS) - 1)).astype("<u2").view(np.uint8).reshape(-1, 2).T
+    return b"\1" + zstandard.ZstdCompressor(level=3).compress(len(lead).to_bytes(8, "little") + lead.tobytes() + np.ascontiguousarray(low).tobytes())
+
+
+def _unpack_ranks(blob: bytes) -> np.ndarray:
+    if blob[:1] == b"\0":
+        return _unpack(blob[1:])
+    raw = zstandard.ZstdDecompressor().decompress(blob[1:])
+    n = int.from_bytes(raw[:8], "little")
+    lead = np.frombuffer(raw, dtype=np.uint8, offset=8, count=n)
+    low = np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8, offset=8 + n).reshape(2, -1).T).view("<u2").reshape(-1)
+    out = lead.astype(np.uint32)
+    rare = lead >= FEW
+    out[rare] = FEW + ((lead[rare].astype(np.uint32) - FEW) << LOW_BITS) + low
+    return out
+
+
 def _bucket(words: list[bytes], n: int) -> np.ndarray:
     import xxhash
 
     return np.fromiter((xxhash.xxh32_intdigest(w) for w in words), dtype=np.int64, count=len(words)) % n
 
 
+BLOCKS = "block long, part int, bucket int, payload binary, lengths binary, doc_ids array<long>, sizes array<int>"
+
+
 def _blocks(docs: DataFrame, pattern: str, buckets: int, block_bytes: int) -> DataFrame:
     """Distinct words of blocks of documents by bucket, and the documents as word positions.
 
-    part 0: one row for each block and bucket, payload = the block's distinct
-    words there with their numbers; part 1: documents of a block, payload =
-    word numbers in text order.
+    A block's words are numbered by how often it has them. part 0: a bucket's
+    words of the block, in order; part 1: documents of the block as numbers in
+    text order; part 2: the numbers of the words, bucket by bucket.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,43 +132,42 @@ def _blocks(docs: DataFrame, pattern: str, buckets: int, block_bytes: int) -> Da
 
         find, task, k, held = splitter(pattern), TaskContext.get().partitionId(), 0, 0
         number: defaultdict[str, int] = defaultdict(count().__next__)
+        seqs: list[tuple[np.ndarray, list, list[int]]] = []
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                ids = part.column("doc_id").to_pylist()
-                block = task << 24 | k
-                seqs = [[number[w] for w in find(t)] for t in texts]
-                flat = np.fromiter((x for s in seqs for x in s), dtype=np.uint32)
-                yield _row(block, 1, 0, _pack(flat), ids, [len(s) for s in seqs])
+                own = [np.fromiter(map(number.__getitem__, find(t)), dtype=np.uint32) for t in texts]
+                seqs.append((np.concatenate(own), part.column("doc_id").to_pylist(), [len(x) for x in own]))
                 held += sum(map(len, texts))
                 if held >= block_bytes:
-                    yield from words(block, number)
-                    number, held, k = defaultdict(count().__next__), 0, k + 1
-        if number:
-            yield from words(task << 24 | k, number)
-
-    def words(block: int, number: dict[str, int]) -> Iterator[pa.RecordBatch]:
+                    yield from block(task << 24 | k, number, seqs)
+                    number, seqs, held, k = defaultdict(count().__next__), [], 0, k + 1
+        if seqs:
+            yield from block(task << 24 | k, number, seqs)
+
+    def block(name: int, number: dict[str, int], seqs: list) -> Iterator[pa.RecordBatch]:
+        often = sum((np.bincount(s, minlength=len(number)) for s, _, _ in seqs), np.zeros(len(number), np.int64))
+        rank = np.empty(len(number), dtype=np.uint32)
+        rank[np.argsort(-often, kind="stable")] = np.arange(len(number))
+        for a in range(0, len(seqs), 4):
+            some = seqs[a : a + 4]
+            flat = rank[np.concatenate([s for s, _, _ in some])] if len(rank) else np.zeros(0, np.uint32)
+            yield _row(name, 1, 0, _pack_ranks(flat), None, [i for _, ids, _ in some for i in ids], [n for _, _, sizes in some for n in sizes])
         every = [w.encode() for w in number]
         where = _bucket(every, buckets)
-        order = np.argsort(where, kind="stable")
+        order = np.array(sorted(range(len(every)), key=every.__getitem__), dtype=np.int64)
+        order = order[np.argsort(where[order], kind="stable")]
         edges = np.searchsorted(where[order], np.arange(buckets + 1))
+        yield _row(name, 2, 0, _pack(rank[order]), None, None, np.diff(edges).tolist())
         for b in np.flatnonzero(np.diff(edges)).tolist():
-            mine = order[edges[b] : edges[b + 1]]
-            mine = np.array(sorted(mine.tolist(), key=every.__getitem__), dtype=np.int64)
-            own = [every[i] for i in mine.tolist()]
-            payload = zstandard.ZstdCompressor(level=3).compress(b"".join(own))
-            # doc_ids: the numbers; sizes: the lengths, both of the words in this bucket
-            yield _row(block, 0, b, payload, None, None, _pack(mine), _pack(np.fromiter(map(len, own), dtype=np.int64)))
+            own = [every[i] for i in order[edges[b] : edges[b + 1]].tolist()]
+            yield _row(name, 0, b, zstandard.ZstdCompressor(level=6).compress(b"".join(own)), _pack(np.fromiter(map(len, own), dtype=np.int64)), None, None)
 
     return docs.mapInArrow(run, BLOCKS)
 
 
-BLOCKS = "block long, part int, bucket int, payload binary, doc_ids array<long>, sizes array<int>, numbers binary, lengths binary"
-
-
-def _row(block: int, part: int, bucket: int, payload: bytes, ids: list | None, sizes: list | None, numbers: bytes | None = None, lengths: bytes | None = None) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
-    cells = [block, part, bucket, payload, ids, sizes, numbers, lengths]
+def _row(*cells) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
     return pa.RecordBatch.from_arrays([pa.array([c], type=t) for c, t in zip(cells, kinds, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
 
@@ -158,9 +188,9 @@ def _encoded(blocks: DataFrame, path: str, pattern: str) -> DataFrame:
         flat = np.fromiter((x for y in ids for x in y), dtype=np.uint32, count=int(sizes.sum()))
         starts = np.cumsum(sizes) - sizes
         out = [(_pack(_ragged(flat, starts[m], sizes[m])), _pack(sizes[m])) for m in mine]
-        return pa.table({"block": group.column("block"), "numbers": group.column("numbers"), "ids": pa.array([x for x, _ in out], pa.binary()), "lengths": pa.array([x for _, x in out], pa.binary())})
+        return pa.table({"block": group.column("block"), "bucket": group.column("bucket"), "ids": pa.array([x for x, _ in out], pa.binary()), "lengths": pa.array([x for _, x in out], pa.binary())})
 
-    return blocks.where("part = 0").select("bucket", "block", "payload", "numbers", "lengths").groupBy("bucket").applyInArrow(run, "block long, numbers binary, ids binary, lengths binary")
+    return blocks.where("part = 0").select("bucket", "block", "payload", "lengths").groupBy("bucket").applyInArrow(run, "block long, bucket int, ids binary, lengths binary")
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32 << 20, digests: bool = False, keep_ids: bool = True) -> DataFrame:
@@ -185,18 +215,25 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     columns += [("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")] if digests else []
 
     def put_together(key: tuple, seqs: pa.Table, words: pa.Table) -> pa.Table:
-        known = [(_unpack(n), _unpack(i), _unpack(s).astype(np.int64)) for n, i, s in zip(*(words.column(c).to_pylist() for c in ("numbers", "ids", "lengths")), strict=True)]
-        total = sum(len(n) for n, _, _ in known)
-        flat = np.concatenate([i for _, i, _ in known]) if known else np.zeros(0, np.uint32)
-        sizes, starts, at = np.zeros(total, np.int64), np.zeros(total, np.int64), 0
-        for n, i, s in known:
-            sizes[n], starts[n] = s, at + np.cumsum(s) - s
-            at += len(i)
+        ids_of = dict(zip(words.column("bucket").to_pylist(), zip(words.column("ids").to_pylist(), words.column("lengths").to_pylist(), strict=True), strict=True))
+        part, payloads, lengths = (seqs.column(c).to_pylist() for c in ("part", "payload", "sizes"))
+        numbers = _unpack(payloads[part.index(2)])
+        ends = np.cumsum(lengths[part.index(2)])
+        sizes, starts, at, pieces = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64), 0, []
+        for b in sorted(ids_of):
+            ids, n = _unpack(ids_of[b][0]), _unpack(ids_of[b][1]).astype(np.int64)
+            own = numbers[ends[b] - len(n) : ends[b]]
+            sizes[own], starts[own] = n, at + np.cumsum(n) - n
+            at += len(ids)
+            pieces.append(ids)
+        flat = np.concatenate(pieces) if pieces else np.zeros(0, np.uint32)
         table = token_bytes(vocabulary).__getitem__ if digests else None
         out: dict[str, list] = {name: [] for name, _, _ in columns}
-        for payload, doc_ids, lengths in zip(*(seqs.column(c).to_pylist() for c in ("payload", "doc_ids", "sizes")), strict=True):
-            seq, start = _unpack(payload), 0
-            for doc_id, n in zip(doc_ids, lengths, strict=True):
+        for kind, payload, doc_ids, counts in zip(part, payloads, seqs.column("doc_ids").to_pylist(), lengths, strict=True):
+            if kind == 2:
+                continue
+            seq, start = _unpack_ranks(payload), 0
+            for doc_id, n in zip(doc_ids, counts, strict=True):
                 mine = seq[start : start + n]
                 start += n
                 ids = _ragged(flat, starts[mine], sizes[mine]).astype("<u4")
@@ -209,7 +246,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
                     out["decoded_sha256"].append(hashlib.sha256(b"".join(map(table, ids.tolist()))).hexdigest())
         return pa.table({name: pa.array(out[name], kind) for name, kind, _ in columns})
 
-    seqs = blocks.where("part = 1").select("block", "payload", "doc_ids", "sizes")
+    seqs = blocks.where("part > 0").select("block", "part", "payload", "doc_ids", "sizes")
     return seqs.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(put_together, ", ".join(f"{n} {s}" for n, _, s in columns))
 
 
