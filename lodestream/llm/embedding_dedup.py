@@ -29,7 +29,7 @@ SEED, MOST_BITS = 20_240_601, 40
 class Plan:
     """Window, collision count and tables for a threshold, by their recall there."""
 
-    def __init__(self, threshold: float, lines: int = 32, cell: int = 2048, recall: float = 0.995):
+    def __init__(self, threshold: float, lines: int = 32, cell: int = 256, recall: float = 0.995):
         self.threshold, self.lines, self.cell = threshold, lines, cell
         gap = math.sqrt(max(2 - 2 * threshold, 1e-12))
         # Half of the pairs at the threshold collide on a line: 0.6745 is the normal's upper quartile.
