@@ -29,7 +29,7 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """(keys, rho): correlation of average ranks; null for constant input."""
     own = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     at = own.withColumn("_rx", average_rank(F.col(x), keys)).withColumn("_ry", average_rank(F.col(y), keys))
-    return at.groupBy(*keys).agg(F.round(F.nanvl(F.corr("_rx", "_ry"), F.lit(None).cast("double")), 6).alias("rho"))
+    return at.groupBy(*keys).agg(F.round(F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry")), 6).alias("rho"))
 
 
 def kendall(df: DataFrame, keys: list[str], x: str, y: str, row: str, block: int = 2_000) -> DataFrame:
