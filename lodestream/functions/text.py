@@ -153,3 +153,11 @@ def numbered_on_collision(name: Column, number: Column, sep: str = "_", first: i
     ext = F.regexp_extract(name, r".(\.[^.]+)$", 1)
     head = F.regexp_replace(name, r"(?<=.)\.[^.]+$", "")
     return F.when(number <= 1, name).otherwise(F.concat(head, F.lit(sep), (number + (first - 2)).cast("string"), ext))
+
+
+def inherited_name(name: Column, kept: Column) -> Column:
+    """The name of a discard: the trip part of an organized name without a trip comes from the kept file's name."""
+    own, other = F.split(name, "-", 3), F.split(kept, "-", 3)
+    loose = (F.size(own) == 3) & F.get(own, F.lit(2)).startswith("unclustered") & (F.size(other) == 3)
+    trip = F.regexp_replace(F.get(other, F.lit(2)), r"\.[^.]+$", "")
+    return F.when(loose, F.concat(F.get(own, F.lit(0)), F.lit("-"), F.get(own, F.lit(1)), F.lit("-"), trip, suffix(name))).otherwise(name)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from .dml import assign_sequence
 from .intervals import snap
-from .select import classify_ids
+from .select import classify_ids, ordered_lookup
 
 
 def merge_documents(docs: DataFrame, order: str = "shot_at", fallback: str = "file") -> DataFrame:
@@ -86,3 +86,29 @@ def thumb_seeks(chunks: DataFrame) -> DataFrame:
 def staged_moves(files: DataFrame, cluster: Column, final: Column) -> DataFrame:
     """(src, dest) of every staged file of a trip, in name order."""
     return files.select(F.col("path").alias("src"), F.concat_ws("/", final, cluster, text.base_name(F.col("path"))).alias("dest")).orderBy(text.base_name(F.col("src")))
+
+
+def match_organized(plan: DataFrame, listing: DataFrame) -> DataFrame:
+    """(id, path): organized files of a listing, found by their planned name."""
+    return plan.select("id", "name").join(listing.select("path", text.base_name(F.col("path")).alias("name")), "name").select("id", "path")
+
+
+def highlight_cut(scenes: DataFrame, photos: DataFrame, ids: Column) -> DataFrame:
+    """(pos, path, start_sec, end_sec, seconds) of a list of scene ids in its order; a missing one raises an error."""
+    at = scenes.join(photos.select(F.col("id").alias("photo_id"), "path"), "photo_id").select("id", "path", "start_sec", "end_sec")
+    return ordered_lookup(ids, at, "id").select("pos", "path", "start_sec", "end_sec", (F.col("end_sec") - F.col("start_sec")).alias("seconds"))
+
+
+def recluster(clusters: DataFrame, fresh: DataFrame, force: bool = False) -> DataFrame:
+    """The fresh clusters, raising an error if confirmed trips would be lost, unless forced."""
+    if force:
+        return fresh
+    lost = clusters.agg(F.count_if(F.col("confirmed") & F.col("is_trip")).alias("_n")).withColumn("_one", F.lit(1))
+    checked = F.when(F.col("_n") > 0, F.raise_error(F.format_string("%d confirmed trips are there", "_n")).cast("int")).otherwise(F.lit(1))
+    return fresh.withColumn("_one", F.lit(1)).join(F.broadcast(lost), "_one").where(checked == 1).drop("_n", "_one")
+
+
+def assign_clusters(photos: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Photos with the cluster that lists them; those in none have none."""
+    members = clusters.select(F.col("id").alias("cluster_id"), F.explode("photo_ids").alias("id"))
+    return photos.drop("cluster_id").join(members, "id", "left")
