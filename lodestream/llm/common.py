@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,6 +48,7 @@ def release(spark: SparkSession) -> None:
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.7)  # Spark's cleaner works beside the program
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import _pack, _unpack
+from .bpe import _pack, _ragged, _unpack
 from .common import cut, release, shuffle_width, slices, texts_of
 
 GRAM = 16
@@ -61,7 +61,7 @@ def least_hashes(buf: np.ndarray, length: int) -> np.ndarray:
     return h
 
 
-def stretches(texts: list[bytes], length: int, most: int = 4 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def stretches(texts: list[bytes], length: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Runs of window starts with one least hash: (text's index, first start, number of starts, hash).
 
     Works on about ``most`` bytes at a time, long texts in pieces.
@@ -109,7 +109,7 @@ def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     suffixes whose rank is shared are sorted again (Larsson and Sadakane).
     """
     key = _words8(text)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     fresh = np.concatenate([[True], key[order][1:] != key[order][:-1]])
     first = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
     rank = np.empty(len(order) + 1, dtype=np.int64)
@@ -124,7 +124,7 @@ def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         nxt = rank[np.minimum(own + have, len(order))]
         # The group (its first place) leads, so sorting keeps every group in its places.
         pair = first[where] * np.int64(len(order) + 2) + (nxt + 1)
-        move = np.argsort(pair, kind="stable")
+        move = np.argsort(pair)
         own, pair = own[move], pair[move]
         order[where] = own
         split = np.concatenate([[True], pair[1:] != pair[:-1]])
@@ -147,11 +147,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     for at in range(0, most, 8):
         diff = word[order[open_] + at] ^ word[order[open_ - 1] + at]
         same = diff == 0
-        # Leading equal bytes of a differing word.
-        d = diff[~same]
-        equal = np.full(len(d), 8, dtype=np.int64)
-        for k in range(8):
-            equal = np.where((d >> np.uint64(8 * k)) != 0, 7 - k, equal)
+        equal = (diff[~same].astype(">u8").view(np.uint8).reshape(-1, 8) != 0).argmax(axis=1)
         out[open_[~same]] += equal
         out[open_[same]] += 8
         open_ = open_[same]
@@ -166,66 +162,83 @@ class Array:
     """Classes of equal windows of one suffix array, with the least document of each."""
 
     def __init__(self, pieces: list[bytes], least: np.ndarray, length: int):
-        text = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        self.text, self.length = np.frombuffer(b"".join(pieces), dtype=np.uint8), length
         sizes = np.array([len(p) for p in pieces])
         ends = np.cumsum(sizes)
-        owner = np.repeat(np.arange(len(pieces)), sizes)
-        window = np.arange(len(text)) + length <= ends[owner]
-        order, _ = suffix_order(text, length)
-        shared = common_prefixes(text, order, length)
-        # Suffixes that aren't windows fall out; what stands between two windows is at least as alike.
-        keep = window[order]
-        group = np.cumsum(shared < length)[keep]
-        order = order[keep]
-        number = np.unique(group, return_inverse=True)[1].reshape(-1)
-        self.first = np.full(int(number.max(initial=-1)) + 1, LATEST, dtype=np.int64)
-        np.minimum.at(self.first, number, least[owner[order]])
-        head = order[np.unique(number, return_index=True)[1]]
-        view = np.lib.stride_tricks.sliding_window_view(text, length) if len(text) >= length else np.zeros((0, length), np.uint8)
-        # A last byte of 1 keeps numpy from dropping zero bytes at the end.
-        self.keys = np.concatenate([view[head], np.ones((len(head), 1), np.uint8)], axis=1).view(f"S{length + 1}").reshape(-1) if len(head) else np.zeros(0, f"S{length + 1}")
-        self.class_of = np.full(len(text), -1, dtype=np.int64)
-        self.class_of[order] = number
-        self.begin = ends - sizes
+        owner = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
+        window = np.arange(len(self.text)) + length <= np.repeat(ends, sizes)
+        order, _ = suffix_order(self.text, length)
+        # Suffixes that aren't windows fall out; neighbours that are left share the least of what stood between them.
+        order = order[window[order]]
+        group = np.cumsum(common_prefixes(self.text, order, length) < length)
+        new = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        self.first = np.minimum.reduceat(least[owner[order]], new)
+        self.head = order[new]
+        self.place = np.zeros(len(self.text), dtype=np.int32)
+        self.place[order] = np.repeat(np.arange(len(new), dtype=np.int32), np.diff(new, append=len(order)))
+        self.window = window
+        self.keys = np.zeros(0)
+
+    def sort_keys(self) -> None:
+        """The classes' windows as sorted fixed-width keys; a last byte of 1 keeps numpy from dropping zeros at the end."""
+        view = np.lib.stride_tricks.sliding_window_view(self.text, self.length)[self.head]
+        self.keys = np.concatenate([view, np.ones((len(view), 1), np.uint8)], axis=1).view(f"S{self.length + 1}").reshape(-1)
 
     def merge(self, other: Array) -> None:
         """Both take the lesser document of each window that both have, found by binary search."""
-        if not len(self.keys) or not len(other.keys):
-            return
         at = np.minimum(np.searchsorted(self.keys, other.keys), len(self.keys) - 1)
         hit = np.flatnonzero(self.keys[at] == other.keys)
         both = np.minimum(self.first[at[hit]], other.first[hit])
         self.first[at[hit]], other.first[hit] = both, both
 
-    def windows(self, i: int, n: int) -> np.ndarray:
-        return self.first[self.class_of[self.begin[i] : self.begin[i] + n]]
+    def windows(self) -> np.ndarray:
+        """The least document of every window, piece by piece."""
+        return self.first[self.place[self.window]]
 
 
-def least_documents(pieces: list[bytes], group: np.ndarray, least: np.ndarray, length: int, array_bytes: int) -> list[np.ndarray]:
-    """For each distinct stretch, the least document of each of its windows.
+def least_documents(pieces: list[bytes], group: np.ndarray, least: np.ndarray, length: int, array_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least document of every window of the distinct stretches, and where each stretch's windows begin.
 
     A group (one hash) with a single stretch has no other place to match.
     """
     _, back, n = np.unique(group, return_inverse=True, return_counts=True)
     many = np.flatnonzero(n[back.reshape(-1)] > 1)
-    out = [np.full(len(p) - length + 1, d, dtype=np.int64) for p, d in zip(pieces, least.tolist(), strict=True)]
-    arrays, members, size, held = [], [], 0, []
-    for i in many.tolist():
-        held.append(i)
-        size += len(pieces[i])
-        if size >= array_bytes:
-            members.append(held)
-            size, held = 0, []
-    members += [held] if held else []
-    for m in members:
-        arrays.append(Array([pieces[i] for i in m], least[m], length))
-    for a in range(len(arrays)):
-        for b in range(a + 1, len(arrays)):
-            arrays[a].merge(arrays[b])
+    sizes = np.fromiter((len(p) - length + 1 for p in pieces), dtype=np.int64, count=len(pieces))
+    begin = np.cumsum(sizes) - sizes
+    out = np.repeat(least, sizes)
+    part = (np.cumsum(sizes[many] + length - 1) - 1) // array_bytes
+    members = np.split(many, np.flatnonzero(np.diff(part)) + 1) if len(many) else []
+    arrays = [Array([pieces[i] for i in m.tolist()], least[m], length) for m in members]
+    if len(arrays) > 1:
+        for array in arrays:
+            array.sort_keys()
+        for a in range(len(arrays)):
+            for b in range(a + 1, len(arrays)):
+                arrays[a].merge(arrays[b])
     for m, array in zip(members, arrays, strict=True):
-        for k, i in enumerate(m):
-            out[i] = array.windows(k, len(pieces[i]) - length + 1)
-    return out
+        out[_ragged(np.arange(len(out)), begin[m], sizes[m])] = array.windows()
+    return out, begin
+
+
+def removed(first: np.ndarray, begin: np.ndarray, sizes: np.ndarray, which: np.ndarray, own: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows that go: (occurrence, first window, last window) for occurrences of stretches ``which`` in documents ``own``."""
+    if not len(which):
+        return (np.zeros(0, np.int64),) * 3
+    low, high = np.minimum.reduceat(first, begin)[which], np.maximum.reduceat(first, begin)[which]
+    whole = np.flatnonzero(high < own)
+    out = [(whole, np.zeros(len(whole), np.int64), sizes[which[whole]] - 1)]
+    some = np.flatnonzero((low < own) & (high >= own))
+    step = max(1, most // int(sizes.max(initial=1)))
+    for at in range(0, len(some), step):
+        occ = some[at : at + step]
+        n = sizes[which[occ]]
+        hit = _ragged(first, begin[which[occ]], n) < np.repeat(own[occ], n)
+        row = np.repeat(np.arange(len(occ)), n)
+        offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        start = np.flatnonzero(hit & np.concatenate([[True], ~hit[:-1] | (row[1:] != row[:-1])]))
+        stop = np.flatnonzero(hit & np.concatenate([~hit[1:] | (row[1:] != row[:-1]), [True]]))
+        out.append((occ[row[start]], offset[start], offset[stop]))
+    return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
 
 
 class _Part:
@@ -241,6 +254,8 @@ class _Part:
         self.hash = self.hash.astype(np.uint64)
 
     def by_bucket(self, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+        if not len(self.hash):
+            return
         where = (self.hash % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(where, kind="stable")
         edges = np.flatnonzero(np.diff(where[order], prepend=-1))
@@ -276,7 +291,7 @@ def _distinct_texts(rows: DataFrame, sums: DataFrame, parts: int, docs: DataFram
     return cut(kept)
 
 
-def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, part_bytes: int = 16 << 20, hot: int = 4096, array_bytes: int = 4 << 20, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, part_bytes: int = 8 << 20, hot: int = 4096, array_bytes: int = 2 << 20, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove each byte covered by a ``length``-byte string that also starts in a document with a smaller id.
 
     Texts are UTF-8 bytes (null: empty); matches don't cross documents, may
@@ -348,9 +363,11 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if b in known:
                 state[own] = np.frombuffer(_unzip(known[b]), np.uint8)
         shards: defaultdict[int, list] = defaultdict(list)
-        for doc, start, n, h, s in zip(*(x[state > 0].tolist() for x in (part.doc, part.start, part.count, part.hash, state)), strict=True):
+        flagged = np.flatnonzero(state)
+        flagged = flagged[np.argsort(part.hash[flagged], kind="stable")]
+        for doc, start, n, h, kind in zip(*(x[flagged].tolist() for x in (part.doc, part.start, part.count, part.hash, state)), strict=True):
             text = part.texts[doc]
-            if s == 1:
+            if kind == 1:
                 shards[h % buckets].append((h, text[start : start + n + length - 1], doc, start))
             else:
                 for a in range(start, start + n):
@@ -359,13 +376,12 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     shards[g % buckets].append((g, window, doc, a))
         out = []
         for shard, found in shards.items():
-            found.sort()
             number: dict[tuple, int] = {}
             which = [number.setdefault((h, p), len(number)) for h, p, _, _ in found]
             docs_, local = np.unique([d for _, _, d, _ in found], return_inverse=True)
             out.append({
                 "shard": shard, "part": key[0].as_py(), "bytes": _zip(b"".join(p for _, p in number)), "sizes": _pack(np.array([len(p) for _, p in number])),
-                "hashes": _zip(np.array([h for h, _ in number], dtype="<u8").tobytes()), "which": _pack(np.diff(which, prepend=0)),
+                "hashes": _zip(np.array([h for h, _ in number], dtype="<u8").tobytes()), "which": _pack(np.array(which)),
                 "ids": _zip(part.ids[docs_].astype("<i8").tobytes()), "docs": _pack(docs_), "doc": _pack(local.reshape(-1)), "start": _pack(np.array([s for _, _, _, s in found])),
             })
         return pa.table([pa.array([r[n] for r in out], t) for n, t in SEGMENTS], names=[n for n, _ in SEGMENTS])
@@ -378,7 +394,7 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             raw, sizes = _unzip(r["bytes"]), _unpack(r["sizes"]).tolist()
             hashes = np.frombuffer(_unzip(r["hashes"]), "<u8").tolist()
             ids = np.frombuffer(_unzip(r["ids"]), "<i8")[_unpack(r["doc"])]
-            which = np.cumsum(_unpack(r["which"]).astype(np.int64))
+            which = _unpack(r["which"]).astype(np.int64)
             mine = np.full(len(sizes), LATEST, np.int64)
             np.minimum.at(mine, which, ids)
             at, own = 0, []
@@ -391,19 +407,16 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     least[k] = low
                 own.append(k)
             r["at"], r["of"] = np.array(own, dtype=np.int64)[which], ids
-        firsts = least_documents([p for _, p in number], np.array([h for h, _ in number], dtype=np.uint64), np.array(least, dtype=np.int64), length, array_bytes)
+        pieces = [p for _, p in number]
+        first, begin = least_documents(pieces, np.array([h for h, _ in number], dtype=np.uint64), np.array(least, dtype=np.int64), length, array_bytes)
+        windows = np.fromiter((len(p) - length + 1 for p in pieces), dtype=np.int64, count=len(pieces))
         out = []
         for r in rows_:
-            docs_ = _unpack(r["docs"])[_unpack(r["doc"])].tolist()
-            found = []
-            for k, doc, own, start in zip(r["at"].tolist(), docs_, r["of"].tolist(), _unpack(r["start"]).tolist(), strict=True):
-                hit = np.flatnonzero(firsts[k] < own)
-                if len(hit):  # stretches of windows that go, as first and last start
-                    gap = np.flatnonzero(np.diff(hit) > 1)
-                    found += [(doc, start + int(a), start + int(b)) for a, b in zip(hit[np.append(0, gap + 1)], hit[np.append(gap, len(hit) - 1)], strict=True)]
-            if found:
-                cells = np.array(sorted(found), dtype=np.int64)
-                out.append((r["part"], _pack(np.diff(cells[:, 0], prepend=0)), _pack(cells[:, 1]), _pack(cells[:, 2] - cells[:, 1])))
+            occ, a, b = removed(first, begin, windows, r["at"], r["of"])
+            if len(occ):
+                doc, start = _unpack(r["docs"])[_unpack(r["doc"])].astype(np.int64)[occ], _unpack(r["start"]).astype(np.int64)[occ] + a
+                order = np.lexsort((start, doc))
+                out.append((r["part"], _pack(np.diff(doc[order], prepend=0)), _pack(start[order]), _pack((b - a)[order])))
         return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "doc", "start", "more"])
 
     ddl = ", ".join(f"{n} {'long' if t == pa.int64() else 'binary'}" for n, t in SEGMENTS)
