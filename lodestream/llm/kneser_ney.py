@@ -11,6 +11,7 @@ is a shift and a shorter n-gram a mask.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ from .common import cut, release, shuffle_width, slices
 
 ORDER, BITS, PLAIN = 5, 12, 4000
 CLASSES = 1 << BITS
+#: Languages whose thresholds may be broadcast.
+MOST_BROADCAST = 10_000
 
 
 def _zip(data: bytes) -> bytes:
@@ -80,6 +83,9 @@ def _distinct(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _split(code: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard that has some of the n-grams, and their places."""
+    if not len(code):
+        return
     where = _shard(code, shards)
     order = np.argsort(where, kind="stable")
     edges = np.flatnonzero(np.diff(where[order], prepend=-1))
@@ -123,6 +129,22 @@ def _probabilities(wanted: DataFrame, tables: list[tuple[DataFrame, list[float]]
     return known
 
 
+PACKED = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary())
+PACKED_NAMES = ["block", "doc_id", "lang", "out", "size", "z"]
+
+
+def _unpacked(table: pa.Table) -> tuple[list, list, list, list[str]]:
+    """Ids, languages, held-out marks and texts of a block's rows."""
+    ids, langs, outs = (table.column(c).combine_chunks().flatten().to_pylist() for c in ("doc_id", "lang", "out"))
+    texts = []
+    for z, sizes in zip(table.column("z").to_pylist(), table.column("size").to_pylist(), strict=True):
+        raw, at = _unzip(z), 0
+        for n in sizes:
+            texts.append(raw[at : at + n].decode("utf-8", "surrogatepass"))
+            at += n
+    return ids, langs, outs, texts
+
+
 class Lookup:
     """Places of n-grams in a sorted array, mostly by a direct table."""
 
@@ -161,18 +183,24 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in slices(batch, "text", 8 << 20):
-                z = [_zip((t or "").encode("utf-8", "surrogatepass")) for t in s.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([s.column("block"), s.column("doc_id"), s.column("lang"), s.column("out"), pa.array(z, pa.binary())], names=["block", "doc_id", "lang", "out", "z"])
+            for s in slices(batch, "text", 24 << 20):
+                where, ids, langs, outs, every = (s.column(c).to_pylist() for c in ("block", "doc_id", "lang", "out", "text"))
+                rows = defaultdict(list)
+                for i, b in enumerate(where):
+                    rows[b].append(i)
+                for b, own in rows.items():
+                    data = [(every[i] or "").encode("utf-8", "surrogatepass") for i in own]
+                    cells = ([b], [[ids[i] for i in own]], [[langs[i] for i in own]], [[outs[i] for i in own]], [[len(d) for d in data]], [_zip(b"".join(data))])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, PACKED, strict=True)], names=PACKED_NAMES)
 
     spread = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(blocks))).otherwise(block)
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    texts = at.select(spread.alias("block"), "doc_id", "lang", out.alias("out"), "text").mapInArrow(squeeze, "block long, doc_id long, lang string, out boolean, z binary")
+    texts = at.select(spread.alias("block"), "doc_id", "lang", out.alias("out"), "text").mapInArrow(squeeze, "block long, doc_id array<long>, lang array<string>, out array<boolean>, size array<int>, z binary")
 
     def count(key: tuple, table: pa.Table, trust: pa.Table) -> pa.Table:
         ids = {*trust.column("doc_id").to_pylist()}
-        every = [_unzip(z).decode("utf-8", "surrogatepass") for z in table.column("z").to_pylist()]
-        own = [t for t, i, o in zip(every, table.column("doc_id").to_pylist(), table.column("out").to_pylist(), strict=True) if i in ids and not o]
+        own_ids, _, outs, every = _unpacked(table)
+        own = [t for t, i, o in zip(every, own_ids, outs, strict=True) if i in ids and not o]
         rows = []
         code, n = _distinct(own)
         for s, pick in _split(code, shards):
@@ -215,7 +243,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     release(spark)
 
     def rate(key: tuple, table: pa.Table, reply: pa.Table, trust: pa.Table) -> pa.Table:
-        texts_ = [_unzip(z).decode("utf-8", "surrogatepass") for z in table.column("z").to_pylist()]
+        own_ids, langs, outs, texts_ = _unpacked(table)
         code, _ = _distinct(texts_)
         price = np.zeros(max(len(code), 1))
         known_ = dict(zip(reply.column("shard").to_pylist(), reply.column("logp").to_pylist(), strict=True))
@@ -230,8 +258,8 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         sums = np.concatenate(sums) if sums else np.zeros(0)
         n = np.fromiter(map(len, texts_), dtype=np.int64, count=len(texts_))
         ids = {*trust.column("doc_id").to_pylist()}
-        role = [(1 if o else 2) if i in ids else 0 for i, o in zip(table.column("doc_id").to_pylist(), table.column("out").to_pylist(), strict=True)]
-        return pa.table({"doc_id": table.column("doc_id"), "lang": table.column("lang"), "n_chars": n, "perplexity": np.exp(-sums / np.maximum(n, 1)), "role": pa.array(role, pa.int32())})
+        role = [(1 if o else 2) if i in ids else 0 for i, o in zip(own_ids, outs, strict=True)]
+        return pa.table({"doc_id": pa.array(own_ids, pa.int64()), "lang": pa.array(langs, pa.string()), "n_chars": n, "perplexity": np.exp(-sums / np.maximum(n, 1)), "role": pa.array(role, pa.int32())})
 
     def rate_pair(key: tuple, table: pa.Table, side: pa.Table) -> pa.Table:
         return rate(key, table, side.filter(pa.compute.is_valid(side.column("shard"))), side.filter(pa.compute.is_null(side.column("shard"))))
@@ -240,20 +268,33 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return texts.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(rate_pair, "doc_id long, lang string, n_chars long, perplexity double, role int")
 
 
-def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: float = 1.15, **names: str) -> DataFrame:
-    """doc_id, lang, n_chars, perplexity, threshold and keep of every whole text.
+def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: float = 1.05, prior_chars: float = 100.0, **names: str) -> DataFrame:
+    """doc_id, lang, n_chars, perplexity, adjusted, threshold and keep of every whole text.
 
-    A language's threshold is ``slack`` times the ``quantile`` of the
-    perplexities of its trusted held-out texts (of all its trusted texts, if
-    none is held out; of all languages' ones, if it has no trusted text; without
-    any trusted text all are kept). A text up to the threshold is kept. A null
-    language is a language of its own; ids may be null or repeat; every row
-    gives one row. Other columns are ignored.
+    A short text's perplexity says little, so ``adjusted`` adds ``prior_chars``
+    characters at the median of its language's trusted texts. A language's
+    threshold is ``slack`` times the ``quantile`` of the adjusted perplexities
+    of its trusted held-out texts (of all its trusted texts, if none is held
+    out; of all languages' ones, if it has no trusted text; without any trusted
+    text all are kept). A text up to the threshold is kept. A null language is
+    a language of its own; ids may be null or repeat; every row gives one row.
+    Other columns are ignored.
     """
     rated = cut(perplexities(docs, labels, **names))
+    rated = _by_language(rated, F.when(F.col("role") > 0, F.col("perplexity")), F.lit(None).cast("double"), 0.5, "_median")
+    n = F.col("n_chars") + prior_chars
+    rated = rated.withColumn("adjusted", F.exp((F.ln("perplexity") * F.col("n_chars") + F.ln(F.coalesce("_median", F.lit(1.0))) * prior_chars) / n))
+    held, trusted = F.when(F.col("role") == 1, F.col("adjusted")), F.when(F.col("role") > 0, F.col("adjusted"))
+    rated = _by_language(rated, held, trusted, quantile, "_limit")
+    limit = F.coalesce("_limit", F.lit(float("inf"))) * slack
+    return rated.select("doc_id", "lang", "n_chars", "perplexity", "adjusted", limit.alias("threshold"), (F.col("adjusted") <= limit).alias("keep"))
+
+
+def _by_language(rated: DataFrame, first: Column, second: Column, quantile: float, name: str) -> DataFrame:
+    """Adds a quantile of the row's language: of ``first``, else of ``second``, else that of all rows (null without any)."""
     at = lambda x: F.percentile_approx(x, quantile, 10_000)
-    out, own = F.when(F.col("role") == 1, F.col("perplexity")), F.when(F.col("role") > 0, F.col("perplexity"))
-    by_lang = rated.groupBy("lang").agg(F.coalesce(at(out), at(own)).alias("own"))
-    every = rated.agg(F.coalesce(at(out), at(own), F.lit(float("inf"))).alias("all")).first()[0]
-    limit = F.coalesce("own", F.lit(every)) * slack
-    return rated.join(by_lang.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")), "left").select("doc_id", "lang", "n_chars", "perplexity", limit.alias("threshold"), (F.col("perplexity") <= limit).alias("keep"))
+    every = rated.agg(F.coalesce(at(first), at(second))).first()[0]
+    per = rated.groupBy(F.col("lang").alias("_lang")).agg(F.coalesce(at(first), at(second), F.lit(every).cast("double")).alias(name))
+    per = cut(per)
+    near = F.broadcast(per) if per.count() <= MOST_BROADCAST else per
+    return rated.join(near, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
