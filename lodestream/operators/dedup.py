@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -12,18 +12,18 @@ def discard_duplicates(df: DataFrame, key: Column, reason: Column | None = None,
     """Rows of the groups of two or more with equal, not null keys: the input's columns, kept_id, is_kept and reason.
 
     The first described row by id is kept, else the smallest id. ``skip``, true
-    in any row of a group, leaves that group alone. One shuffle by key; a hot
-    key's rows are sorted in one task, so keys should tell contents apart.
+    in any row of a group, leaves that group alone. Groups are summed up before
+    the shuffle and joined back, so a key with very many copies can be split.
     """
     shown = F.lit(False) if described is None else F.coalesce(F.col(described) != 0, F.lit(False))
-    by = Window.partitionBy("_key")
-    rank = by.orderBy(shown.cast("int").desc(), F.col(id_col))
     at = df.withColumn("_key", key).where("_key is not null")
-    at = at.withColumn("_n", F.count("*").over(by)).withColumn("_bad", F.max(skip.cast("int")).over(by) if skip is not None else F.lit(0)).where("_n >= 2 and _bad = 0")
-    at = at.withColumn("kept_id", F.first(id_col).over(rank)).withColumn("_kept", F.first(kept_text).over(rank))
+    first = F.min(F.struct((~shown).alias("s"), F.col(id_col).alias("i"), F.col(kept_text).alias("t"))).alias("_f")
+    bad = F.max(F.coalesce(skip, F.lit(False))) if skip is not None else F.lit(False)
+    groups = at.groupBy("_key").agg(F.count("*").alias("_n"), first, bad.alias("_bad")).where("_n >= 2 and not _bad")
+    at = at.join(groups, "_key").withColumn("kept_id", F.col("_f.i"))
     at = at.withColumn("is_kept", F.col(id_col) == F.col("kept_id"))
-    why = F.when(~F.col("is_kept"), F.concat(reason if reason is not None else F.lit("exact duplicate of "), text.base_name(F.col("_kept"))))
-    return at.withColumn("reason", why).drop("_key", "_n", "_bad", "_kept")
+    why = F.when(~F.col("is_kept"), F.concat(reason if reason is not None else F.lit("exact duplicate of "), text.base_name(F.col("_f.t"))))
+    return at.withColumn("reason", why).drop("_key", "_n", "_bad", "_f")
 
 
 def duplicate_summary(df: DataFrame, key: Column, id_col: str = "id") -> DataFrame:
@@ -33,17 +33,16 @@ def duplicate_summary(df: DataFrame, key: Column, id_col: str = "id") -> DataFra
 
 def exact_file_key(files: DataFrame, content: str = "content", size: str = "length") -> DataFrame:
     """Adds content_md5, only for files whose size another one has: hashing is the dear part."""
-    same = F.count("*").over(Window.partitionBy(size)) >= 2
-    return files.withColumn("content_md5", F.when(same, F.md5(F.col(content))))
+    shared = files.groupBy(size).agg(F.count("*").alias("_n")).where("_n >= 2").select(F.col(size).alias("_size"), "_n")
+    return files.join(shared, F.col(size) == F.col("_size"), "left").withColumn("content_md5", F.when(F.col("_n").isNotNull(), F.md5(F.col(content)))).drop("_n", "_size")
 
 
 def cross_album(df: DataFrame, key: Column, catch_all: Column, id_col: str = "id") -> DataFrame:
     """(input, is_kept) of groups of equal keys: if some rows are in named albums, all catch-all rows go and named ones stay; else the smallest id stays."""
-    by = Window.partitionBy("_key")
-    at = df.withColumn("_key", key).withColumn("_all", catch_all.cast("int")).where("_key is not null")
-    at = at.withColumn("_n", F.count("*").over(by)).withColumn("_lo", F.min("_all").over(by)).withColumn("_hi", F.max("_all").over(by)).withColumn("_first", F.min(id_col).over(by))
-    mixed = (F.col("_lo") == 0) & (F.col("_hi") == 1)
-    return at.where("_n >= 2").withColumn("is_kept", F.when(mixed, F.col("_all") == 0).otherwise(F.col(id_col) == F.col("_first"))).drop("_key", "_all", "_n", "_lo", "_hi", "_first")
+    at = df.withColumn("_key", key).withColumn("_all", catch_all).where("_key is not null")
+    groups = at.groupBy("_key").agg(F.count("*").alias("_n"), (F.bool_or("_all") & ~F.bool_and("_all")).alias("_mixed"), F.min(id_col).alias("_first")).where("_n >= 2")
+    kept = F.when(F.col("_mixed"), ~F.col("_all")).otherwise(F.col(id_col) == F.col("_first"))
+    return at.join(groups, "_key").withColumn("is_kept", kept).drop("_key", "_all", "_n", "_mixed", "_first")
 
 
 def sign_hash(vector: Column) -> Column:
