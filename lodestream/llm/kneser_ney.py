@@ -240,6 +240,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     asks = offers.where("train = 0").select("shard", "block", "codes")
     prices = known.mapInArrow(shard_of, "shard long, gram long, p double")
     replies = cut(asks.groupBy("shard").cogroup(prices.groupBy("shard")).applyInArrow(answer, "block long, shard long, logp binary"))
+    del offers, top, wanted, known, asks, prices  # their checkpoints can go before texts are shuffled again
     release(spark)
 
     def rate(key: tuple, table: pa.Table, reply: pa.Table, trust: pa.Table) -> pa.Table:

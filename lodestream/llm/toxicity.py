@@ -28,6 +28,8 @@ SWAP, INSERT, DIGIT, REPEAT, DOUBLE = 0.7, 1.5, 8.0, 0.7, 6.0
 #: Hash bits of the counts of one, two and three characters.
 GRAM_BITS = (14, 17, 20)
 BEAM = 32
+#: Feature counts that a task holds before it passes them on.
+FLUSH = 100_000
 
 TOKEN = re.compile(r"\S+")
 SPACED = re.compile(r"(?<!\S)\S(?:[ ._*\-]{1,2}\S){2,}(?!\S)")
@@ -62,7 +64,7 @@ def count_grams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         total = [np.zeros(1 << b, dtype=np.int64) for b in GRAM_BITS]
         table = _letters()
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 text = "\n\n".join(["", *(t.lower() for t in part.column("text").to_pylist() if t), "x"])
                 x = table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
                 x = x[(x[np.maximum(np.arange(len(x)) - 1, 0)] != 0) | (x != 0)]  # one boundary between words
@@ -75,7 +77,7 @@ def count_grams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), k, np.int32)), pa.array(cell), pa.array(counts[cell])], names=["k", "cell", "n"])
 
     sums = bare(docs, id_col, text_col).mapInArrow(run, "k int, cell long, n long").groupBy("k", "cell").agg(F.sum("n").alias("n")).toArrow()
-    out = [np.zeros(1 << b, dtype=np.int64) for b in GRAM_BITS]
+    out = [np.zeros(1 << b, dtype=np.float32) for b in GRAM_BITS]
     k, cell, n = (sums.column(c).to_numpy() for c in ("k", "cell", "n"))
     for i in range(3):
         out[i][cell[k == i]] = n[k == i]
@@ -86,8 +88,8 @@ class Decoder:
     """Viterbi decoding of a token's character lattice under an interpolated trigram model."""
 
     def __init__(self, counts: list[np.ndarray], smooth: float = 5.0):
-        self.one, self.two, self.three = (c.astype(np.float64) for c in counts)
-        self.total, self.smooth = max(float(self.one.sum()), 1.0), smooth
+        self.one, self.two, self.three = (np.asarray(c, dtype=np.float32) for c in counts)
+        self.total, self.smooth = max(float(self.one.sum(dtype=np.float64)), 1.0), smooth
         self.memo: dict[tuple[str, str, str], float] = {}
 
     def cost(self, a: str, b: str, c: str) -> float:
@@ -103,7 +105,7 @@ class Decoder:
         p1 = (self.one[one] + 0.1) / (self.total + 100)
         p2 = (self.two[two] + k * p1) / (self.one[mid] + k)
         p3 = (self.three[three] + k * p2) / (self.two[pair] + k)
-        if len(self.memo) > 200_000:
+        if len(self.memo) > 100_000:
             self.memo.clear()
         self.memo[key] = out = -math.log(max(min(p3, 1.0), 1e-12))
         return out
@@ -189,17 +191,16 @@ def features_of(word: str) -> list[str]:
 class Model:
     """Evidence of features, and a logistic regression over a text's strongest words."""
 
-    def __init__(self, counts: list[np.ndarray], evidence: dict[str, float], floor: float, weights: np.ndarray):
+    def __init__(self, counts: list[np.ndarray] | None, evidence: dict[str, float], floor: float, weights: np.ndarray):
         self.counts, self.evidence, self.floor, self.weights = counts, evidence, floor, weights
 
-    def scorer(self) -> Scorer:
-        return Scorer(self)
+    def scorer(self, restorer: Restorer | None = None) -> Scorer:
+        return Scorer(self, restorer or Restorer(self.counts))
 
 
 class Scorer:
-    def __init__(self, model: Model, memo_size: int = 200_000):
-        self.model, self.memo, self.memo_size = model, {}, memo_size
-        self.restorer = Restorer(model.counts)
+    def __init__(self, model: Model, restorer: Restorer, memo_size: int = 150_000):
+        self.model, self.memo, self.memo_size, self.restorer = model, {}, memo_size, restorer
 
     def strength(self, token: str) -> tuple[str, float] | None:
         word = self.restorer.token(token)
@@ -263,16 +264,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, total = Restorer(shared.value), {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            keys, cells = list(total), list(total.values())
+            total.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array([c[0] for c in cells], pa.int64()), pa.array([c[1] for c in cells], pa.int64())], names=["half", "f", "clean", "toxic"])
+
         for batch in batches:
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 half = zlib.crc32(text.encode()) & 1
                 for f in {f for w in restorer.words(text) for f in features_of(w)}:
-                    cell = total.setdefault((half, f), [0, 0])
-                    cell[y] += 1
-        items = list(total.items())
-        for a in range(0, len(items), 20_000):
-            part = items[a : a + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in part], pa.int32()), pa.array([k[1] for k, _ in part], pa.string()), pa.array([v[0] for _, v in part], pa.int64()), pa.array([v[1] for _, v in part], pa.int64())], names=["half", "f", "clean", "toxic"])
+                    total.setdefault((half, f), [0, 0])[y] += 1
+                if len(total) >= FLUSH:
+                    yield from flush()
+        yield from flush()
 
     table = rows.mapInArrow(stats, "half int, f string, clean long, toxic long").groupBy("f").agg(*(F.sum(F.when(F.col("half") == h, F.col(c)).otherwise(0)).alias(f"{c}{h}") for h in (0, 1) for c in ("clean", "toxic")))
     shares = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("toxic")).first()
@@ -291,10 +296,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not 0 < shares["toxic"] < shares["n"]:
         rows.unpersist()
         return Model(counts, {}, floor, np.array([0.0, 0.0, 0.0, 0.0, floor]))
-    cross = spark.sparkContext.broadcast([Model(counts, {k: max(v, floor) for k, v in evidence((1 - h,)).items()}, floor, np.zeros(5)) for h in (0, 1)])
+    cross = spark.sparkContext.broadcast([Model(None, {k: max(v, floor) for k, v in evidence((1 - h,)).items()}, floor, np.zeros(5)) for h in (0, 1)])
 
     def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorers = [m.scorer() for m in cross.value]
+        restorer = Restorer(shared.value)
+        scorers = [m.scorer(restorer) for m in cross.value]
         for batch in batches:
             x = [scorers[zlib.crc32(t.encode()) & 1].inputs(t).tolist() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("y")], names=["x", "y"])
@@ -340,7 +346,8 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value.scorer()
         for batch in batches:
-            scores = [scorer.score(t or "") for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
+            for part in slices(batch, text_col, 8 << 20):
+                scores = [scorer.score(t or "") for t in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=[*part.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
