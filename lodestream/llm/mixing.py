@@ -12,13 +12,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 LEVELS = ("domain", "lang", "source")
+#: Leaves whose budgets may be broadcast.
+MOST_BROADCAST = 50_000
 
 
 def token_count(text: Column) -> Column:
     """Words between ASCII white space; null and blank texts have none."""
-    words = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "[ \\t\\n\\x0B\\f\\r]+", " "))
-    return F.when(words == "", F.lit(0)).otherwise(F.length(words) - F.length(F.replace(words, F.lit(" "), F.lit(""))) + 1).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^ \\t\\n\\x0B\\f\\r]+")).cast("long")
 
 
 def order_key(seed: int, epoch: Column, doc_id: Column) -> Column:
@@ -79,7 +82,8 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, Column], total: Colu
     ``total`` is an expression over the leaves' ``tokens`` (default: their sum).
     Returns the input's columns and mix_domain, mix_tokens, mix_epoch (1, 2, ...).
     A leaf takes whole epochs and then, in the next epoch's seeded order, the
-    documents whose running token sum stays within its budget. Null languages
+    documents up to the one whose middle is beyond its budget, so that leaves end
+    as often a little above as below. Null languages
     and sources are leaves named ''. Documents without tokens come with every
     epoch up to the one that is cut, there with the prefix. A row's place comes
     from its id; rows of equal ids are taken or left together by their text's
@@ -89,35 +93,41 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, Column], total: Colu
     over hash buckets of a leaf, and then the rows of the one bucket in which
     the budget ends.
     """
-    at = docs.withColumn("_domain", F.coalesce(domain.cast("string"), F.lit(""))).withColumn("_lang", F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(""))).withColumn("_source", F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")))
-    at = at.withColumn("_tokens", token_count(F.col(f"`{text_col}`").cast("string"))).withColumn("_id", F.col(f"`{id_col}`"))
     leaf = ["_domain", "_lang", "_source"]
-    sums = at.groupBy(*leaf).agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("_rows"))
+    at = docs.withColumn("_domain", F.coalesce(domain.cast("string"), F.lit(""))).withColumn("_lang", F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(""))).withColumn("_source", F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")))
+    at = at.withColumn("_id", F.col(f"`{id_col}`"))
+    tokens = token_count(F.col(f"`{text_col}`").cast("string"))
+    # Texts are counted once; the budgets and buckets come from this table without texts.
+    slim = cut(at.select(*leaf, "_id", tokens.alias("_tokens")))
+    sums = slim.groupBy(*leaf).agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("_rows"))
     plan = budgets(sums.select(F.col("_domain").alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), "tokens"), F.coalesce(F.sum("tokens"), F.lit(0)) if total is None else total, weights, max_epochs)
     plan = plan.select(F.col("domain").alias("_domain"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), "budget").join(sums, leaf)
     plan = plan.withColumn("_whole", F.expr("case when tokens > 0 then budget div tokens else 0 end").cast("int")).withColumn("_last", F.col("_whole") + 1)
     plan = plan.withColumn("_rest", F.col("budget") - F.col("_whole") * F.col("tokens"))
-    plan = plan.withColumn("_parts", F.least(F.lit(buckets), F.greatest(F.lit(1), F.expr(f"_rows div {per_bucket}"))).cast("int")).select(*leaf, "_whole", "_last", "_rest", "_parts")
-
-    # The epoch that is cut: where does each bucket start?
-    placed = at.join(plan, leaf).withColumn("_key", order_key(seed, F.col("_last"), F.col("_id")))
-    place = F.expr("cast(floor(cast(conv(substr(_key, 1, 8), 16, 10) as bigint) * _parts / 4294967296D) as int)")
-    placed = placed.withColumn("_bucket", place)
-    filled = placed.groupBy(*leaf, "_bucket").agg(F.sum("_tokens").alias("_n"), F.first("_rest").alias("_rest"))
-    before = F.sum("_n").over(Window.partitionBy(*leaf).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
-    filled = filled.withColumn("_before", before)
-    # The first bucket that doesn't fit as a whole is the one in which the budget ends.
+    plan = cut(plan.withColumn("_parts", F.least(F.lit(buckets), F.greatest(F.lit(1), F.expr(f"_rows div {per_bucket}"))).cast("int")).select(*leaf, "_whole", "_last", "_rest", "_parts"))
+
+    # One row per leaf: broadcast up to a checked number, else joined by shuffle.
+    small = plan.count() <= MOST_BROADCAST
+    near = F.broadcast if small else (lambda x: x)
+
+    def place(rows: DataFrame) -> DataFrame:
+        keyed = rows.join(near(plan), leaf).withColumn("_key", order_key(seed, F.col("_last"), F.col("_id")))
+        return keyed.withColumn("_bucket", F.expr("cast(floor(cast(conv(substr(_key, 1, 8), 16, 10) as bigint) * _parts / 4294967296D) as int)"))
+
+    # The epoch that is cut: the first bucket that doesn't fit as a whole is the one in which the budget ends.
+    filled = place(slim).groupBy(*leaf, "_bucket").agg(F.sum("_tokens").alias("_n"), F.first("_rest").alias("_rest"))
+    upto = F.sum("_n").over(Window.partitionBy(*leaf).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    filled = filled.withColumn("_before", upto - F.col("_n"))
     ends = filled.where("_before + _n > _rest").groupBy(*leaf).agg(F.min(F.struct("_bucket", "_before")).alias("e"))
-    ends = ends.select(*leaf, F.col("e._bucket").alias("_end"), F.col("e._before").alias("_before"))
-    placed = placed.join(ends, leaf, "left")
+    ends = cut(ends.select(*leaf, F.col("e._bucket").alias("_end"), F.col("e._before").alias("_before")))
+    placed = place(at).join(near(ends), leaf, "left")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    own = [F.col("_domain").alias("mix_domain"), F.col("_tokens").alias("mix_tokens")]
 
-    whole = F.sequence(F.lit(1), F.col("_whole"))
+    no = F.array().cast("array<int>")
     inside = F.col("_rest") > 0
     sure = inside & (F.col("_end").isNull() | (F.col("_bucket") < F.col("_end")))
-    epochs = F.concat(F.when(F.col("_whole") > 0, whole).otherwise(F.array().cast("array<int>")), F.when(sure, F.array("_last")).otherwise(F.array().cast("array<int>")))
-    plain = placed.select(*columns, *own, F.explode(epochs).alias("mix_epoch"))
+    epochs = F.concat(F.when(F.col("_whole") > 0, F.sequence(F.lit(1), F.col("_whole"))).otherwise(no), F.when(sure, F.array("_last")).otherwise(no))
+    plain = placed.select(*columns, F.col("_domain").alias("mix_domain"), tokens.alias("mix_tokens"), F.explode(epochs).alias("mix_epoch"))
     running = Window.partitionBy(*leaf).orderBy("_key", F.col(f"`{text_col}`")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = placed.where(inside & (F.col("_bucket") == F.col("_end"))).withColumn("_sum", F.col("_before") + F.sum("_tokens").over(running))
-    return plain.unionByName(cut.where("_sum <= _rest").select(*columns, *own, F.col("_last").alias("mix_epoch")))
+    last = placed.where(inside & (F.col("_bucket") == F.col("_end"))).withColumn("_tokens", tokens).withColumn("_sum", F.col("_before") + F.sum("_tokens").over(running))
+    return plain.unionByName(last.where("_sum <= _rest").select(*columns, F.col("_domain").alias("mix_domain"), F.col("_tokens").alias("mix_tokens"), F.col("_last").alias("mix_epoch")))
