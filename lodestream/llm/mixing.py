@@ -130,4 +130,4 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, Column], total: Colu
     plain = placed.select(*columns, F.col("_domain").alias("mix_domain"), tokens.alias("mix_tokens"), F.explode(epochs).alias("mix_epoch"))
     running = Window.partitionBy(*leaf).orderBy("_key", F.col(f"`{text_col}`")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = placed.where(inside & (F.col("_bucket") == F.col("_end"))).withColumn("_tokens", tokens).withColumn("_sum", F.col("_before") + F.sum("_tokens").over(running))
-    return plain.unionByName(last.where("_sum <= _rest").select(*columns, F.col("_domain").alias("mix_domain"), F.col("_tokens").alias("mix_tokens"), F.col("_last").alias("mix_epoch")))
+    return plain.unionByName(last.where("2 * _sum - _tokens <= 2 * _rest").select(*columns, F.col("_domain").alias("mix_domain"), F.col("_tokens").alias("mix_tokens"), F.col("_last").alias("mix_epoch")))

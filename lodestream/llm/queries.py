@@ -80,7 +80,7 @@ leaves AS (SELECT domain, k_lang, k_source, sum(n)::BIGINT AS tokens FROM d GROU
 plan AS (SELECT domain, k_lang, k_source, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS whole, budget - CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END * tokens AS rest FROM b_k_source),
 placed AS (SELECT d.*, whole, rest, md5('7:' || (whole + 1)::VARCHAR || ':' || coalesce(doc_id::VARCHAR, '')) AS k FROM d JOIN plan USING (domain, k_lang, k_source)),
 summed AS (SELECT *, sum(n) OVER (PARTITION BY domain, k_lang, k_source ORDER BY k, text ROWS UNBOUNDED PRECEDING) AS upto FROM placed),
-picked AS (SELECT *, unnest(range(1, whole + 1 + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END))::INT AS epoch, n AS tokens FROM summed)
+picked AS (SELECT *, unnest(range(1, whole + 1 + CASE WHEN rest > 0 AND 2 * upto - n <= 2 * rest THEN 1 ELSE 0 END))::INT AS epoch, n AS tokens FROM summed)
 SELECT {out} FROM picked"""
 
 
