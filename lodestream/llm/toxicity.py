@@ -24,7 +24,7 @@ from .common import bare, slices
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¢": "c"}
 #: Costs (natural logarithms) of the channel: a letter written as a sign, an inserted sign, an inserted digit,
 #: a letter too many in a run of three or more, and in a run of two.
-SWAP, INSERT, DIGIT, REPEAT, DOUBLE = 0.7, 1.5, 8.0, 0.7, 6.0
+SWAP, INSERT, DIGIT, REPEAT, DOUBLE = 0.7, 1.5, 12.0, 0.7, 6.0
 #: Hash bits of the counts of one, two and three characters.
 GRAM_BITS = (14, 17, 20)
 BEAM = 32
