@@ -313,7 +313,7 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     carried = [f"_carry{i}" for i in range(len(carry))]
     at = at.select("*", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(length), "text").alias("h2"))
     rows = cut(at.select("doc_id", "k", "h1", "h2", F.octet_length("text").cast("long").alias("n_bytes"), *carried))
-    sums = rows.where(F.col("n_bytes") >= length).groupBy("h1", "h2").agg(F.min("k").alias("first_id"))
+    sums = cut(rows.where(F.col("n_bytes") >= length).groupBy("h1", "h2").agg(F.min("k").alias("first_id")))
     total = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     parts = max(1, -(-total // part_bytes))
     buckets = max(parts, shuffle_width(spark))
@@ -425,7 +425,7 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     del segments
     release(spark)
 
-    names = [("h1", pa.int64(), "long"), ("h2", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("n_spans", pa.int64(), "long"), ("kept_sha256", pa.string(), "string")]
+    names = [("h1", pa.int64(), "long"), ("h2", pa.int64(), "long"), ("k", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("n_spans", pa.int64(), "long"), ("kept_sha256", pa.string(), "string")]
     names += [("kept", pa.binary(), "binary")] if keep_text else []
 
     def finish(key: tuple, table: pa.Table, verdict: pa.Table) -> pa.Table:
@@ -453,15 +453,15 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out["kept_sha256"].append(hashlib.sha256(rest).hexdigest())
             if keep_text:
                 out["kept"].append(rest)
-        out["h1"], out["h2"] = rows_.column("h1").to_pylist(), rows_.column("h2").to_pylist()
+        out["h1"], out["h2"], out["k"] = (rows_.column(c).to_pylist() for c in ("h1", "h2", "first_id"))
         return pa.table({n: pa.array(out[n], t) for n, t, _ in names})
 
     done = texts.groupBy("part").cogroup(verdicts.groupBy("part")).applyInArrow(finish, ", ".join(f"{n} {s}" for n, _, s in names))
     nothing = hashlib.sha256(b"").hexdigest()
-    firsts = sums.withColumnRenamed("first_id", "_first")
-    long = rows.where(F.col("n_bytes") >= length).join(firsts, ["h1", "h2"])
-    copies = long.where("k > _first").select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(nothing).alias("kept_sha256"), *([F.lit(b"").alias("kept")] if keep_text else []), *carried)
-    lead = long.where("k = _first").join(done, ["h1", "h2"]).select("doc_id", "n_bytes", *[n for n, _, _ in names[2:]], *carried)
+    # One join each, so that the join of a text with very many copies can be split.
+    long = rows.where(F.col("n_bytes") >= length)
+    copies = long.join(sums, ["h1", "h2"]).where("k > first_id").select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(nothing).alias("kept_sha256"), *([F.lit(b"").alias("kept")] if keep_text else []), *carried)
+    lead = long.join(done, ["h1", "h2", "k"]).select("doc_id", "n_bytes", *[n for n, _, _ in names[3:]], *carried)
     short = at.where(F.octet_length("text") < length).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), *([F.col("text").cast("binary").alias("kept")] if keep_text else []), *carried)
     return lead.unionByName(copies).unionByName(short).withColumnsRenamed(dict(zip(carried, carry, strict=True)))
 
