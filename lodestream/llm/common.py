@@ -46,9 +46,10 @@ def release(spark: SparkSession) -> None:
     Spark removes them when the driver's garbage is collected, which may be
     long after the data have been written to the checkpoint folder.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.7)  # Spark's cleaner works beside the program
+    for _ in range(3):  # what one round frees in Python, and then in the JVM, frees more in the next
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)  # Spark's cleaner works beside the program
 
 
 def shuffle_width(spark: SparkSession) -> int:
