@@ -81,13 +81,18 @@ def trip_clusters(photos: DataFrame, keys: list[str], gap_days: float = 3.0, rad
     grouped = gap_sessions(loose, keys, F.col("taken_at"), gap_days * 86_400, ["id"], "gap_id")
 
     def split(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["taken_at", "id"], kind="stable")
-        return g.assign(segment=split_places(g["lat"].to_numpy(dtype=float), g["lon"].to_numpy(dtype=float), radius_km))
+        g = g.sort_values(["gap_id", "taken_at", "id"], kind="stable").reset_index(drop=True)
+        lat, lon, segment = g["lat"].to_numpy(dtype=float), g["lon"].to_numpy(dtype=float), np.zeros(len(g), dtype=np.int64)
+        starts = np.flatnonzero(np.diff(g["gap_id"].to_numpy(), prepend=-1)).tolist()
+        for a, b in zip(starts, [*starts[1:], len(g)], strict=True):
+            segment[a:b] = split_places(lat[a:b], lon[a:b], radius_km)
+        return g.assign(segment=segment)
 
     from pyspark.sql import types as T
 
     schema = T.StructType([*grouped.schema.fields, T.StructField("segment", T.LongType())])
-    timed = grouped.groupBy(*keys, "gap_id").applyInPandas(split, schema)
+    # Some neighbouring time groups share a call, since most are small.
+    timed = grouped.groupBy(*keys, F.floor(F.col("gap_id") / 64)).applyInPandas(split, schema)
     timed = timed.withColumn("kind", F.lit(1)).withColumn("part", F.format_string("%012d-%06d", "gap_id", "segment")).drop("gap_id", "segment")
     undated = at.where("album is null and taken_at is null").withColumn("kind", F.lit(2)).withColumn("part", F.lit(""))
     homes = home_cell(photos, keys=keys)
