@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import bpe, mixing, queries, simhash, suffix_dedup, toxicity
+from lodestream.llm import bpe, mixing, near_copies, queries, suffix_dedup, toxicity
 from lodestream.llm.common import ensure_checkpoint_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,10 +25,10 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group, once; documents without an id stay."""
-    groups = simhash.near_duplicates(docs)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The document with the smallest id of each group of near copies, once; documents without an id stay."""
+    named = docs.where("doc_id is not null")
+    first = near_copies.first_of_groups(named.select(F.struct("doc_id").alias("rank"), "text")).select("first.doc_id")
+    named = named.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(COLUMNS).unionByName(docs.where("doc_id is null").select(COLUMNS))
 
 
