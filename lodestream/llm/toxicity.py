@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,16 +25,26 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 #: Costs (natural logarithms) of the channel: a letter written as a sign, an inserted sign, an inserted digit,
 #: a letter too many in a run of three or more, and in a run of two.
 SWAP, INSERT, DIGIT, REPEAT, DOUBLE = 0.7, 1.5, 12.0, 0.7, 6.0
+#: Separators in a token: between spelt-out characters (deleted or a word's boundary, both free), and between short
+#: words, where deleting it costs.
+SPELT, APART = "\x1f", " "
+GAPS = {SPELT: 0.0, APART: 6.0}
+#: Cost a character from which a word is unlikely, and the longest word that may be a piece of one.
+UNLIKELY, PIECE = 3.5, 4
+#: Letters of a word that is looked for inside stretches.
+LEAST_KNOWN = 4
 #: Hash bits of the counts of one, two and three characters.
 GRAM_BITS = (14, 17, 20)
 BEAM = 32
 #: Feature counts that a task holds before it passes them on.
 FLUSH = 100_000
 
-TOKEN = re.compile(r"\S+")
-SPACED = re.compile(r"(?<!\S)\S(?:[ ._*\-]{1,2}\S){2,}(?!\S)")
+SPACED = re.compile(r"(?<!\S)\S(?:[ ._*\-]{1,2}\S){2,}(?![^\s.,;:!?])")
+SPACE = re.compile(r"(?<=\S)[ ._*\-]{1,2}(?=\S)")
 PUNCT = ".,;:!?\"'`()[]{}<>|#%&*$-_/\\~^=+…«»“”‘’¡¿"
 TRIPLE = re.compile(r"(.)\1\1")
+DOUBLED = re.compile(r"(.)\1")
+RUN = re.compile(r"(.)\1+")
 
 
 @lru_cache(1)
@@ -110,9 +120,29 @@ class Decoder:
         self.memo[key] = out = -math.log(max(min(p3, 1.0), 1e-12))
         return out
 
+    def price(self, word: str) -> float:
+        a, b, total = "", "", 0.0
+        for c in (*word, ""):
+            total += self.cost(a, b, c)
+            a, b = b, c
+        return total
+
+    def unlikely(self, word: str) -> bool:
+        """Whether the model gives a word's letters and end a high cost on average."""
+        return self.price(word) > UNLIKELY * (len(word) + 1)
+
+    def doubled(self, word: str) -> bool:
+        """Whether an unlikely word costs less without one, or all, of its doubled letters."""
+        total = self.price(word)
+        if total <= UNLIKELY * (len(word) + 1):
+            return False
+        at = [i for i in range(1, len(word)) if word[i] == word[i - 1]]
+        return total > self.price(RUN.sub(r"\1", word)) + DOUBLE * len(at) or any(total > self.price(word[:i] + word[i + 1 :]) + DOUBLE for i in at)
+
     def decode(self, token: str) -> str:
         """The likeliest letters behind a token; time is linear in its length.
 
+        Separators (GAPS) are deleted or end a word, which gives a space.
         Kept are the BEAM best states at each place; ties go to the text that
         sorts first.
         """
@@ -121,6 +151,13 @@ class Decoder:
         for i, o in enumerate(token):
             extra = REPEAT if token[max(0, i - 2) : i + 3].count(o) > 2 else DOUBLE
             nxt: dict[tuple[str, str], tuple[float, tuple]] = {}
+            if (gap := GAPS.get(o)) is not None:
+                for (a, b), (cost, path) in states.items():
+                    self._keep(nxt, (a, b), cost + gap, path)
+                    if b:
+                        self._keep(nxt, ("", ""), cost + self.cost(a, b, ""), (path, " "))
+                states = nxt
+                continue
             options = [(c, SWAP) for c in LEET.get(o, "")]
             if o.isalpha():
                 options.append((o, 0.0))
@@ -148,17 +185,26 @@ class Decoder:
 
 
 class Restorer:
-    """Restores lower-cased tokens; remembers a bounded number of them."""
+    """Restores lower-cased tokens; remembers a bounded number of them.
+
+    Where a stretch can be cut in several ways, ``known`` words (those with
+    evidence) go before what the character model prefers.
+    """
 
-    def __init__(self, counts: list[np.ndarray], memo_size: int = 100_000):
+    def __init__(self, counts: list[np.ndarray], known: Iterable[str] = (), memo_size: int = 100_000):
         self.decoder, self.memo, self.memo_size = Decoder(counts), {}, memo_size
+        self.known = {w for w in known if len(w) >= LEAST_KNOWN and w.isalpha()}
+        self.begin = {w[:n] for w in self.known for n in range(1, len(w))}
+        self.single = {RUN.sub(r"\1", w): w for w in sorted(self.known)}
 
     def suspicious(self, core: str) -> bool:
-        return (not core.isalpha() and any(c.isalpha() or c in LEET for c in core)) or TRIPLE.search(core) is not None
+        if core.isalpha():
+            return TRIPLE.search(core) is not None or (DOUBLED.search(core) is not None and self.decoder.doubled(core))
+        return any(c.isalpha() or c in LEET for c in core) or TRIPLE.search(core) is not None
 
     def token(self, token: str) -> str:
-        """The token without punctuation around it, decoded if signs or tripled letters are in it."""
-        if token.isalpha() and not TRIPLE.search(token):
+        """The token without punctuation around it, decoded if it has signs, tripled letters, or doubled ones that are unlikely."""
+        if token.isalpha() and not DOUBLED.search(token):
             return token
         if (known := self.memo.get(token)) is not None:
             return known
@@ -166,21 +212,119 @@ class Restorer:
         # A single sign at an edge may be a letter; runs of signs are decoration.
         lead = token[: len(token) - len(token.lstrip(PUNCT))]
         core = lead + core if core and lead in LEET else core
-        out = self.decoder.decode(core) if self.suspicious(core) else core
+        if core not in self.known and len(DOUBLED.findall(core)) > 1 and (word := self.single.get(RUN.sub(r"\1", core))):
+            return self._remember(token, word)
+        return self._remember(token, self.decoder.decode(core) if self.suspicious(core) else core)
+
+    def _remember(self, key: str, out: str | bool) -> str | bool:
         if len(self.memo) >= self.memo_size:
             self.memo.clear()
-        self.memo[token] = out
+        self.memo[key] = out
         return out
 
-    def spaced(self, text: str) -> str:
-        """Runs of single characters with separators between them, joined."""
-        return SPACED.sub(lambda m: re.sub(r"[ ._*\-]", "", m[0]), text)
+    def _stretch(self, token: str) -> str:
+        if (known := self.memo.get(token)) is not None:
+            return known
+        out = self.decoder.decode(token)
+        return self._remember(token, out) if len(token) < 256 else out
+
+    def _spelt(self, run: str) -> str:
+        """Single characters with separators between them, as words; a wider separator than the others is a boundary, most likely."""
+        if not any(c.isalpha() for c in run):
+            return SPACE.sub("", run)
+        if (known := self.memo.get(key := SPELT + run)) is not None:
+            return known
+        least = min(len(m[0]) for m in SPACE.finditer(run))
+        out = []
+        for part in self._around(SPACE.sub(lambda m: "" if len(m[0]) == least else APART, run)):
+            marked = APART.join(SPELT.join(w) for w in part.split(APART))
+            out.append(part if part in self.known else self.decoder.decode(marked))
+        out = " ".join(w for w in out if w)
+        return self._remember(key, out) if len(key) < 256 else out
+
+    def _around(self, joined: str) -> list[str]:
+        """Known words in a joined stretch, also where signs stand for letters, and what is between them."""
+        out, at = [], 0
+        for start, stop in self._inside(plain := "".join(LEET.get(c, c)[0] for c in joined)):
+            out += [joined[at:start].strip(APART), plain[start:stop]]
+            at = stop
+        return [w for w in (*out, joined[at:].strip(APART)) if w]
+
+    def _inside(self, plain: str) -> list[tuple[int, int]]:
+        """Places of known words from the left, the longest at each."""
+        out, at = [], 0
+        while self.known and at < len(plain):
+            stop, n = 0, 1
+            while plain[at : at + n] in self.begin and at + n < len(plain):
+                n += 1
+                stop = at + n if plain[at : at + n] in self.known else stop
+            if stop:
+                out.append((at, stop))
+            at = stop or at + 1
+        return out
+
+    def _odd(self, word: str) -> bool:
+        """Whether a short word is an unlikely one."""
+        key = f"{APART}{word}"
+        return known if (known := self.memo.get(key)) is not None else self._remember(key, word.isalpha() and self.decoder.unlikely(word))
+
+    def split(self, text: str, whole: list[str] | None = None) -> list[str]:
+        """The words of a lower-cased text: spelt-out ones, and neighbouring short ones of which one is unlikely, put together.
+
+        Each spelt-out stretch as one word is added to ``whole``.
+        """
+
+        def spelt(m: re.Match) -> str:
+            if whole is not None:
+                whole.append(SPACE.sub("", m[0]))
+            return self._spelt(m[0])
+
+        words = SPACED.sub(spelt, text).split()
+        seen = set(words)
+        if starts := self.begin & seen:
+            words = self._whole(words, starts)
+        if odd := {w for w in seen if len(w) <= PIECE and self._odd(w)}:
+            words = self._pieces(words, odd)
+        return words
+
+    def _whole(self, words: list[str], starts: set[str]) -> list[str]:
+        """Neighbours that are a known word together, put together."""
+        out, done = [], 0
+        for at in [i for i, w in enumerate(words) if w in starts]:
+            end, whole = at + 1, words[at]
+            while whole in self.begin and whole not in self.known and end < len(words):
+                whole, end = whole + words[end].strip(PUNCT), end + 1
+            if at >= done and whole in self.known and end > at + 1:
+                out += [*words[done:at], whole]
+                done = end
+        return out + words[done:] if done else words
+
+    def _pieces(self, words: list[str], odd: set[str]) -> list[str]:
+        """Runs of unlikely short words and their short neighbours, decoded."""
+        out, done = [], 0
+        short = lambda i: 0 <= i < len(words) and len(words[i]) <= PIECE and words[i].isalpha()
+        for at in [i for i, w in enumerate(words) if w in odd]:
+            if at < done:
+                continue
+            start, end = at - (at > done and short(at - 1)), at + 1
+            while short(end) and (words[end - 1] in odd or words[end] in odd):
+                end += 1
+            if end - start > 1:
+                out += words[done:start] + self._stretch(APART.join(words[start:end])).split()
+                done = end
+        return out + words[done:] if done else words
 
     def text(self, text: str) -> str:
-        return TOKEN.sub(lambda m: self.token(m[0]), self.spaced(text.lower()))
+        return " ".join(self.token(w) for w in self.split(text.lower()))
+
+    def tokens(self, text: str) -> set[str]:
+        """The distinct words of ``split``, and each spelt-out stretch without a known word as one word."""
+        whole: list[str] = []
+        out = set(self.split(text.lower(), whole))
+        return out.union(w for w in whole if not self._inside(w))
 
     def words(self, text: str) -> set[str]:
-        return {self.token(w) for w in set(self.spaced(text.lower()).split())}
+        return {self.token(w) for w in self.tokens(text)}
 
 
 def features_of(word: str) -> list[str]:
@@ -188,6 +332,11 @@ def features_of(word: str) -> list[str]:
     return [word, *(f"{word[:n]}-" for n in (3, 4, 5, 6) if len(word) > n)]
 
 
+def known_words(*tables: dict[str, float]) -> set[str]:
+    """Whole words that speak for toxicity more than against it."""
+    return {w for t in tables for w, v in t.items() if v > 0}
+
+
 class Model:
     """Evidence of features, and a logistic regression over a text's strongest words."""
 
@@ -195,7 +344,7 @@ class Model:
         self.counts, self.evidence, self.floor, self.weights = counts, evidence, floor, weights
 
     def scorer(self, restorer: Restorer | None = None) -> Scorer:
-        return Scorer(self, restorer or Restorer(self.counts))
+        return Scorer(self, restorer or Restorer(self.counts, known_words(self.evidence)))
 
 
 class Scorer:
@@ -209,7 +358,7 @@ class Scorer:
 
     def inputs(self, text: str) -> np.ndarray:
         """The strongest three words' evidence and the number of words with any."""
-        tokens, memo = set(self.restorer.spaced(text.lower()).split()), self.memo
+        tokens, memo = self.restorer.tokens(text), self.memo
         found: dict[str, float] = {}
         for t in tokens:
             if (hit := memo.get(t, 0)) == 0:
@@ -299,7 +448,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     cross = spark.sparkContext.broadcast([Model(None, {k: max(v, floor) for k, v in evidence((1 - h,)).items()}, floor, np.zeros(5)) for h in (0, 1)])
 
     def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(shared.value)
+        restorer = Restorer(shared.value, known_words(*(m.evidence for m in cross.value)))
         scorers = [m.scorer(restorer) for m in cross.value]
         for batch in batches:
             x = [scorers[zlib.crc32(t.encode()) & 1].inputs(t).tolist() for t in batch.column("text").to_pylist()]
