@@ -25,11 +25,13 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies, once; documents without an id stay."""
-    named = docs.where("doc_id is not null")
-    first = near_copies.first_of_groups(named.select(F.struct("doc_id").alias("rank"), "text")).select("first.doc_id")
-    named = named.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(COLUMNS).unionByName(docs.where("doc_id is null").select(COLUMNS))
+    """One row of each group of near copies: the smallest id, then the smallest checksum of the text; null ids come last."""
+    text = F.md5(F.col("text").cast("binary"))
+    whole = F.to_json(F.struct("doc_id", "lang", "source", "n_chars", text.alias("text")), {"ignoreNullFields": "false"})
+    rows = docs.select(*COLUMNS, F.md5(whole.cast("binary")).alias("_row"))
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", text.alias("text"), "_row")
+    first = near_copies.first_of_groups(rows.select(rank.alias("rank"), "text")).select("first._row")
+    return rows.join(first, "_row", "left_semi").dropDuplicates(["_row"]).select(COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,3 +72,10 @@ def test_short_and_empty(spark):
     got = corpus_pipeline.one_of_near_copies(spark, docs(spark, rows), "")
     assert {r["doc_id"] for r in got.collect()} == {1, 3, 4}
     assert corpus_pipeline.one_of_near_copies(spark, docs(spark, []), "").count() == 0
+
+
+def test_repeated_and_null_ids(spark):
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, "one text"), (1, "another text"), (2, long), (2, "a text of its own"), (3, long + " more"), (None, "no id"), (None, "no id"), (None, "one text"), (None, long)]
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_near_copies(spark, docs(spark, rows), "").collect()]
+    assert sorted(got, key=str) == sorted([(1, "one text"), (1, "another text"), (2, long), (2, "a text of its own"), (None, "no id")], key=str)
