@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -41,9 +44,64 @@ def _km(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 2 * geo.EARTH_KM * np.arcsin(np.sqrt(np.minimum(1.0, h)))
 
 
-def _spread(points: np.ndarray, limit: float, block: int = 512) -> bool:
-    """Whether two of the points are farther apart than the limit; by blocks of rows, so memory stays small."""
-    return any((_km(points[s : s + block, None, :], points[None, s:, :]) > limit).any() for s in range(0, len(points), block))
+def _on_sphere(points: np.ndarray) -> np.ndarray:
+    p = np.radians(points)
+    return np.stack([np.cos(p[:, 0]) * np.cos(p[:, 1]), np.cos(p[:, 0]) * np.sin(p[:, 1]), np.sin(p[:, 0])], axis=1)
+
+
+def farthest_km(points: np.ndarray, enough: float = math.inf, leaf: int = 32) -> float:
+    """The largest distance of two of the points (rows of degrees), or one over ``enough`` as soon as it is found.
+
+    Two boxes of points are compared at a time, the pair with the largest
+    possible distance first, and split until the best distance found is at
+    least what any pair left could have.
+    """
+    points = np.unique(points, axis=0)
+    if len(points) < 2:
+        return 0.0
+    xyz, best, turn = _on_sphere(points), 0.0, 0
+
+    def box(own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return own, xyz[own].min(axis=0), xyz[own].max(axis=0)
+
+    def push(a: tuple, b: tuple) -> None:
+        nonlocal turn
+        chord = np.sqrt((np.maximum(a[2] - b[1], b[2] - a[1]) ** 2).sum())
+        most = 2 * geo.EARTH_KM * math.asin(min(1.0, chord / 2)) + 1e-6
+        if most > best:
+            turn += 1
+            heapq.heappush(todo, (-most, turn, a, b))
+
+    todo: list = []
+    push(whole := box(np.arange(len(points))), whole)
+    while todo and -todo[0][0] > best and best <= enough:
+        _, _, a, b = heapq.heappop(todo)
+        best = max(best, float(_km(points[a[0][0]], points[b[0][-1]])))
+        if max(len(a[0]), len(b[0])) <= leaf:
+            best = max(best, float(_km(points[a[0], None, :], points[None, b[0], :]).max()))
+            continue
+        halves = [(x,) if len(x[0]) <= leaf else tuple(map(box, np.array_split(x[0][np.argsort(xyz[x[0], int((x[2] - x[1]).argmax())], kind="stable")], 2))) for x in (a, b)]
+        for i, x in enumerate(halves[0]):
+            for y in halves[1][i if a is b else 0 :]:
+                push(x, y)
+    return best
+
+
+def spread_km(df: DataFrame, keys: list[str], lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """(keys, spread_km): the largest distance between two places of a key; null without two different rows.
+
+    Equal places are one before they move; a key's different places are
+    searched by boxes in one task, so that not all pairs are formed.
+    """
+    from pyspark.sql import types as T
+
+    places = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).groupBy(*keys, F.col(lat).alias("_la"), F.col(lon).alias("_lo")).agg(F.count("*").alias("_n"))
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        far = farthest_km(rows[["_la", "_lo"]].to_numpy(dtype=float)) if rows["_n"].sum() > 1 else None
+        return pd.DataFrame([[*key, None if far is None else round(far, 6)]], columns=[*keys, "spread_km"])
+
+    return places.groupBy(*keys).applyInPandas(run, T.StructType([*(places.schema[k] for k in keys), T.StructField("spread_km", T.DoubleType())]))
 
 
 def split_places(lat: np.ndarray, lon: np.ndarray, radius_km: float) -> np.ndarray:
@@ -54,7 +112,7 @@ def split_places(lat: np.ndarray, lon: np.ndarray, radius_km: float) -> np.ndarr
     while todo:
         a, b = todo.pop()
         own = np.flatnonzero(placed[a:b]) + a
-        if len(own) < 2 or not _spread(points[own], radius_km):
+        if len(own) < 2 or farthest_km(points[own], radius_km) <= radius_km:
             continue
         jumps = _km(points[own[:-1]], points[own[1:]])
         at = int(own[1:][int(np.argmax(jumps))]) if jumps.max() > 0 else a + (b - a) // 2
@@ -66,6 +124,11 @@ def split_places(lat: np.ndarray, lon: np.ndarray, radius_km: float) -> np.ndarr
     return np.cumsum(out)
 
 
+def cluster_counts(clusters: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, n_clusters, n_trips, n_months, n_photos): how many clusters are trips, and what all of them hold."""
+    return clusters.groupBy(*(keys or [])).agg(F.count("*").alias("n_clusters"), F.count_if(F.col("is_trip")).alias("n_trips"), F.count_if(~F.col("is_trip")).alias("n_months"), F.coalesce(F.sum("photo_count"), F.lit(0)).alias("n_photos"))
+
+
 def trip_clusters(photos: DataFrame, keys: list[str], gap_days: float = 3.0, radius_km: float = 50.0, home_radius_km: float = 50.0) -> DataFrame:
     """One row per cluster of (keys, id, path, taken_at, lat, lon, place): albums, then time and place groups, then undated rows.
 

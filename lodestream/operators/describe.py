@@ -116,6 +116,70 @@ def junk(photos: DataFrame, classifier: Describer, pattern: str, is_still) -> Da
     return got.where("_y.yes").select("id", F.lit("auto-junk").alias("discard_reason"))
 
 
+#: A batch's texts to its answers, one dictionary each.
+BatchJudge = Callable[[list[str]], list[dict]]
+
+#: Chunks of one judge's call.
+BATCH = 15
+
+
+def stub_batch_judge(texts: list[str]) -> list[dict]:
+    return [stub_judge(t) for t in texts]
+
+
+def judge_batches(chunks: DataFrame, judge_: BatchJudge = stub_batch_judge, text_col: str = "desc_formatted", size: int = BATCH, load: Callable[[], BatchJudge] | None = None) -> DataFrame:
+    """Adds the seven answers and their total, asking about up to ``size`` chunks of a partition at a time.
+
+    A batch that fails, or gives another number of answers, counts as false
+    throughout; answers that aren't there are false.
+    """
+    from pyspark.sql import types as T
+
+    schema = T.StructType([*chunks.schema.fields, *(T.StructField(q, T.BooleanType()) for q in QUESTIONS)])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call = load() if load else judge_
+        for f in frames:
+            said: list[dict] = []
+            for at in range(0, len(f), size):
+                texts = f[text_col].iloc[at : at + size].tolist()
+                try:
+                    got = call(texts)
+                except Exception:  # a model's failure is a missing answer by contract
+                    got = []
+                said += got if len(got) == len(texts) else [{}] * len(texts)
+            yield f.assign(**{q: [bool(a.get(q, False)) for a in said] for q in QUESTIONS})
+
+    at = chunks.mapInPandas(run, schema)
+    return at.withColumn("total", sum((F.col(q).cast("bigint") for q in QUESTIONS), F.lit(0).cast("bigint")))
+
+
+def transcribe(videos: DataFrame, transcriber: Callable[[str], list[dict]], load: Callable[[], Callable[[str], list[dict]]] | None = None) -> DataFrame:
+    """(video, pos, s_start, s_end, text, words) of a speech model's segments; one that fails has none.
+
+    The model takes a path and returns segments (start, end, text, words of
+    word, start, end). Times have two places, texts are trimmed, and segments
+    without text fall out.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call = load() if load else transcriber
+        for f in frames:
+            rows = []
+            for video in f["video"]:
+                try:
+                    found = call(video) or []
+                except Exception:  # a model's failure is no speech by contract
+                    found = []
+                found = [s for s in found if str(s.get("text") or "").strip()]
+                for pos, s in enumerate(found):
+                    words = [{"word": str(w["word"]).strip(), "start": round(float(w["start"]), 2), "end": round(float(w["end"]), 2)} for w in s.get("words") or []]
+                    rows.append((video, pos, round(float(s["start"]), 2), round(float(s["end"]), 2), str(s["text"]).strip(), words))
+            yield pd.DataFrame(rows, columns=["video", "pos", "s_start", "s_end", "text", "words"])
+
+    return videos.select("video").mapInPandas(run, "video string, pos int, s_start double, s_end double, text string, words array<struct<word: string, start: double, end: double>>")
+
+
 def judge(chunks: DataFrame, judge_: Callable[[str], dict[str, bool]] = stub_judge, text_col: str = "desc_formatted") -> DataFrame:
     """Adds the seven answers and their total; missing answers are false."""
 

@@ -43,20 +43,38 @@ def flag_quality(photos: DataFrame) -> DataFrame:
     return update_where(photos, (F.col("quality") != "good") & (F.col("discarded") == 0) & (F.col("flagged") == 0), "flagged", F.lit(1))
 
 
-def assign_sequence(df: DataFrame, sequence: str, taken_at: str, id_col: str) -> DataFrame:
-    """Numbers for rows without one, from the largest on, by time (nulls last) and id.
+#: Ids, or first characters of text ids, that share a range when rows are numbered.
+ID_RANGE, TEXT_RANGE = 65_536, 64
 
-    Ranks are made of counts per day and places within a day, so that no task
-    sorts all rows.
+
+def numbered(df: DataFrame, name: str, coarse: Column, order: str | None, id_col: str) -> DataFrame:
+    """Adds ``name``: 1, 2, ... by ``coarse`` (nulls last), ``order`` and id; ``coarse`` must not fall as ``order`` rises.
+
+    Counts of the coarse ranges, and of finer ones within each (equal ``order``
+    and a range of ids), come first, so that a task sorts one fine range only:
+    a day with very many rows, or rows without a date, are split.
     """
-    todo = df.where(F.col(sequence).isNull()).withColumn("_day", F.floor(F.col(taken_at) / 86_400))
-    per_day = todo.groupBy("_day").agg(F.count("*").alias("_n"))
-    before = per_day.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(F.col("_day").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("_day").orderBy(F.col(taken_at), F.col(id_col)))
+    text_id = df.schema[id_col].dataType.simpleString() == "string"
+    fine = F.left(F.col(id_col), F.lit(TEXT_RANGE)) if text_id else F.floor(F.col(id_col) / ID_RANGE)
+    at = df.withColumn("_c", coarse).withColumn("_o", F.col(order) if order else F.lit(0)).withColumn("_f", fine)
+    per = at.groupBy("_c", "_o", "_f").agg(F.count("*").alias("_n"))
+    inner = Window.partitionBy("_c").orderBy(F.col("_o").asc_nulls_last(), "_f").rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.orderBy(F.col("_c").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    first = per.groupBy("_c").agg(F.sum("_n").alias("_n")).select(F.col("_c").alias("_cc"), F.coalesce(F.sum("_n").over(outer), F.lit(0)).alias("_first"))
+    per = per.withColumn("_before", F.coalesce(F.sum("_n").over(inner), F.lit(0))).drop("_n")
+    per = per.join(first, F.col("_c").eqNullSafe(F.col("_cc"))).select(F.col("_c").alias("_c2"), F.col("_o").alias("_o2"), F.col("_f").alias("_f2"), (F.col("_before") + F.col("_first")).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_c", "_o", "_f").orderBy(id_col))
+    same = F.col("_c").eqNullSafe(F.col("_c2")) & F.col("_o").eqNullSafe(F.col("_o2")) & F.col("_f").eqNullSafe(F.col("_f2"))
+    return at.withColumn("_p", place).join(per, same).withColumn(name, (F.col("_start") + F.col("_p")).cast("bigint")).select(*[c for c in df.columns if c != name], name)
+
+
+def assign_sequence(df: DataFrame, sequence: str, taken_at: str | None, id_col: str) -> DataFrame:
+    """Numbers for rows without one, from the largest on (the first is 0), by time (nulls last) and id."""
+    day = F.floor(F.col(taken_at) / 86_400) if taken_at else F.lit(0)
+    todo = numbered(df.where(F.col(sequence).isNull()).drop(sequence), sequence, day, taken_at, id_col)
     top = df.agg(F.coalesce(F.max(sequence), F.lit(-1)).alias("_top")).withColumn("_one", F.lit(1))
-    numbered = todo.withColumn("_p", place).join(before.withColumnRenamed("_day", "_d"), F.col("_day").eqNullSafe(F.col("_d"))).withColumn("_one", F.lit(1)).join(F.broadcast(top), "_one")
-    numbered = numbered.withColumn(sequence, (F.col("_top") + F.col("_before") + F.col("_p")).cast("bigint"))
-    return df.where(F.col(sequence).isNotNull()).unionByName(numbered.select(df.columns))
+    todo = todo.withColumn("_one", F.lit(1)).join(F.broadcast(top), "_one").withColumn(sequence, F.col(sequence) + F.col("_top"))
+    return df.where(F.col(sequence).isNotNull()).unionByName(todo.select(df.columns))
 
 
 def pending(df: DataFrame, done: DataFrame, key: str, force: bool = False) -> DataFrame:
@@ -64,18 +82,28 @@ def pending(df: DataFrame, done: DataFrame, key: str, force: bool = False) -> Da
     return df if force else df.join(done.select(key).distinct(), key, "left_anti")
 
 
+def bulk_days(df: DataFrame, ts: Column, most: int = 50) -> DataFrame:
+    """(day, n) of the days, as text, with more than ``most`` rows."""
+    return df.where(ts.isNotNull()).groupBy(F.date_format(ts, "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n")).where(F.col("n") > most)
+
+
 def fix_dates(photos: DataFrame, fresh: DataFrame, most: int = 50) -> DataFrame:
     """Re-read rows of days with more than ``most`` photos: the date changes, or a place is newly found.
 
     ``fresh`` has id, new_taken_at, new_lat, new_lon. A place that is there is kept.
     """
-    suspect = photos.where("discarded = 0 and taken_at is not null").groupBy(F.to_date(F.timestamp_seconds("taken_at")).alias("_day")).count().where(F.col("count") > most).select("_day")
+    suspect = bulk_days(photos.where("discarded = 0"), F.timestamp_seconds("taken_at"), most).select(F.to_date("day").alias("_day"))
     at = photos.withColumn("_day", F.to_date(F.timestamp_seconds("taken_at"))).join(suspect.withColumn("_s", F.lit(True)), "_day", "left").join(fresh, "id", "left")
     hit = F.col("_s") & F.col("new_taken_at").isNotNull() & ((F.col("new_taken_at") != F.col("taken_at")) | (F.col("lat").isNull() & F.col("new_lat").isNotNull()))
     changed = {"taken_at": F.col("new_taken_at"), "lat": F.coalesce("lat", "new_lat"), "lon": F.coalesce("lon", "new_lon")}
     return at.select(*(F.when(hit, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in photos.columns))
 
 
+def confirm_all(clusters: DataFrame) -> DataFrame:
+    """What a review that confirms everything leaves: trips confirmed, and nothing else changed."""
+    return update_where(clusters, ~F.coalesce(F.col("confirmed"), F.lit(False)), "confirmed", F.lit(True))
+
+
 def apply_review(clusters: DataFrame, decisions: DataFrame) -> DataFrame:
     """Decisions (id, action: confirm, rename, discard or skip; name) on clusters: discarded ones become their month, confirmed."""
     at = clusters.join(decisions.select("id", "action", F.col("name").alias("_name")), "id", "left")

@@ -15,6 +15,11 @@ def scored_chunks(chunks: DataFrame, profile=None) -> DataFrame:
     return chunks.withColumn("score", scoring.stored_or_computed(F.col("score"), own))
 
 
+def ranked(scored: DataFrame, score: str = "score", index: str = "index") -> DataFrame:
+    """All chunks, the best first; equal scores stay in order of index."""
+    return scored.orderBy(F.col(score).desc_nulls_last(), index)
+
+
 def rank_agreement(chunks: DataFrame, frames: DataFrame) -> DataFrame:
     """(video, tau, rho) of chunk scores and mean frame scores; videos in both tables count.
 
@@ -23,7 +28,7 @@ def rank_agreement(chunks: DataFrame, frames: DataFrame) -> DataFrame:
     """
     at = chunks.join(frames, "video").withColumn("truth", intervals.frame_mean(F.col("gt_score"), F.col("start"), F.col("end"), F.col("duration")))
     at = at.select("video", "index", "score", "truth")
-    return metrics.kendall(at, ["video"], "score", "truth", "index").join(metrics.spearman(at, ["video"], "score", "truth"), "video", "full")
+    return metrics.kendall(at, ["video"], "score", "truth").join(metrics.spearman(at, ["video"], "score", "truth"), "video", "full")
 
 
 def macro_average(per_video: DataFrame, columns: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .dml import assign_sequence
+from .dml import assign_sequence, update
 from .intervals import snap
 from .select import classify_ids, ordered_lookup
 
@@ -23,9 +23,17 @@ def merge_documents(docs: DataFrame, order: str = "shot_at", fallback: str = "fi
     return at.select((F.col("_base") + F.col("pos")).cast("bigint").alias("index"), F.col("video").alias("source_video"), "pos", "c")
 
 
+def speech_by_video(docs: DataFrame, order: str) -> DataFrame:
+    """(video, speech): of documents with one video, the last by ``order`` counts."""
+    return docs.groupBy("video").agg(F.max_by("speech", order).alias("speech"))
+
+
 def speech_map(docs: DataFrame, order: str) -> DataFrame:
-    """One row: a map of each video's speech; of documents with one video, the last by ``order`` counts."""
-    last = docs.groupBy("video").agg(F.max_by("speech", order).alias("speech"))
+    """One row: a map of each video's speech; of documents with one video, the last by ``order`` counts.
+
+    For a film's documents, which are few; ``speech_by_video`` is the same without the one row.
+    """
+    last = speech_by_video(docs, order)
     return last.agg(F.map_from_entries(F.collect_list(F.struct("video", "speech"))).alias("speech"))
 
 
@@ -53,6 +61,24 @@ def flag_plan(asked: DataFrame, photos: DataFrame, names: DataFrame, dest: Colum
     return at.select("id", "outcome", F.when(F.col("outcome") == "done", F.col("path")).alias("src"), to.alias("dest"))
 
 
+def unflag_plan(asked: DataFrame, photos: DataFrame, names: DataFrame, listing: DataFrame, dest: Column) -> DataFrame:
+    """(id, outcome, path): what taking flags back does, and the copies to delete.
+
+    These are the listed files of the photo's name in its own cluster's folder;
+    files of that name elsewhere stay. A photo without such a file has one row
+    with a null path.
+    """
+    out = classify_ids(asked, photos, "id", "discarded")
+    at = out.join(photos.select("id", "path", "cluster_id"), "id", "left").join(names.select(F.col("id").alias("cluster_id"), F.col("name").alias("_n")), "cluster_id", "left")
+    at = at.withColumn("_to", F.when(F.col("outcome") == "done", F.concat_ws("/", dest, text.sanitize(F.coalesce("_n", F.lit("unclustered"))), text.base_name(F.col("path")))))
+    return at.drop("path").join(listing.select("path"), F.col("_to") == F.col("path"), "left").select("id", "outcome", "path")
+
+
+def set_flags(photos: DataFrame, planned: DataFrame, flag: int) -> DataFrame:
+    """Photos with the flag of a plan's done rows set."""
+    return update(photos, planned.where("outcome = 'done'").select("id", F.lit(flag).cast("int").alias("flagged")).distinct(), "id")
+
+
 def edit_list(chunks: DataFrame, speech: DataFrame, selected: DataFrame, margin: float = 0.3) -> DataFrame:
     """(pos, source_video, src_idx, s, e): selected chunks in order, with ends moved out of speech.
 

@@ -44,10 +44,10 @@ def flag_counts(photos: DataFrame) -> DataFrame:
     return photos.agg(F.count("*").alias("n_photos"), F.count_if(F.col("flagged") == 1).alias("n_flagged"))
 
 
-def source_headers(rows: DataFrame, order: str, source: str) -> DataFrame:
-    """Adds is_header: the first row, and each whose source differs from the one before."""
-    last = F.lag(source).over(Window.partitionBy("_all").orderBy(order))
-    return rows.withColumn("_all", F.lit(1)).withColumn("is_header", ~last.eqNullSafe(F.col(source))).drop("_all")
+def source_headers(rows: DataFrame, order: list[str], source: str, keys: list[str]) -> DataFrame:
+    """Adds is_header: the first row of a key (one page or one film), and each whose source differs from the one before."""
+    last = F.lag(F.struct(source)).over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("is_header", last.isNull() | ~last[source].eqNullSafe(F.col(source)))
 
 
 def discard_manifest(photos: DataFrame) -> DataFrame:

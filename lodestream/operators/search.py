@@ -1,34 +1,78 @@
-"""Full-text search: postings, a query language, BM25.
+"""Full-text search: an index of word arrays, a query language, BM25.
 
 Queries: words (all must be there), AND, OR, NOT, "a phrase", prefix*,
 column:word, NEAR(a b, n), and parentheses.
+
+The index has one row a document with the words of each column in order. A
+query is then one pass over it: what each term finds is counted inside the row
+by array functions, and only counts of matching documents are summed up, so
+nothing is exploded, shuffled by word or gathered by document.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from dataclasses import dataclass
+from functools import cache, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 WORD = r"[\p{L}\p{N}]+"
+#: Marks that stand behind a letter as characters of their own.
+MARKS = r"[\u0300-\u036f]"
+
+
+@cache
+def _plain_letters() -> tuple[str, str]:
+    """Letters with exactly one mark, and the letters without it."""
+    pairs = []
+    for c in map(chr, range(0xC0, min(0x2000, sys.maxunicode))):
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) == 2 and parts[0].isalpha() and unicodedata.combining(parts[1]):
+            pairs.append((c, parts[0]))
+    return "".join(c for c, _ in pairs), "".join(p for _, p in pairs)
+
+
+def folded(text: Column) -> Column:
+    """Lower case, and without the marks of letters."""
+    return F.translate(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), MARKS, ""), *_plain_letters())
+
+
+def folded_word(word: str) -> str:
+    return re.sub("[\u0300-\u036f]", "", word.lower()).translate(str.maketrans(*_plain_letters()))
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(folded(text), F.lit(WORD), F.lit(0))
 
 
-def postings(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """(doc_id, col, term, tf, positions) over all columns of each document."""
-    each = F.explode(F.array(*(F.struct(F.lit(c).alias("col"), tokens(F.col(c)).alias("t")) for c in columns))).alias("e")
-    at = docs.select(F.col(id_col).alias("doc_id"), each).select("doc_id", "e.col", F.posexplode("e.t").alias("pos", "term"))
-    return at.groupBy("doc_id", "col", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+def build_index(docs: DataFrame, id_col: str, columns: list[str], where: Column | None = None) -> DataFrame:
+    """(doc_id, words, len): the words of each column in order, and their number.
 
+    ``words`` is a struct with one array for each column. ``where`` keeps the
+    rows that may be found, and unknown isn't true. Null texts have no words.
+    """
+    rows = docs if where is None else docs.where(where)
+    at = rows.select(F.col(id_col).alias("doc_id"), F.struct(*(tokens(F.col(c)).alias(c) for c in columns)).alias("words"))
+    return at.withColumn("len", reduce(lambda x, y: x + y, (F.size(F.col("words")[c]) for c in columns), F.lit(0)).cast("bigint"))
 
-def lengths(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), sum((F.size(tokens(F.col(c))) for c in columns), F.lit(0)).cast("bigint").alias("len"))
+
+def described(photos: DataFrame) -> Column:
+    """What a library's search finds: rows that are described and not discarded."""
+    return photos["described_at"].isNotNull() & (photos["discarded"] == 0)
+
+
+def write_index(index: DataFrame, path: str) -> None:
+    """Store an index, replacing what is there."""
+    index.write.mode("overwrite").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
 
 
 class QueryError(ValueError):
@@ -74,7 +118,7 @@ def parse(query: str, columns: list[str]) -> Term | Op:
         return items[at - 1]
 
     def words(text: str) -> tuple[str, ...]:
-        found = tuple(w.lower() for w in re.findall(r"[^\W_]+", text))
+        found = tuple(re.findall(r"[^\W_]+", folded_word(text)))
         if not found:
             raise QueryError(f"no word in {text!r}")
         return found
@@ -145,59 +189,83 @@ def _leaves(node: Term | Op) -> list[Term]:
     return [t for i, p in enumerate(node.parts) if not (node.kind == "NOT" and i) for t in _leaves(p)]
 
 
-def _hits(post: DataFrame, term: Term) -> DataFrame:
-    """(doc_id, f): documents with the term and its occurrences."""
-    rows = post if term.column is None else post.where(F.col("col") == term.column)
-    if len(term.words) == 1:
+def _places(words: Column, term: Term) -> Column:
+    """Places in an array of words where a term begins."""
+    fits = lambda i: lambda x: x.startswith(term.words[i]) if term.prefix and i == len(term.words) - 1 else x == term.words[i]
+    every = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
+    if term.near is None:
+        return F.filter(every, lambda p: reduce(lambda x, y: x & y, (F.coalesce(fits(i)(F.get(words, p + i)), F.lit(False)) for i in range(len(term.words)))))
+    span = term.near + len(term.words)
+    whole = lambda start: reduce(lambda x, y: x & y, (F.exists(F.slice(words, start + 1, F.lit(span)), fits(i)) for i in range(len(term.words))))
+    around = lambda p: F.sequence(F.greatest(F.lit(0), p - (span - 1)), p)
+    return F.filter(every, lambda p: fits(0)(F.get(words, p)) & F.exists(around(p), whole))
+
+
+def occurrences(words: Column, term: Term, columns: list[str]) -> Column:
+    """How often a term is found in the columns of a document."""
+
+    def count(own: Column) -> Column:
+        if len(term.words) > 1:
+            return F.size(_places(own, term))
         word = term.words[0]
-        match = F.col("term").startswith(word) if term.prefix else F.col("term") == word
-        return rows.where(match).groupBy("doc_id").agg(F.sum("tf").cast("double").alias("f"))
-    places = None
-    for i, word in enumerate(term.words):
-        last = term.prefix and i == len(term.words) - 1
-        match = F.col("term").startswith(word) if last else F.col("term") == word
-        own = rows.where(match).select("doc_id", "col", F.explode("positions").alias("p")).distinct()
-        if places is None:
-            places = own.select("doc_id", "col", "p", F.col("p").alias("lo"), F.col("p").alias("hi"))
-            continue
-        if term.near is None:
-            places = places.join(own.select("doc_id", "col", (F.col("p") - i).alias("p")), ["doc_id", "col", "p"])
-        else:
-            both = places.join(own.select("doc_id", "col", F.col("p").alias("q")), ["doc_id", "col"])
-            both = both.withColumn("lo", F.least("lo", "q")).withColumn("hi", F.greatest("hi", "q"))
-            places = both.where(F.col("hi") - F.col("lo") - (i + 1) < term.near).select("doc_id", "col", "p", "lo", "hi").distinct()
-    return places.groupBy("doc_id").agg(F.count("*").cast("double").alias("f"))
-
-
-def _matches(post: DataFrame, node: Term | Op) -> DataFrame:
+        return F.size(F.filter(own, lambda x: x.startswith(word) if term.prefix else x == word))
+
+    return reduce(lambda x, y: x + y, (count(words[c]) for c in columns if term.column in (None, c)), F.lit(0)).cast("double")
+
+
+def _true(node: Term | Op, number: dict[Term, int]) -> Column:
+    """Whether a document fits a tree, by its counts f."""
     if isinstance(node, Term):
-        return _hits(post, node).select("doc_id")
-    parts = [_matches(post, p) for p in node.parts]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p).distinct() if node.kind == "OR" else out.join(p, "doc_id", "left_anti" if node.kind == "NOT" else "left_semi")
-    return out
+        return F.get("f", F.lit(number[node])) > 0
+    first, *rest = (_true(p, number) for p in node.parts)
+    for other in rest:
+        first = first | other if node.kind == "OR" else first & (~other if node.kind == "NOT" else other)
+    return first
 
 
-def search(docs: DataFrame, query: str, id_col: str, columns: list[str], limit: int | None = 20) -> DataFrame:
+def _terms(node: Term | Op) -> list[Term]:
+    return [node] if isinstance(node, Term) else [t for p in node.parts for t in _terms(p)]
+
+
+def search_index(index: DataFrame, query: str, columns: list[str], limit: int | None = 20) -> DataFrame:
     """(doc_id, score), the best first: lower (more negative) BM25 scores are better; ties by id.
 
     k1 is 1.2 and b is 0.75; an idf that isn't positive becomes 1e-6; occurrences
-    and lengths are over all columns. ``limit`` None returns all matches.
+    and lengths are over all columns. ``limit`` None returns all matches, in no
+    order.
     """
     tree = parse(query, columns)
-    post = postings(docs, id_col, columns)
-    sizes = lengths(docs, id_col, columns)
-    scored = None
-    for term in dict.fromkeys(_leaves(tree)):
-        hits = _hits(post, term)
-        count = hits.agg(F.count("*").alias("n")).withColumn("_one", F.lit(1))
-        own = hits.withColumn("_one", F.lit(1)).join(count, "_one").drop("_one")
-        scored = own if scored is None else scored.unionByName(own)
-    total = sizes.agg(F.count("*").alias("_docs"), F.avg("len").alias("_mean")).withColumn("_one", F.lit(1))
-    at = scored.join(_matches(post, tree), "doc_id", "left_semi").join(sizes, "doc_id").withColumn("_one", F.lit(1)).join(total, "_one")
-    idf = F.ln((F.col("_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("_mean")))
-    out = at.groupBy("doc_id").agg((-F.sum(part)).alias("score"))
+    number = {t: i for i, t in enumerate(dict.fromkeys(_terms(tree)))}
+    scored = [number[t] for t in dict.fromkeys(_leaves(tree))]
+    at = index.select("doc_id", "len", F.array(*(occurrences(F.col("words"), t, columns) for t in number)).alias("f"))
+    total = at.agg(F.count("*").alias("_docs"), F.avg("len").alias("_mean"), F.array(*(F.count_if(F.get("f", F.lit(i)) > 0) for i in range(len(number)))).alias("_n"))
+    at = at.where(_true(tree, number)).withColumn("_one", F.lit(1)).join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one")
+    score = F.lit(0.0)
+    for i in scored:
+        f, n = F.get("f", F.lit(i)), F.get("_n", F.lit(i))
+        idf = F.ln((F.col("_docs") - n + 0.5) / (n + 0.5))
+        idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
+        part = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("_mean")))
+        score = score + F.when(f > 0, part).otherwise(0.0)
+    out = at.select("doc_id", (-score).alias("score"))
     return out if limit is None else out.orderBy("score", "doc_id").limit(limit)
+
+
+def search(docs: DataFrame, query: str, id_col: str, columns: list[str], limit: int | None = 20, where: Column | None = None) -> DataFrame:
+    """``search_index`` over the index of these rows; see there."""
+    return search_index(build_index(docs, id_col, columns, where), query, columns, limit)
+
+
+#: Columns of a library's index.
+PHOTO_COLUMNS = ["caption", "scene", "people", "place"]
+
+
+def photo_index(photos: DataFrame) -> DataFrame:
+    return build_index(photos, "id", PHOTO_COLUMNS, described(photos))
+
+
+def search_photos(photos: DataFrame, query: str, limit: int | None = 20, index: DataFrame | None = None) -> DataFrame:
+    """(id, path, scene, place, caption, cluster_id, score) of a library's matches, by a stored index if there is one."""
+    hits = search_index(photo_index(photos) if index is None else index, query, PHOTO_COLUMNS, limit)
+    found = photos.select("id", "path", "scene", "place", "caption", "cluster_id").join(hits.withColumnRenamed("doc_id", "id"), "id")
+    return found if limit is None else found.orderBy("score", "id")

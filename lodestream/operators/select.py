@@ -20,8 +20,8 @@ def page_count(df: DataFrame, size: int) -> DataFrame:
 
 
 def sample(df: DataFrame, n: int, seed: int, id_col: str) -> DataFrame:
-    """n rows by a seeded hash of their id; a repeatable stand-in for random order."""
-    return df.orderBy(F.xxhash64(F.lit(seed), id_col), id_col).limit(n)
+    """n rows by the MD5 of a seed and their id; a repeatable stand-in for random order, the same in every engine."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary")), id_col).limit(n)
 
 
 def batches(df: DataFrame, order: str, size: int = 15, keys: list[str] | None = None) -> DataFrame:
@@ -46,6 +46,26 @@ def classify_ids(asked: DataFrame, df: DataFrame, id_col: str, discarded: str) -
     return at.select(id_col, outcome.alias("outcome"))
 
 
+def by_time_or_zero(df: DataFrame, taken_at: str = "taken_at", tie: str = "id") -> DataFrame:
+    """Rows by time; those without one stand at zero."""
+    return df.orderBy(F.coalesce(F.col(taken_at), F.lit(0)), tie)
+
+
+def sides(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(key, side) of the distinct keys of two tables: both, a or b. Null keys are left out.
+
+    One aggregate over what both tables have; neither is joined to the other.
+    """
+    at = a.select(key, F.lit(1).alias("_s")).unionByName(b.select(key, F.lit(2).alias("_s"))).where(F.col(key).isNotNull())
+    found = at.groupBy(key).agg(F.bit_or("_s").alias("_s"))
+    return found.select(key, F.when(F.col("_s") == 3, "both").when(F.col("_s") == 1, "a").otherwise("b").alias("side"))
+
+
+def union_distinct(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """The distinct keys of either table."""
+    return a.select(key).unionByName(b.select(key)).distinct()
+
+
 def first_seen(df: DataFrame, value: str, pos: str) -> DataFrame:
     """Distinct values with the place where each is first seen."""
     return df.groupBy(value).agg(F.min(pos).alias("first_pos"))

@@ -26,11 +26,11 @@ def keep_rule_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.discard_duplicates(docs, F.col("h"), id_col="doc_id", described="shown").select("doc_id", "kept_id", "is_kept", "reason")
 
 
-@REG.add("""WITH s AS (SELECT vec_id, label, list_aggregate(list_transform(embedding[1:10], lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), 'string_agg', '') AS h FROM embeddings),
+@REG.add("""WITH s AS (SELECT vec_id, label, list_aggregate(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), 'string_agg', '') AS h FROM embeddings),
 g AS (SELECT *, count(*) OVER (PARTITION BY h) AS n, max((label = 9)::INT) OVER (PARTITION BY h) AS bad, min(vec_id) OVER (PARTITION BY h) AS kept_id FROM s)
 SELECT vec_id, h, kept_id, vec_id = kept_id AS is_kept FROM g WHERE n >= 2 AND bad = 0""")
 def perceptual_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", dedup.sign_hash(F.slice("embedding", 1, 10)).alias("h"), F.col("vec_id").cast("string").alias("path"))
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", dedup.sign_hash(F.col("embedding")).alias("h"), F.col("vec_id").cast("string").alias("path"))
     return dedup.discard_duplicates(v, F.col("h"), id_col="vec_id", described=None, skip=F.col("label") == 9).select("vec_id", "h", "kept_id", "is_kept")
 
 
@@ -115,10 +115,13 @@ def merge_reindex(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REG.add("""WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority = '1-URGENT'), b AS (SELECT c_custkey AS k FROM customer WHERE c_nationkey < 10)
 SELECT k, 'both' AS side FROM (SELECT k FROM a INTERSECT SELECT k FROM b) UNION ALL SELECT k, 'a' FROM (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL SELECT k, 'b' FROM (SELECT k FROM b EXCEPT SELECT k FROM a)""")
 def set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("k")).distinct()
-    b = table(spark, sf_dir, "customer").where("c_nationkey < 10").select(F.col("c_custkey").alias("k"))
-    both = a.join(b, "k", "left_semi").withColumn("side", F.lit("both"))
-    return both.unionByName(a.join(b, "k", "left_anti").withColumn("side", F.lit("a"))).unionByName(b.join(a, "k", "left_anti").withColumn("side", F.lit("b")))
+    a = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("k"))
+    return select.sides(a, table(spark, sf_dir, "customer").where("c_nationkey < 10").select(F.col("c_custkey").alias("k")), "k")
+
+
+@REG.add("SELECT DISTINCT o_custkey AS k FROM orders UNION SELECT c_custkey FROM customer WHERE c_nationkey < 10")
+def union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.union_distinct(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), table(spark, sf_dir, "customer").where("c_nationkey < 10").select(F.col("c_custkey").alias("k")), "k")
 
 
 @REG.add("SELECT o_custkey, min(o_orderkey) AS first_pos FROM orders GROUP BY ALL")

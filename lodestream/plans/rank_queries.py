@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, jsontext, scoring, text
-from ..operators import describe, metrics, plans, report, search, select
+from ..operators import describe, dml, metrics, plans, report, search, select
 from .base import CHUNKS_SQL, EVENTS_SQL, Registry, chunks, events, table
 
 REG = Registry()
@@ -39,6 +39,57 @@ def stored_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select("event_id", scoring.stored_or_computed(F.when(F.col("event_id") % 2 == 0, F.lit(1.25)), F.col("score")).alias("score"), scoring.score_band(F.col("score")).alias("band"))
 
 
+def match_sql(found: dict[str, str], match: str) -> str:
+    """BM25 over the words w of each document's columns; ``found`` has the SQL of a list of the places of each term in w."""
+    words = ", ".join(f"regexp_extract_all(strip_accents(lower({c})), '[\\p{{L}}\\p{{N}}]+') AS {c}" for c in ("text", "lang", "source"))
+    count = lambda sql, c: f"len({sql.replace('$w', c)})"
+    fs = ", ".join(f"({count(sql.split('@')[0], sql.split('@')[1]) if '@' in sql else ' + '.join(count(sql, c) for c in ('text', 'lang', 'source'))})::DOUBLE AS {name}" for name, sql in found.items())
+    totals = ", ".join(f"count(*) FILTER ({name} > 0) AS n_{name}" for name in found)
+    scores = " + ".join(f"CASE WHEN {f} > 0 THEN CASE WHEN ln((n_docs - n_{f} + 0.5) / (n_{f} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_docs - n_{f} + 0.5) / (n_{f} + 0.5)) END * {f} * 2.2 / ({f} + 1.2 * (0.25 + 0.75 * l / mean)) ELSE 0.0 END" for f in found if f != "no")
+    return f"""WITH w AS (SELECT doc_id, {words} FROM documents), f AS (SELECT doc_id, len(text) + len(lang) + len(source) AS l, {fs} FROM w),
+s AS (SELECT count(*) AS n_docs, avg(l) AS mean, {totals} FROM f) SELECT doc_id, round(-({scores}), 6) AS score FROM f, s WHERE {match}"""
+
+
+def _searched(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
+    columns = ["text", "lang", "source"]
+    index = search.build_index(table(spark, sf_dir, "documents"), "doc_id", columns)
+    return search.search_index(index, query, columns, None).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def word_sql(word: str) -> str:
+    return f"list_filter($w, lambda x: x = '{word}')"
+
+
+@REG.add(match_sql({"a": "list_filter(range(1, len($w)), lambda i: $w[i] = 'of' AND $w[i + 1] = 'the')"}, "a > 0"))
+def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _searched(spark, sf_dir, '"of the"')
+
+
+@REG.add(match_sql({"a": "list_filter($w, lambda x: starts_with(x, 'mentr'))"}, "a > 0"))
+def prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _searched(spark, sf_dir, "mentr*")
+
+
+@REG.add(match_sql({"a": "list_filter(range(1, len($w) + 1), lambda i: $w[i] = 'with' AND list_contains($w[greatest(1, i - 4):i + 4], 'from'))"}, "a > 0"))
+def near_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _searched(spark, sf_dir, "NEAR(with from, 3)")
+
+
+@REG.add(match_sql({"a": word_sql("that"), "b": word_sql("der"), "no": word_sql("src1")}, "(a > 0 OR b > 0) AND NOT no > 0"))
+def boolean_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _searched(spark, sf_dir, "(that OR der) NOT src1")
+
+
+@REG.add(match_sql({"a": word_sql("src2") + "@source", "b": word_sql("es") + "@lang"}, "a > 0 AND b > 0"))
+def column_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _searched(spark, sf_dir, "source:src2 lang:es")
+
+
+@REG.add(match_sql({"a": word_sql("ree")}, "a > 0"))
+def accent_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _searched(spark, sf_dir, "réé")
+
+
 def bm25_sql(terms: list[str]) -> str:
     listed = ", ".join(f"'{t}'" for t in terms)
     return f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') || regexp_extract_all(lower(lang), '[\\p{{L}}\\p{{N}}]+') || regexp_extract_all(lower(source), '[\\p{{L}}\\p{{N}}]+')) AS term FROM documents),
@@ -55,10 +106,10 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(docs, "ention src3", "doc_id", ["text", "lang", "source"], None).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@REG.add(r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?:^|[^\p{L}\p{N}_])(?:the|ention)(?:$|[^\p{L}\p{N}_])', 'i') AND doc_id % 2 = 0")
+@REG.add(r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?:^|[^\p{L}\p{N}_])(?:the|ention)(?:$|[^\p{L}\p{N}_])', 'i')")
 def keyword_suspects(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.where(F.col("text").rlike(text.keyword_pattern(("the", "ention"))) & (F.col("doc_id") % 2 == 0)).select("doc_id")
+    return docs.where(F.col("text").rlike(text.keyword_pattern(("the", "ention")))).select("doc_id")
 
 
 @REG.add("""WITH r AS (SELECT d.lang, d.doc_id, l.quality AS y, d.n_chars % 101 AS score FROM documents d JOIN labels l USING (doc_id)),
@@ -80,7 +131,7 @@ SELECT label, round(tau, 6) AS tau, round(rho, 6) AS rho FROM t JOIN s USING (la
 @REG.add(KENDALL_SQL)
 def kendall_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select("vec_id", "label", ((F.col("vec_id") * 7919) % 23).alias("x"), F.round(F.col("embedding")[0].cast("double"), 1).alias("y"))
-    return metrics.kendall(v, ["label"], "x", "y", "vec_id").join(metrics.spearman(v, ["label"], "x", "y"), "label")
+    return metrics.kendall(v, ["label"], "x", "y").join(metrics.spearman(v, ["label"], "x", "y"), "label")
 
 
 @REG.add(f"""WITH {EVENTS_SQL}, q AS (SELECT count(*) AS n, count(*) FILTER (value > 10) AS a, count(*) FILTER (event_id % 3 = 0) AS b, count(*) FILTER (user_id < 50) AS c FROM ev)
@@ -98,12 +149,27 @@ def before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.before_after(at.select(F.col("event_id").alias("index"), total(10, 50)), at.where("event_id % 4 <> 0").select(F.col("event_id").alias("index"), total(20, 90))).select("index", "total_before", F.coalesce("total_after", F.lit(-1)).alias("total_after"), F.coalesce("delta", F.lit(0)).alias("delta"))
 
 
+@REG.add(f"""WITH {EVENTS_SQL}, b AS (SELECT avg((value > 10)::INT + (user_id < 50)::INT) AS m, count(*) AS n FROM ev), a AS (SELECT avg((value > 20)::INT + (user_id < 90)::INT) AS m FROM ev WHERE event_id % 4 <> 0)
+SELECT b.n AS n_before, round(b.m, 6) AS mean_before, round(a.m, 6) AS mean_after, round(a.m - b.m, 6) AS delta FROM a, b""")
+def mean_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = events(spark, sf_dir)
+    total = lambda v, u: ((F.col("value") > v).cast("int") + (F.col("user_id") < u).cast("int")).alias("total")
+    return metrics.mean_totals(at.select(total(10, 50)), at.where("event_id % 4 <> 0").select(total(20, 90)))
+
+
+@REG.add(f"WITH {SCORE_SQL} SELECT event_id, score, (row_number() OVER (ORDER BY score DESC, event_id) - 1)::BIGINT AS place FROM sc")
+def full_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk's place in the ranking, by counts of scores; ``evaluate.ranked`` gives the same order as rows."""
+    at = _scored(spark, sf_dir).select("event_id", "score")
+    return dml.numbered(at, "place", -F.col("score"), None, "event_id").withColumn("place", F.col("place") - 1)
+
+
 @REG.add("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 50")
 def paginate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.page(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc(), "o_orderkey"], 3, 25)
 
 
-@REG.add()
+@REG.add("SELECT event_id, user_id FROM events ORDER BY md5('42:' || event_id), event_id LIMIT 20")
 def random_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.sample(events(spark, sf_dir).select("event_id", "user_id"), 20, 42, "event_id")
 
@@ -131,10 +197,17 @@ def filename_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select("event_id", F.coalesce(dates.filename_epoch(name), F.lit(-1)).alias("taken_at"))
 
 
-@REG.add("SELECT event_id, coalesce((props->>'$.k')::BIGINT, -1) AS k, coalesce((props->>'$.none')::BIGINT, -1) AS missing FROM events")
+@REG.add(f"""WITH {EVENTS_SQL}, c AS (SELECT event_id, us, event_id % 4 AS kind, CASE WHEN event_id % 4 = 2 AND user_id % 2 = 0 THEN 0 ELSE user_id / 4 END::DOUBLE AS la, (-(user_id % 2))::DOUBLE AS lo FROM ev)
+SELECT event_id, CASE WHEN kind <> 0 THEN us // 1000000 END AS taken_at, CASE WHEN kind <> 1 AND NOT (la = 0 AND lo = 0) THEN la END AS lat, CASE WHEN kind <> 1 AND NOT (la = 0 AND lo = 0) THEN lo END AS lon FROM c""")
 def sidecar_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.select("event_id", F.coalesce(F.get_json_object("props", "$.k").try_cast("bigint"), F.lit(-1)).alias("k"), F.coalesce(F.get_json_object("props", "$.none").try_cast("bigint"), F.lit(-1)).alias("missing"))
+    """Sidecars made of events: with a bad time, a bad place, and no place where both coordinates are zero."""
+    at = events(spark, sf_dir).withColumn("kind", F.col("event_id") % 4)
+    none = (F.col("kind") == 2) & (F.col("user_id") % 2 == 0)
+    time = F.when(F.col("kind") == 0, "soon").otherwise(F.floor(F.col("us") / 1_000_000).cast("string"))
+    lat = F.when(F.col("kind") == 1, "north").when(none, "0.0").otherwise((F.col("user_id") / 4).cast("string"))
+    lon = F.when(F.col("kind") == 1, "west").when(none, "0.0").otherwise((-(F.col("user_id") % 2)).cast("double").cast("string"))
+    raw = F.to_json(F.struct(F.col("props").alias("description"), F.struct(time.alias("timestamp")).alias("photoTakenTime"), F.struct(lat.alias("latitude"), lon.alias("longitude")).alias("geoData")))
+    return at.select("event_id", jsontext.sidecar(raw).alias("s")).select("event_id", "s.taken_at", "s.lat", "s.lon")
 
 
 @REG.add(f"""WITH {EVENTS_SQL} SELECT event_id, CASE WHEN event_id % 3 = 2 THEN 'reply ' || event_id ELSE event_type END AS action, CASE WHEN event_id % 3 = 2 THEN NULL ELSE 'a b' END AS shot FROM ev""")
@@ -168,17 +241,15 @@ def estimated_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.estimated_gb(f, ["c_nationkey"], "c_custkey")
 
 
-@REG.add(f"WITH {SCORE_SQL}, g AS (SELECT event_id, user_id, start, \"end\", row_number() OVER (PARTITION BY user_id ORDER BY start, event_id) AS r FROM sc) SELECT event_id, round((start + \"end\") / 2, 3) AS seek FROM g WHERE r <= 5")
+@REG.add(f"WITH {SCORE_SQL} SELECT event_id, round((start + \"end\") / 2, 3) AS seek FROM sc")
 def thumb_seeks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = Window.partitionBy("user_id").orderBy("start", "event_id")
-    first = _scored(spark, sf_dir).withColumn("r", F.row_number().over(by)).where("r <= 5")
-    return plans.thumb_seeks(first).select("event_id", F.round("seek", 3).alias("seek"))
+    return plans.thumb_seeks(_scored(spark, sf_dir)).select("event_id", F.round("seek", 3).alias("seek"))
 
 
-@REG.add()
+@REG.add("SELECT event_id AS index, 'clip ' || event_id AS action, true AS action_clear, true AS energy_clear, true AS setting_clear, true AS shot_clear, true AS quality_ok, true AS selection_ready, true AS concise, 7::BIGINT AS total FROM events")
 def describe_and_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stub describer and judge over all chunks."""
+    """Stub describer, and stub judge in batches, over all chunks."""
     at = chunks(spark, sf_dir).select(F.col("event_id").alias("index"))
     said = describe.describe_chunks(at)
     form = text.description(F.struct("action", "shot", "energy", "setting", "quality", "description"))
-    return describe.judge(said.withColumn("desc_formatted", form)).select("index", "action", *describe.QUESTIONS, "total")
+    return describe.judge_batches(said.withColumn("desc_formatted", form)).select("index", "action", *describe.QUESTIONS, "total")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geo
-from ..operators import cluster, intervals, sessionize
+from ..operators import cluster, dml, intervals, report, sessionize
 from ..streaming import sessions as streams
 from .base import CHUNKS_SQL, EVENTS_SQL, Registry, chunks, events, haversine_sql, table
 
@@ -52,10 +51,8 @@ def home_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REG.add(f"""WITH s AS (SELECT s_suppkey, s_nationkey, 40.0::DOUBLE + (s_suppkey % 17) AS lat, (s_suppkey % 23)::DOUBLE AS lon FROM supplier)
 SELECT a.s_nationkey AS nation, round(max({haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')}), 6) AS spread_km FROM s a JOIN s b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey GROUP BY ALL""")
 def haversine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", (F.lit(40.0) + F.col("s_suppkey") % 17).alias("lat"), (F.col("s_suppkey") % 23).cast("double").alias("lon"))
-    a = s.select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("nation"), F.col("lat").alias("la"), F.col("lon").alias("lo"))
-    both = a.join(s.withColumnRenamed("s_nationkey", "nation"), "nation").where("k < s_suppkey")
-    return both.groupBy("nation").agg(F.round(F.max(geo.haversine_km(F.col("la"), F.col("lo"), F.col("lat"), F.col("lon"))), 6).alias("spread_km"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), (F.lit(40.0) + F.col("s_suppkey") % 17).alias("lat"), (F.col("s_suppkey") % 23).cast("double").alias("lon"))
+    return cluster.spread_km(s, ["nation"]).where("spread_km is not null")
 
 
 @REG.add(f"""WITH {EVENTS_SQL}, o AS (SELECT *, row_number() OVER w - 1 AS pos, lag(lat) OVER w AS la, lag(lon) OVER w AS lo FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
@@ -130,13 +127,15 @@ def frame_mean_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REG.add(f"""WITH {EVENTS_SQL} SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM ev GROUP BY ALL HAVING count(*) > 50""")
 def bulk_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = events(spark, sf_dir)
-    return at.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n")).where("n > 50")
+    return dml.bulk_days(events(spark, sf_dir), F.col("ts"))
 
 
-@REG.add()
+@REG.add(f"""WITH {EVENTS_SQL}, n AS (SELECT *, CASE WHEN us - lag(us) OVER w > {HOUR} THEN 1 ELSE 0 END AS fresh FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY us)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS k FROM n),
+g AS (SELECT user_id, min(ts) AS start_ts, max(ts) + INTERVAL 1 HOUR AS end_ts, count(*) AS n_events FROM s GROUP BY user_id, k)
+SELECT * FROM g WHERE end_ts <= (SELECT date_trunc('millisecond', max(ts)) FROM ev) - INTERVAL 1 HOUR""")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of the events as a stream, to the end of what is there; the watermark holds the last ones back."""
+    """Sessions of the events as a stream that the watermark has closed; those still open at its end come when it goes on."""
     return streams.closed_sessions(spark, f"{sf_dir}/events.parquet", "1 hour", "1 hour")
 
 
@@ -151,6 +150,4 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REG.add(f"""WITH {EVENTS_SQL}, o AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY us, event_id) AS prev FROM ev)
 SELECT user_id, event_id, event_type, prev IS DISTINCT FROM event_type AS is_header FROM o""")
 def source_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = Window.partitionBy("user_id").orderBy("us", "event_id")
-    at = events(spark, sf_dir).withColumn("prev", F.lag("event_type").over(by))
-    return at.select("user_id", "event_id", "event_type", (~F.col("prev").eqNullSafe(F.col("event_type"))).alias("is_header"))
+    return report.source_headers(events(spark, sf_dir), ["us", "event_id"], "event_type", ["user_id"]).select("user_id", "event_id", "event_type", "is_header")

@@ -3,23 +3,46 @@
 from __future__ import annotations
 
 import struct
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, jsontext, text
-from ..operators.dml import insert_or_ignore
+from ..operators.dml import insert_or_ignore, numbered
 
 # EXIF tags.
 TAG_DATE_ORIGINAL, TAG_DATE, TAG_EXIF_IFD, TAG_GPS_IFD = 36867, 306, 34665, 34853
 
 
+#: Files whose metadata are read from their bytes, and how many bytes such a file may have.
+READ_SUFFIXES, MOST_BYTES = (".jpg", ".jpeg", ".png"), 256 << 20
+
+
 def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...] = text.SCAN_SUFFIXES, content: bool = False) -> DataFrame:
-    """(path, modificationTime, length[, content]) of the media files below a folder; contents are read only if asked for."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    columns = ["path", "modificationTime", "length", *(["content"] if content else [])]
-    return files.where(text.suffix(F.col("path")).isin(*suffixes)).select(columns)
+    """(path, modificationTime, length[, content]) of the media files below a folder.
+
+    Contents are read only if asked for, and only of pictures of up to
+    MOST_BYTES (``unread`` lists the larger ones); videos' bytes are never read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    every = files.load(root).where(text.suffix(F.col("path")).isin(*suffixes)).select("path", "modificationTime", "length")
+    if not content:
+        return every
+    small = [files.option("pathGlobFilter", f"*{s}").load(root).where(F.col("length") <= MOST_BYTES) for s in _any_case(READ_SUFFIXES)]
+    bytes_ = reduce(DataFrame.unionByName, small).select("path", "content")
+    return every.join(bytes_, "path", "left")
+
+
+def _any_case(suffixes: tuple[str, ...]) -> list[str]:
+    """Glob patterns that match suffixes whatever their letters' case; no file matches two."""
+    return ["".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in s) for s in suffixes]
+
+
+def unread(files: DataFrame) -> DataFrame:
+    """(path, length) of the pictures that are too large for their metadata to be read."""
+    return files.where(text.suffix(F.col("path")).isin(*READ_SUFFIXES) & (F.col("length") > MOST_BYTES)).select("path", "length")
 
 
 def sidecars(spark: SparkSession, root: str) -> DataFrame:
@@ -59,12 +82,14 @@ def _degrees(value: tuple[int, int, bytes], ref: tuple[int, int, bytes] | None,
 
 
 def exif_of(content: bytes | None) -> tuple[str | None, float | None, float | None]:
-    """(date text, latitude, longitude) in a JPEG's EXIF block; anything damaged gives nulls."""
+    """(date text, latitude, longitude) in the EXIF block of a JPEG or PNG file; anything damaged gives nulls."""
+    content = content or b""
     try:
-        at = content.find(b"Exif\0\0")
-        if content[:2] != b"\xff\xd8" or at < 0:
+        mark = b"Exif\0\0" if content[:2] == b"\xff\xd8" else b"eXIf"
+        at = content.find(mark)
+        if content[:8] != b"\x89PNG\r\n\x1a\n" and content[:2] != b"\xff\xd8" or at < 0:
             return None, None, None
-        data = content[at + 6 : at + 6 + 65_536]
+        data = content[at + len(mark) : at + len(mark) + 65_536]
         order = {b"II": "<", b"MM": ">"}[data[:2]]
         main = _ifd(data, struct.unpack_from(order + "I", data, 4)[0], order)
         sub = _ifd(data, struct.unpack(order + "I", main[TAG_EXIF_IFD][2])[0], order) if TAG_EXIF_IFD in main else {}
@@ -74,7 +99,7 @@ def exif_of(content: bytes | None) -> tuple[str | None, float | None, float | No
         if 2 in gps and 4 in gps:
             return when, _degrees(gps[2], gps.get(1), order), _degrees(gps[4], gps.get(3), order)
         return when, None, None
-    except (AttributeError, KeyError, struct.error, IndexError):
+    except (KeyError, struct.error, IndexError):
         return None, None, None
 
 
@@ -117,14 +142,14 @@ def with_place(rows: DataFrame, gazetteer: DataFrame, cell: float = 0.1) -> Data
 
 
 def library_scan(spark: SparkSession, root: str, existing: DataFrame, gazetteer: DataFrame | None = None, with_exif: bool = True) -> DataFrame:
-    """The library with the folder's new files; rows that are there stay as they are, and ids go on from the largest."""
+    """The library with the folder's new files; rows that are there stay as they are, and ids go on from the largest (at first 1) in order of path."""
     found = metadata(with_sidecar(scan(spark, root, content=with_exif), sidecars(spark, root)), with_exif)
     found = with_place(found, gazetteer) if gazetteer is not None else found.withColumn("place", F.lit(None).cast("string"))
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top")).withColumn("_one", F.lit(1))
-    fresh = found.join(existing.select("path"), "path", "left_anti")
-    numbered = fresh.withColumn("_one", F.lit(1)).join(F.broadcast(top), "_one").withColumn("id", F.col("_top") + 1 + F.monotonically_increasing_id())
+    fresh = numbered(found.join(existing.select("path"), "path", "left_anti"), "id", F.lit(0), None, "path")
+    fresh = fresh.withColumn("_one", F.lit(1)).join(F.broadcast(top), "_one").withColumn("id", F.col("id") + F.col("_top"))
     blank = [F.lit(0).alias("discarded"), F.lit(0).alias("flagged")]
-    return insert_or_ignore(existing, numbered.select("id", "path", "taken_at", "lat", "lon", "place", *blank).select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in existing.schema if f.name not in ("id", "path", "taken_at", "lat", "lon", "place", "discarded", "flagged"))), "path")
+    return insert_or_ignore(existing, fresh.select("id", "path", "taken_at", "lat", "lon", "place", *blank).select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in existing.schema if f.name not in ("id", "path", "taken_at", "lat", "lon", "place", "discarded", "flagged"))), "path")
 
 
 def probe(raw: Column) -> Column:

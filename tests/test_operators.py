@@ -81,7 +81,7 @@ def test_metrics(spark):
     ap = {r["k"]: r["ap"] for r in metrics.average_precision(df, ["k"], "s", "y", "i").collect()}
     assert ap["a"] == pytest.approx((1 + 2 / 3) / 2, abs=1e-6) and ap["b"] == 0.0
     same = spark.createDataFrame([("a", i, i, i * i) for i in range(6)] + [("c", i, 1, i) for i in range(4)], "k string, i int, x int, y int")
-    assert {r["k"]: r["tau"] for r in metrics.kendall(same, ["k"], "x", "y", "i").collect()} == {"a": 1.0, "c": None}
+    assert {r["k"]: r["tau"] for r in metrics.kendall(same, ["k"], "x", "y").collect()} == {"a": 1.0, "c": None}
     assert {r["k"]: r["rho"] for r in metrics.spearman(same, ["k"], "x", "y").collect()} == {"a": 1.0, "c": None}
     empty = spark.createDataFrame([], "q boolean")
     assert metrics.percent_true(empty, ["q"]).first()["percent"] == 0
