@@ -8,12 +8,18 @@ from pyspark.sql import SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where Spark runs on one machine."""
+    """The shared checkpoint folder, set for the session; a temporary one only where Spark runs on one machine.
+
+    It comes from ``spark.checkpoint.dir``. If a cluster names none, this
+    raises, because a machine-local folder would lose files there.
+    """
     sc = spark.sparkContext
-    named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if known := sc.getCheckpointDir():
+        return known
+    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         if not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         named = tempfile.mkdtemp(prefix="lodestream-checkpoint-")
-        sc.setCheckpointDir(named)
+    sc.setCheckpointDir(named)
     return named
