@@ -2,33 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
-import tempfile
+import inspect
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a temporary one only on a single machine.
-
-    The folder comes from ``spark.checkpoint.dir``. If a cluster names none,
-    this raises, because a machine-local folder would lose files there.
-    """
-    sc = spark.sparkContext
-    known = sc.getCheckpointDir()
-    if known:
-        return known
-    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        named = tempfile.mkdtemp(prefix="lodestream-checkpoint-")
-    sc.setCheckpointDir(named)
-    return named
+from ..checkpoints import folder as ensure_checkpoint_dir
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -52,6 +37,66 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)  # Spark's cleaner works beside the program
 
 
+def _give_back() -> None:
+    """Return a Python worker's free memory to the system.
+
+    Workers serve one task after another; what their allocators hold back adds
+    up beside the next operator's.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy_task(run: Callable) -> Callable:
+    """A function over a task's batches that gives free memory back at its end."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _give_back()
+
+    return tidied
+
+
+def tidy_group(run: Callable) -> Callable:
+    """A function over the tables of a group (of megabytes) that gives free memory back after each.
+
+    Its signature stays, since Spark goes by the number of parameters.
+    """
+
+    @functools.wraps(run)
+    def tidied(*tables: pa.Table) -> pa.Table:
+        out = run(*tables)
+        _give_back()
+        return out
+
+    tidied.__signature__ = inspect.signature(run)
+    return tidied
+
+
+class Memo(dict):
+    """A dictionary of short keys that is emptied before it holds more than about ``most`` bytes."""
+
+    def __init__(self, most: int = 16 << 20, longest: int = 64):
+        super().__init__()
+        self.most, self.longest, self.held = most, longest, 0
+
+    def keep(self, key, value, size: int):
+        """Remember a value unless its key is long (``size`` characters); returns the value."""
+        if size > self.longest:
+            return value
+        self.held += 200 + 2 * size
+        if self.held > self.most:
+            self.clear()
+            self.held = 200 + 2 * size
+        self[key] = value
+        return value
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
