@@ -46,19 +46,26 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "lang", "source", "mix_domain", "mix_tokens", "mix_epoch")
 
 
-def _level_sql(level: str, up: str, by: str, weight: str) -> str:
+def _capacity_sql(level: str, names: str, below: str, weight: str) -> str:
+    """One level's nodes, from the level below: a node's capacity is that of its children, and none without weight."""
+    return f"""
+n_{level} AS (SELECT {names}, tokens, weight, CASE WHEN weight > 0 THEN capacity ELSE 0 END AS capacity FROM (SELECT {names}, sum(tokens)::BIGINT AS tokens, sum(capacity)::BIGINT AS capacity, {weight} AS weight FROM {below} GROUP BY {names})),"""
+
+
+def _level_sql(level: str, up: str, by: str) -> str:
     """Common table expressions that fill one level of the tree."""
     names = f"{up}, {level}" if up else level
     start = f"SELECT c.*, g.given FROM n_{level} c JOIN b_{by}_given g USING ({up})" if by else f"SELECT c.*, (SELECT sum(tokens) FROM leaves)::BIGINT AS given FROM n_{level} c"
     part = f"PARTITION BY {up}" if up else ""
     return f"""
-n_{level} AS (SELECT {names}, sum(tokens)::BIGINT AS tokens, 3 * sum(tokens)::BIGINT AS capacity, {weight} AS weight FROM leaves GROUP BY {names}),
 s_{level} AS ({start}),
 r_{level} AS (SELECT *, coalesce(sum(capacity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken, sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w
-  FROM s_{level} WINDOW w AS ({part} ORDER BY capacity / weight, {level})),
+  FROM s_{level} WINDOW w AS ({part} ORDER BY capacity / greatest(weight, 1), {level})),
 f_{level} AS (SELECT *, capacity::HUGEINT * open_w <= greatest(given - taken, 0)::HUGEINT * weight AS is_full FROM r_{level}),
 l_{level} AS (SELECT *, greatest(given - sum(CASE WHEN is_full THEN capacity ELSE 0 END) OVER ({part}), 0)::HUGEINT AS left_over, sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER ({part}) AS rest_w FROM f_{level}),
-b_{level} AS (SELECT {names}, tokens, CASE WHEN is_full THEN capacity ELSE least(capacity, (left_over * weight) // greatest(rest_w, 1)) END::BIGINT AS budget FROM l_{level}),
+p_{level} AS (SELECT *, CASE WHEN is_full THEN 0 ELSE (left_over * weight) // greatest(rest_w, 1) END AS part, row_number() OVER (PARTITION BY {f"{up}, " if up else ""}is_full ORDER BY {level}) AS turn FROM l_{level}),
+q_{level} AS (SELECT *, CASE WHEN rest_w > 0 THEN left_over ELSE 0 END - sum(part) OVER ({part}) AS spare FROM p_{level}),
+b_{level} AS (SELECT {names}, tokens, CASE WHEN is_full THEN capacity ELSE part + (turn <= spare)::INT END::BIGINT AS budget FROM q_{level}),
 b_{level}_given AS (SELECT {names}, budget AS given FROM b_{level}),"""
 
 
@@ -66,7 +73,7 @@ def _case_sql(level: str, table: dict[str, int]) -> str:
     return f"CASE {level} " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in table.items()) + " ELSE 1 END"
 
 
-def mix_sql(docs: str = "documents", out: str = "doc_id, lang, source, domain AS mix_domain, tokens AS mix_tokens, epoch AS mix_epoch") -> str:
+def mix_sql(docs: str = "documents", domain_weight: str = _case_sql("domain", DOMAIN_WEIGHTS), lang_weight: str = _case_sql("k_lang", LANG_WEIGHTS), source_weight: str = "1", epochs: int = 3, out: str = "doc_id, lang, source, domain AS mix_domain, tokens AS mix_tokens, epoch AS mix_epoch") -> str:
     words = "trim(regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')"
     return f"""
 WITH raw AS (SELECT *, {words} AS words, regexp_extract(coalesce(source, ''), '([0-9]+)$', 1) AS number FROM {docs}),
@@ -74,11 +81,15 @@ d AS (SELECT *, coalesce(lang, '') AS k_lang, coalesce(source, '') AS k_source,
   CASE WHEN number = '' THEN 'other' WHEN length(number) > 4 THEN 'forum' WHEN number::INT < 1 THEN 'web' WHEN number::INT < 10 THEN 'reference' ELSE 'forum' END AS domain,
   CASE WHEN words = '' THEN 0 ELSE length(words) - length(replace(words, ' ', '')) + 1 END::BIGINT AS n FROM raw),
 leaves AS (SELECT domain, k_lang, k_source, sum(n)::BIGINT AS tokens FROM d GROUP BY ALL),
-{_level_sql("domain", "", "", _case_sql("domain", DOMAIN_WEIGHTS))}
-{_level_sql("k_lang", "domain", "domain", _case_sql("k_lang", LANG_WEIGHTS))}
-{_level_sql("k_source", "domain, k_lang", "k_lang", "1")}
+room AS (SELECT *, {epochs} * tokens AS capacity FROM leaves),
+{_capacity_sql("k_source", "domain, k_lang, k_source", "room", source_weight)}
+{_capacity_sql("k_lang", "domain, k_lang", "n_k_source", lang_weight)}
+{_capacity_sql("domain", "domain", "n_k_lang", domain_weight)}
+{_level_sql("domain", "", "")}
+{_level_sql("k_lang", "domain", "domain")}
+{_level_sql("k_source", "domain, k_lang", "k_lang")}
 plan AS (SELECT domain, k_lang, k_source, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS whole, budget - CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END * tokens AS rest FROM b_k_source),
-placed AS (SELECT d.*, whole, rest, md5('7:' || (whole + 1)::VARCHAR || ':' || coalesce(doc_id::VARCHAR, '')) AS k FROM d JOIN plan USING (domain, k_lang, k_source)),
+placed AS (SELECT d.*, whole, rest, md5('7:' || (whole + 1)::VARCHAR || ':' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS k FROM d JOIN plan USING (domain, k_lang, k_source)),
 summed AS (SELECT *, sum(n) OVER (PARTITION BY domain, k_lang, k_source ORDER BY k, text ROWS UNBOUNDED PRECEDING) AS upto FROM placed),
 picked AS (SELECT *, unnest(range(1, whole + 1 + CASE WHEN rest > 0 AND 2 * upto - n <= 2 * rest THEN 1 ELSE 0 END))::INT AS epoch, n AS tokens FROM summed)
 SELECT {out} FROM picked"""
@@ -90,7 +101,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telephony.media_columns(_table(spark, sf_dir, "documents"), keep_media=False)
+    """Digests of the stored forms and of the resampled PCM: mu-law under the contract's names, A-law and ADPCM beside."""
+    at = telephony.media_columns(_table(spark, sf_dir, "documents"))
+    main = [F.col(f"mulaw.{c}").alias(c) for c in ("payload_bytes", "payload_sha256", "tail_crc32", "feature")]
+    stored = lambda c: [F.octet_length(f"{c}.media").cast("long").alias("media_bytes"), F.sha2(F.col(f"{c}.media"), 256).alias("media_sha256"), telephony.pieces_sha256(F.col(f"{c}.pcm")).alias("pcm_sha256")]
+    beside = [x for c in ("alaw", "adpcm") for x in (F.struct(F.col(f"{c}.payload_sha256"), *stored(c), F.col(f"{c}.feature")).alias(c),)]
+    return at.select("doc_id", "n_bytes", *main, *stored("mulaw"), *beside)
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Telephony audio columns: mu-law, A-law and IMA ADPCM in WAV containers.
 
 Companded samples are expanded by lookup tables; ADPCM is decoded with numpy
-across blocks (all blocks advance together, one sample position at a time).
+across blocks (all blocks of many rows advance together, one sample position at
+a time). The PCM is resampled and stored in pieces, so that the work's memory is
+bounded whatever a row's length.
 """
 
 from __future__ import annotations
@@ -9,13 +11,16 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from .common import bare, slices, texts_of
+from .common import bare, slices, texts_of, tidy_task
 
 RATE = 8000
 
@@ -45,12 +50,21 @@ MULAW, ALAW = _mulaw_table(), _alaw_table()
 LAWS = {"mulaw": (7, MULAW), "alaw": (6, ALAW)}
 
 
-def pack_wav(samples: bytes, law: str = "mulaw", rate: int = RATE) -> bytes:
-    """One channel of 8-bit companded samples as a WAV file."""
-    head = struct.pack("<HHIIHHH", LAWS[law][0], 1, rate, rate, 1, 8, 0)
-    fact = struct.pack("<I", len(samples))
-    body = b"WAVEfmt " + struct.pack("<I", len(head)) + head + b"fact" + struct.pack("<I", 4) + fact
-    body += b"data" + struct.pack("<I", len(samples)) + samples + b"\0" * (len(samples) % 2)
+#: Format tag of IMA ADPCM, and the bytes of its blocks here.
+ADPCM, BLOCK = 17, 64
+#: Bytes that are decoded at a time.
+PIECE = 256 << 10
+
+
+def pack_wav(data: bytes, codec: str = "mulaw", rate: int = RATE, block: int = BLOCK) -> bytes:
+    """One channel of 8-bit companded samples, or of ADPCM blocks, as a WAV file."""
+    if codec == "adpcm":
+        per = (block - 4) * 2 + 1
+        head, samples = struct.pack("<HHIIHHHH", ADPCM, 1, rate, rate * block // per, block, 4, 2, per), len(data) // block * per
+    else:
+        head, samples = struct.pack("<HHIIHHH", LAWS[codec][0], 1, rate, rate, 1, 8, 0), len(data)
+    body = b"WAVEfmt " + struct.pack("<I", len(head)) + head + b"fact" + struct.pack("<II", 4, samples)
+    body += b"data" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
@@ -73,7 +87,7 @@ def unpack_wav(media: bytes) -> tuple[int, int, int, bytes]:
     raise ValueError("no data chunk")
 
 
-def expand(samples: bytes, law: str) -> np.ndarray:
+def expand(samples: bytes | np.ndarray, law: str) -> np.ndarray:
     """16-bit PCM of companded bytes."""
     return LAWS[law][1][np.frombuffer(samples, dtype=np.uint8)]
 
@@ -144,81 +158,196 @@ def adpcm_encode(pcm: np.ndarray, block: int = 256) -> bytes:
     return out.tobytes()
 
 
-def decode(media: bytes) -> tuple[int, np.ndarray]:
-    """(rate, 16-bit PCM) of a mu-law, A-law, IMA ADPCM or 16-bit PCM WAV file."""
+@dataclass(frozen=True)
+class Format:
+    """What a WAV file's data are: a tag and, for ADPCM, the bytes of a block."""
+
+    tag: int
+    block: int
+
+    @property
+    def unit(self) -> int:
+        return self.block if self.tag == ADPCM else 2 if self.tag == 1 else 1
+
+    @property
+    def per_unit(self) -> int:
+        return (self.block - 4) * 2 + 1 if self.tag == ADPCM else 1
+
+    def pcm(self, data: bytes) -> np.ndarray:
+        """16-bit PCM of whole units."""
+        if self.tag == ADPCM:
+            return adpcm_decode(data, self.block)
+        if self.tag == 1:
+            return np.frombuffer(data, dtype="<i2")
+        return expand(data, next(law for law, (tag, _) in LAWS.items() if tag == self.tag))
+
+
+def open_media(media: bytes) -> tuple[int, Format, bytes]:
+    """(rate, format, data) of a mu-law, A-law, IMA ADPCM or 16-bit PCM WAV file; raises ValueError."""
     tag, rate, block, data = unpack_wav(media)
-    if tag == 17:
-        return rate, adpcm_decode(data, block)
-    if tag == 1:
-        return rate, np.frombuffer(data[: len(data) // 2 * 2], dtype="<i2")
-    for law, (known, _) in LAWS.items():
-        if tag == known:
-            return rate, expand(data, law)
-    raise ValueError(f"format {tag} is not known")
-
-
-def resample(pcm: np.ndarray, up: int, down: int) -> np.ndarray:
-    """Linear resampling by up/down; the last sample holds to the end."""
-    if not len(pcm):
-        return pcm
-    n = len(pcm) * up // down
-    at = np.arange(n, dtype=np.int64) * down
-    i, part = at // up, at % up
-    left, right = pcm[i].astype(np.int64), pcm[np.minimum(i + 1, len(pcm) - 1)].astype(np.int64)
-    return ((left * (up - part) + right * part) // up).astype(np.int16)
-
-
-def features(pcm: np.ndarray) -> dict[str, int]:
-    """Whole-signal features as integers, so equal signals give equal values."""
-    x = pcm.astype(np.int64)
-    signs = x >= 0
-    return {
-        "samples": len(x),
-        "peak": int(np.abs(x).max(initial=0)),
-        "mean": int(x.sum() // max(len(x), 1)),
-        "energy": int((x * x).sum() // max(len(x), 1)),
-        "crossings": int((signs[1:] != signs[:-1]).sum()),
-    }
-
-
-def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", law: str = "mulaw", unit: int = 64, keep_media: bool = True) -> DataFrame:
-    """Store each text as 8-bit telephone samples, read them back and measure.
+    if tag not in (1, ADPCM, *(t for t, _ in LAWS.values())) or (tag == ADPCM and block <= 4):
+        raise ValueError(f"format {tag} is not known")
+    return rate, Format(tag, block), data
+
+
+def decode(media: bytes) -> tuple[int, np.ndarray]:
+    """(rate, 16-bit PCM) of a whole file."""
+    rate, form, data = open_media(media)
+    return rate, form.pcm(data if form.tag == ADPCM else data[: len(data) // form.unit * form.unit])
+
+
+def upsample(pcm: np.ndarray, sizes: np.ndarray, after: np.ndarray, up: int) -> np.ndarray:
+    """``up`` samples for each sample of several pieces, by straight lines to the next one; ``after`` follows a piece's last."""
+    right = np.empty(len(pcm), dtype=np.int32)
+    right[:-1] = pcm[1:]
+    ends = np.cumsum(sizes)
+    right[ends[sizes > 0] - 1] = after[sizes > 0]
+    left = pcm.astype(np.int32)
+    return np.stack([(left * (up - k) + right * k) // up for k in range(up)], axis=1).astype("<i2").reshape(-1)
+
+
+class Marks:
+    """Features of a signal that comes in pieces, as integers, so that equal signals give equal values."""
+
+    def __init__(self) -> None:
+        self.samples = self.peak = self.total = self.energy = self.crossings = 0
+        self.last: bool | None = None
+
+    def add(self, samples: int, peak: int, total: int, energy: int, crossings: int, first: bool, last: bool) -> None:
+        self.crossings += crossings + (self.last is not None and self.last != first)
+        self.samples, self.total, self.energy = self.samples + samples, self.total + total, self.energy + energy
+        self.peak, self.last = max(self.peak, peak), last
+
+    def __str__(self) -> str:
+        n = max(self.samples, 1)
+        return f"samples={self.samples},peak={self.peak},mean={self.total // n},energy={self.energy // n},crossings={self.crossings}"
+
+
+def _measure(wide: np.ndarray, sizes: np.ndarray) -> list[tuple]:
+    """What ``Marks.add`` takes, of pieces that aren't empty."""
+    begin = np.cumsum(sizes) - sizes
+    x = wide.astype(np.int64)
+    sign = wide >= 0
+    turn = np.zeros(len(x), dtype=np.int64)
+    turn[1:] = sign[1:] != sign[:-1]
+    turn[begin] = 0
+    sums = [np.add.reduceat(v, begin).tolist() for v in (x, x * x, turn)]
+    peak = np.maximum.reduceat(np.abs(x), begin).tolist()
+    return list(zip(sizes.tolist(), peak, *sums, sign[begin].tolist(), sign[begin + sizes - 1].tolist(), strict=True))
+
+
+def decode_rows(media: list[bytes | None], up: int) -> list[dict]:
+    """Rate, data, resampled PCM in pieces, and features of each file; damaged or null ones have only an error.
+
+    Files of one format are decoded together, PIECE bytes at a time.
+    """
+    out, by_format = [], defaultdict(list)
+    for i, m in enumerate(media):
+        try:
+            rate, form, data = open_media(m or b"")
+        except ValueError as e:
+            out.append({"rate": None, "data": None, "pcm": None, "feature": None, "error": str(e)})
+            continue
+        out.append({"rate": rate * up, "data": data, "pcm": [], "feature": Marks(), "error": None})
+        by_format[form].append(i)
+    for form, own in by_format.items():
+        step = max(1, PIECE // form.unit) * form.unit
+        held: list[tuple[int, int, int]] = []
+        size = 0
+        for i in own:
+            whole = len(out[i]["data"]) // form.unit * form.unit
+            for a in range(0, whole, step):
+                held.append((i, a, min(whole, a + step)))
+                size += held[-1][2] - a
+                if size >= step:
+                    _decode_pieces(out, form, held, up)
+                    held, size = [], 0
+            if whole < len(out[i]["data"]) and form.tag == ADPCM and len(out[i]["data"]) - whole >= 4:
+                _decode_pieces(out, form, [*held, (i, whole, len(out[i]["data"]))], up)  # a block that is cut off comes last
+                held, size = [], 0
+        if held:
+            _decode_pieces(out, form, held, up)
+    for row in out:
+        row["feature"] = None if row["feature"] is None else str(row["feature"])
+    return out
+
+
+def _decode_pieces(out: list[dict], form: Format, pieces: list[tuple[int, int, int]], up: int) -> None:
+    data = [out[i]["data"][a:b] for i, a, b in pieces]
+    pcm = form.pcm(b"".join(data))
+    short = form.tag == ADPCM and len(data[-1]) % form.block
+    sizes = np.array([len(d) // form.unit * form.per_unit for d in data], dtype=np.int64)
+    if short:
+        sizes[-1] += (short - 4) * 2 + 1
+    ends = np.cumsum(sizes)
+    after = pcm[ends - 1].astype(np.int32)
+    for k, (i, _, b) in enumerate(pieces):
+        if len(nxt := out[i]["data"][b : b + form.unit]) >= (4 if form.tag == ADPCM else form.unit):
+            after[k] = form.pcm(nxt)[0]
+    wide = upsample(pcm, sizes, after, up)
+    for (i, _, _), marks, end, n in zip(pieces, _measure(wide, sizes * up), (ends * up).tolist(), (sizes * up).tolist(), strict=True):
+        out[i]["feature"].add(*marks)
+        out[i]["pcm"].append(wide[end - n : end].tobytes())
+
+
+DECODED = [("rate", pa.int32(), "int"), ("pcm", pa.list_(pa.binary()), "array<binary>"), ("feature", pa.string(), "string")]
+
+
+def decode_media(rows: DataFrame, id_col: str = "doc_id", media_col: str = "media", up: int = 2) -> DataFrame:
+    """doc_id, rate, pcm, feature and error of a column of WAV files (mu-law, A-law, IMA ADPCM or 16-bit PCM, one channel).
+
+    pcm is 16-bit little-endian and ``up`` times the file's rate, in pieces of
+    PIECE bytes of data each; concatenated, they are the signal. A null or
+    damaged file has nulls and an error. Ids may be null or repeat; other
+    columns are ignored; an empty table gives an empty result.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "media", 1 << 20):
+                found = decode_rows(part.column("media").to_pylist(), up)
+                cells = [pa.array([r[n] for r in found], t) for n, t, _ in (*DECODED, ("error", pa.string(), ""))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cells], names=["doc_id", *(n for n, _, _ in DECODED), "error"])
+
+    at = rows.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{media_col}`").alias("media"))
+    return at.mapInArrow(tidy_task(run), "doc_id long, " + ", ".join(f"{n} {d}" for n, _, d in DECODED) + ", error string")
+
+
+STORED = [("media", pa.binary(), "binary"), *DECODED, ("payload_bytes", pa.int64(), "long"), ("payload_sha256", pa.string(), "string"), ("tail_crc32", pa.int64(), "long")]
+CODECS = ("mulaw", "alaw", "adpcm")
+
+
+def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", codecs: tuple[str, ...] = CODECS, unit: int = BLOCK, up: int = 2) -> DataFrame:
+    """Store each text as telephone audio of several formats, read it back, decode and measure it.
 
     The UTF-8 bytes, padded with zeros to a positive multiple of ``unit``, are
-    the companded samples of a WAV file, so storing is lossless. Returns
-    doc_id, n_bytes, media (the WAV file), pcm (its PCM, resampled from 8 to
-    16 kHz, as 16-bit little-endian bytes), payload_bytes, payload_sha256,
-    tail_crc32, media_bytes, media_sha256 and feature; media and pcm only if
-    ``keep_media``. A null text counts as empty; ids may be null or repeat;
-    other columns are ignored. An empty table gives an empty result.
+    the companded samples, or the ADPCM blocks of ``unit`` bytes, of a WAV
+    file, so storing is lossless. Returns doc_id, n_bytes and, for each codec, a
+    struct of its name: media (the file), rate, pcm (see ``decode_media``),
+    feature, payload_bytes, payload_sha256 and tail_crc32 (of the last ``unit``
+    bytes) of what is read back. A null text counts as empty; ids may be null
+    or repeat; other columns are ignored. An empty table gives an empty result.
     """
-    kept = "media binary, pcm binary, " if keep_media else ""
-    schema = f"doc_id long, n_bytes long, {kept}payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    kind = pa.struct([(n, t) for n, t, _ in STORED])
+    ddl = "struct<" + ", ".join(f"{n}: {d}" for n, _, d in STORED) + ">"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
-                rows = [one(t) for t in texts_of(part, "text")]
-                out: dict = {"doc_id": part.column("doc_id")}
-                names = [c.split()[0] for c in schema.split(", ")][1:]
-                for name in names:
-                    out[name] = [r[name] for r in rows]
-                yield pa.RecordBatch.from_arrays([out["doc_id"], *(pa.array(out[n], type=pa.int64() if n in LONGS else pa.binary() if n in ("media", "pcm") else pa.string()) for n in names)], names=["doc_id", *names])
-
-    def one(text: bytes) -> dict:
-        payload = text + b"\0" * (-len(text) % unit if text else unit)
-        media = pack_wav(payload, law)
-        _, _, _, back = unpack_wav(media)
-        _, pcm = decode(media)
-        wide = resample(pcm, 2, 1)
-        marks = features(wide)
-        row = {
-            "n_bytes": len(text), "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-unit:]),
-            "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": ",".join(f"{k}={v}" for k, v in marks.items()),
-        }
-        return row | {"media": media, "pcm": wide.astype("<i2").tobytes()} if keep_media else row
-
-    return bare(docs, id_col, text_col).mapInArrow(run, schema)
-
-
-LONGS = {"n_bytes", "payload_bytes", "tail_crc32", "media_bytes"}
+            for part in slices(batch, "text", 1 << 20):
+                texts = texts_of(part, "text")
+                cells = [part.column("doc_id"), pa.array([len(t) for t in texts], pa.int64())]
+                for codec in codecs:
+                    media = [pack_wav(t + b"\0" * (-len(t) % unit if t else unit), codec, block=unit) for t in texts]
+                    found = decode_rows(media, up)
+                    for m, row in zip(media, found, strict=True):
+                        back = row["data"]
+                        row |= {"media": m, "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-unit:])}
+                    cells.append(pa.StructArray.from_arrays([pa.array([r[n] for r in found], t) for n, t, _ in STORED], fields=list(kind)))
+                yield pa.RecordBatch.from_arrays(cells, names=["doc_id", "n_bytes", *codecs])
+
+    return bare(docs, id_col, text_col).mapInArrow(tidy_task(run), f"doc_id long, n_bytes long, {', '.join(f'{c} {ddl}' for c in codecs)}")
+
+
+def pieces_sha256(pieces: Column) -> Column:
+    """The digest of the digests of a signal's pieces."""
+    return F.sha2(F.array_join(F.transform(pieces, lambda p: F.sha2(p, 256)), "").cast("binary"), 256)
