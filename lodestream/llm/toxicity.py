@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bare, slices
+from .common import Memo, bare, slices, tidy_task
 
 # Signs and the letters they stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¢": "c"}
@@ -35,7 +35,6 @@ UNLIKELY, PIECE = 3.5, 4
 LEAST_KNOWN = 4
 #: Hash bits of the counts of one, two and three characters.
 GRAM_BITS = (14, 17, 20)
-BEAM = 32
 #: Feature counts that a task holds before it passes them on.
 FLUSH = 100_000
 
@@ -86,7 +85,7 @@ def count_grams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 cell = some[a : a + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), k, np.int32)), pa.array(cell), pa.array(counts[cell])], names=["k", "cell", "n"])
 
-    sums = bare(docs, id_col, text_col).mapInArrow(run, "k int, cell long, n long").groupBy("k", "cell").agg(F.sum("n").alias("n")).toArrow()
+    sums = bare(docs, id_col, text_col).mapInArrow(tidy_task(run), "k int, cell long, n long").groupBy("k", "cell").agg(F.sum("n").alias("n")).toArrow()
     out = [np.zeros(1 << b, dtype=np.float32) for b in GRAM_BITS]
     k, cell, n = (sums.column(c).to_numpy() for c in ("k", "cell", "n"))
     for i in range(3):
@@ -100,7 +99,7 @@ class Decoder:
     def __init__(self, counts: list[np.ndarray], smooth: float = 5.0):
         self.one, self.two, self.three = (np.asarray(c, dtype=np.float32) for c in counts)
         self.total, self.smooth = max(float(self.one.sum(dtype=np.float64)), 1.0), smooth
-        self.memo: dict[tuple[str, str, str], float] = {}
+        self.memo = Memo()
 
     def cost(self, a: str, b: str, c: str) -> float:
         """-ln P(c | a b); "" is a word's boundary."""
@@ -115,10 +114,7 @@ class Decoder:
         p1 = (self.one[one] + 0.1) / (self.total + 100)
         p2 = (self.two[two] + k * p1) / (self.one[mid] + k)
         p3 = (self.three[three] + k * p2) / (self.two[pair] + k)
-        if len(self.memo) > 100_000:
-            self.memo.clear()
-        self.memo[key] = out = -math.log(max(min(p3, 1.0), 1e-12))
-        return out
+        return self.memo.keep(key, -math.log(max(min(p3, 1.0), 1e-12)), 3)
 
     def price(self, word: str) -> float:
         a, b, total = "", "", 0.0
@@ -142,9 +138,11 @@ class Decoder:
     def decode(self, token: str) -> str:
         """The likeliest letters behind a token; time is linear in its length.
 
-        Separators (GAPS) are deleted or end a word, which gives a space.
-        Kept are the BEAM best states at each place; ties go to the text that
-        sorts first.
+        Separators (GAPS) are deleted or end a word, which gives a space. All
+        states are kept: a state is the last two letters, and after a letter of
+        the token that letter is the last one, so there are never more than the
+        square of the letters that signs stand for. Of equal costs the first
+        found stays.
         """
         # state (last two letters) -> (cost, letters as a linked list)
         states: dict[tuple[str, str], tuple[float, tuple]] = {("", ""): (0.0, ())}
@@ -168,8 +166,6 @@ class Decoder:
                         self._keep(nxt, (a, b), cost + price + extra, path)
                 if not o.isalpha():
                     self._keep(nxt, (a, b), cost + (DIGIT if o.isdigit() else INSERT), path)
-            if len(nxt) > BEAM:
-                nxt = dict(sorted(nxt.items(), key=lambda s: (s[1][0], s[0]))[:BEAM])
             states = nxt or states
         (_, _), (_, path) = min(states.items(), key=lambda s: (s[1][0] + self.cost(*s[0], ""), s[0]))
         out = []
@@ -185,14 +181,14 @@ class Decoder:
 
 
 class Restorer:
-    """Restores lower-cased tokens; remembers a bounded number of them.
+    """Restores lower-cased tokens; remembers some of them, in bounded memory.
 
     Where a stretch can be cut in several ways, ``known`` words (those with
     evidence) go before what the character model prefers.
     """
 
-    def __init__(self, counts: list[np.ndarray], known: Iterable[str] = (), memo_size: int = 100_000):
-        self.decoder, self.memo, self.memo_size = Decoder(counts), {}, memo_size
+    def __init__(self, counts: list[np.ndarray], known: Iterable[str] = ()):
+        self.decoder, self.memo = Decoder(counts), Memo()
         self.known = {w for w in known if len(w) >= LEAST_KNOWN and w.isalpha()}
         self.begin = {w[:n] for w in self.known for n in range(1, len(w))}
         self.single = {RUN.sub(r"\1", w): w for w in sorted(self.known)}
@@ -217,16 +213,12 @@ class Restorer:
         return self._remember(token, self.decoder.decode(core) if self.suspicious(core) else core)
 
     def _remember(self, key: str, out: str | bool) -> str | bool:
-        if len(self.memo) >= self.memo_size:
-            self.memo.clear()
-        self.memo[key] = out
-        return out
+        return self.memo.keep(key, out, len(key))
 
     def _stretch(self, token: str) -> str:
         if (known := self.memo.get(token)) is not None:
             return known
-        out = self.decoder.decode(token)
-        return self._remember(token, out) if len(token) < 256 else out
+        return self._remember(token, self.decoder.decode(token))
 
     def _spelt(self, run: str) -> str:
         """Single characters with separators between them, as words; a wider separator than the others is a boundary, most likely."""
@@ -239,8 +231,7 @@ class Restorer:
         for part in self._around(SPACE.sub(lambda m: "" if len(m[0]) == least else APART, run)):
             marked = APART.join(SPELT.join(w) for w in part.split(APART))
             out.append(part if part in self.known else self.decoder.decode(marked))
-        out = " ".join(w for w in out if w)
-        return self._remember(key, out) if len(key) < 256 else out
+        return self._remember(key, " ".join(w for w in out if w))
 
     def _around(self, joined: str) -> list[str]:
         """Known words in a joined stretch, also where signs stand for letters, and what is between them."""
@@ -348,8 +339,8 @@ class Model:
 
 
 class Scorer:
-    def __init__(self, model: Model, restorer: Restorer, memo_size: int = 150_000):
-        self.model, self.memo, self.memo_size, self.restorer = model, {}, memo_size, restorer
+    def __init__(self, model: Model, restorer: Restorer):
+        self.model, self.memo, self.restorer = model, Memo(), restorer
 
     def strength(self, token: str) -> tuple[str, float] | None:
         word = self.restorer.token(token)
@@ -362,9 +353,7 @@ class Scorer:
         found: dict[str, float] = {}
         for t in tokens:
             if (hit := memo.get(t, 0)) == 0:
-                if len(memo) >= self.memo_size:
-                    memo.clear()
-                hit = memo[t] = self.strength(t)
+                hit = memo.keep(t, self.strength(t), len(t))
             if hit:
                 found[hit[0]] = hit[1]
         top = sorted(found.values(), reverse=True)[:3]
@@ -396,7 +385,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     The language model counts all documents. Labels: at most ``most_labels``
     rows, those with the smallest hash of their id, so that the list may be
-    broadcast. A feature's evidence is the smoothed log odds of toxic texts
+    broadcast; of a labelled id's rows the one whose text has the smallest MD5
+    is learnt from, so no more rows than labels reach the driver. A feature's evidence is the smoothed log odds of toxic texts
     among those that have it, for at most ``most_features`` features. The
     regression is fitted on evidence from the other half of the texts (halves
     by the texts' checksums, so that copies stay together). Rows with a null
@@ -409,7 +399,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     own = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
     own = own.where(F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("y").alias("y"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels)
-    rows = bare(docs, id_col, text_col).where("text is not null").join(F.broadcast(own), "doc_id").select("text", "y").persist()
+    known = bare(docs, id_col, text_col).where("text is not null").join(F.broadcast(own), "doc_id")
+    one = known.groupBy("doc_id").agg(F.min(F.struct(F.md5(F.col("text").cast("binary")).alias("m"), "text", "y")).alias("r"))
+    rows = one.select("r.text", "r.y").persist()
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, total = Restorer(shared.value), {}
@@ -428,7 +420,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     yield from flush()
         yield from flush()
 
-    table = rows.mapInArrow(stats, "half int, f string, clean long, toxic long").groupBy("f").agg(*(F.sum(F.when(F.col("half") == h, F.col(c)).otherwise(0)).alias(f"{c}{h}") for h in (0, 1) for c in ("clean", "toxic")))
+    table = rows.mapInArrow(tidy_task(stats), "half int, f string, clean long, toxic long").groupBy("f").agg(*(F.sum(F.when(F.col("half") == h, F.col(c)).otherwise(0)).alias(f"{c}{h}") for h in (0, 1) for c in ("clean", "toxic")))
     shares = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("toxic")).first()
     base = (shares["toxic"] + 1) / (shares["n"] + 2)
     share = F.expr("(toxic0 + toxic1) / (toxic0 + toxic1 + clean0 + clean1 + 8D)")
@@ -454,7 +446,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             x = [scorers[zlib.crc32(t.encode()) & 1].inputs(t).tolist() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("y")], names=["x", "y"])
 
-    fitted = rows.mapInArrow(inputs, "x array<double>, y int").toArrow()
+    fitted = rows.mapInArrow(tidy_task(inputs), "x array<double>, y int").toArrow()
     x = np.array(fitted.column("x").to_pylist(), dtype=np.float64).reshape(-1, 5)
     weights = _fit(x, fitted.column("y").to_numpy().astype(np.float64))
     rows.unpersist()
@@ -482,7 +474,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays(cells, names=["doc_id", "held_out", "score", *(["restored"] if keep_restored else [])])
 
     at = bare(docs, id_col, text_col).withColumn("held_out", held_out("doc_id"))
-    return at.mapInArrow(run, f"doc_id long, held_out boolean, score double{extra}").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return at.mapInArrow(tidy_task(run), f"doc_id long, held_out boolean, score double{extra}").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "toxicity") -> DataFrame:
@@ -499,4 +491,4 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str
                 scores = [scorer.score(t or "") for t in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=[*part.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(tidy_task(run), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
