@@ -5,8 +5,9 @@ backed-off probabilities are tables sharded by n-gram or context; what the
 documents need is looked up by joins: every block of documents sends its
 distinct n-grams to their shards and gets their probabilities back.
 
-An n-gram of five characters is one long of five 12-bit classes, so a context
-is a shift and a shorter n-gram a mask.
+An n-gram is five 12-bit symbols in one long, so a context is a shift and a
+shorter n-gram a mask. Most characters are one symbol; those of other scripts
+are two, a lead and a trail, so that every character has symbols of its own.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release, shuffle_width, slices
+from .common import cut, release, shuffle_width, slices, tidy_group, tidy_task
 
-ORDER, BITS, PLAIN = 5, 12, 4000
+ORDER, BITS = 5, 12
 CLASSES = 1 << BITS
+#: Characters from here on are a lead (their code without its lowest 12 bits) and a trail; there are 272 leads.
+PLAIN = CLASSES - (0x110000 >> BITS)
 #: Languages whose thresholds may be broadcast.
 MOST_BROADCAST = 10_000
 
@@ -38,14 +41,21 @@ def _unzip(data: bytes) -> bytes:
 
 
 def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams that end at each character of the texts, one after the other, and the texts' lengths.
+    """n-grams that end at each symbol of the texts, one after the other, and the texts' numbers of symbols.
 
-    Class 0 stands before a text. Characters from PLAIN on share classes by
-    their code modulo the classes that are left.
+    Symbol 0 stands before a text.
     """
-    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    x = np.frombuffer(("\0" * (ORDER - 1) + ("\0" * (ORDER - 1)).join(texts)).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-    x = np.where(x < PLAIN, x, PLAIN + x % (CLASSES - PLAIN))
+    pad = "\0" * (ORDER - 1)
+    x = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    wide = x >= PLAIN
+    chars = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    begin = np.arange(1, len(texts) + 1) * (ORDER - 1) + np.cumsum(chars) - chars
+    upto = np.concatenate([[0], np.cumsum(wide)])
+    sizes = chars + upto[begin + chars] - upto[begin]
+    last = np.arange(len(x)) + upto[1:]  # of each character's symbols
+    x, chars_ = np.repeat(x, 1 + wide), x
+    x[last[wide]] &= CLASSES - 1
+    x[last[wide] - 1] = PLAIN + (chars_[wide] >> BITS)
     code = np.zeros(max(len(x) - ORDER + 1, 0), dtype=np.int64)
     for k in range(ORDER):
         code = code << BITS | x[k : k + len(code)]
@@ -170,14 +180,16 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     role is 2 for a trusted text (label 1) that the model was trained on, 1 for
     a trusted one that was held out (crc32 of the id divisible by 5), else 0.
     The model counts all trusted texts that aren't held out; without any, all
-    characters are equally likely. An empty or null text has perplexity 1.
+    symbols are equally likely. The perplexity is per character, also of those
+    that are two symbols. An empty or null text has perplexity 1. Rows of one
+    id, or of one text without an id, are rated by one task.
     """
     spark = docs.sparkSession
     at = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     total = at.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
     shards = max(shuffle_width(spark), blocks)
-    # Null ids and copies of one id are dealt by their texts.
+    # Null ids are dealt by their texts, others by themselves.
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks))
     trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct().select("doc_id", block.alias("block"))
 
@@ -195,7 +207,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     spread = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(blocks))).otherwise(block)
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    texts = at.select(spread.alias("block"), "doc_id", "lang", out.alias("out"), "text").mapInArrow(squeeze, "block long, doc_id array<long>, lang array<string>, out array<boolean>, size array<int>, z binary")
+    texts = at.select(spread.alias("block"), "doc_id", "lang", out.alias("out"), "text").mapInArrow(tidy_task(squeeze), "block long, doc_id array<long>, lang array<string>, out array<boolean>, size array<int>, z binary")
 
     def count(key: tuple, table: pa.Table, trust: pa.Table) -> pa.Table:
         ids = {*trust.column("doc_id").to_pylist()}
@@ -211,7 +223,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
         return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["shard", "block", "train", "codes", "counts"])
 
-    offers = cut(texts.groupBy("block").cogroup(trusted.groupBy("block")).applyInArrow(count, "shard long, block long, train int, codes binary, counts binary"))
+    offers = cut(texts.groupBy("block").cogroup(trusted.groupBy("block")).applyInArrow(tidy_group(count), "shard long, block long, train int, codes binary, counts binary"))
     release(spark)
 
     def add_up(key: tuple, table: pa.Table) -> pa.Table:
@@ -223,8 +235,8 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     def asked(key: tuple, table: pa.Table) -> pa.Table:
         return pa.table({"gram": np.unique(np.concatenate([np.cumsum(np.frombuffer(_unzip(z), "<i8")) for z in table.column("codes").to_pylist()]))})
 
-    top = cut(offers.where("train = 1").groupBy("shard").applyInArrow(add_up, "gram long, c long"))
-    wanted = cut(offers.where("train = 0").select("shard", "codes").groupBy("shard").applyInArrow(asked, "gram long"))
+    top = cut(offers.where("train = 1").groupBy("shard").applyInArrow(tidy_group(add_up), "gram long, c long"))
+    wanted = cut(offers.where("train = 0").select("shard", "codes").groupBy("shard").applyInArrow(tidy_group(asked), "gram long"))
     known = _probabilities(wanted, _tables(top))
 
     def shard_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +251,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     asks = offers.where("train = 0").select("shard", "block", "codes")
     prices = known.mapInArrow(shard_of, "shard long, gram long, p double")
-    replies = cut(asks.groupBy("shard").cogroup(prices.groupBy("shard")).applyInArrow(answer, "block long, shard long, logp binary"))
+    replies = cut(asks.groupBy("shard").cogroup(prices.groupBy("shard")).applyInArrow(tidy_group(answer), "block long, shard long, logp binary"))
     del offers, top, wanted, known, asks, prices  # their checkpoints can go before texts are shuffled again
     release(spark)
 
@@ -266,7 +278,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         return rate(key, table, side.filter(pa.compute.is_valid(side.column("shard"))), side.filter(pa.compute.is_null(side.column("shard"))))
 
     side = replies.select("block", "shard", "logp", F.lit(None).cast("long").alias("doc_id")).unionByName(trusted.select("block", F.lit(None).cast("long").alias("shard"), F.lit(None).cast("binary").alias("logp"), "doc_id"))
-    return texts.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(rate_pair, "doc_id long, lang string, n_chars long, perplexity double, role int")
+    return texts.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(tidy_group(rate_pair), "doc_id long, lang string, n_chars long, perplexity double, role int")
 
 
 def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: float = 1.05, prior_chars: float = 100.0, **names: str) -> DataFrame:
