@@ -5,8 +5,8 @@ a smaller id. Windows are routed by the least hash of the 16-byte strings in
 them: equal windows have equal least hashes, so only windows whose hash occurs
 in two documents can match. The stretches of such windows go to the hash's
 shard, where a suffix array of the shard's distinct stretches (refined by prefix
-doubling as by Larsson and Sadakane) and its common prefixes give the classes of
-equal windows. A shard that is larger than one array is several arrays, merged
+doubling as by Larsson and Sadakane) and Kasai's common prefixes give the classes
+of equal windows. A shard that is larger than one array is several arrays, merged
 by binary search.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _pack, _ragged, _unpack
-from .common import cut, release, shuffle_width, slices, texts_of
+from .common import cut, release, shuffle_width, slices, texts_of, tidy_group, tidy_task
 
 GRAM = 16
 LATEST = (1 << 63) - 1
@@ -135,27 +135,46 @@ def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return order, rank[:-1]
 
 
+#: Walks through the text that go on side by side.
+LANES = 4096
+
+
 def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """Bytes that each suffix shares with the one before it in ``order`` (Kasai's array), up to ``most``.
+    """Bytes that each suffix shares with the one before it in ``order``, up to ``most``.
 
-    Capped, the array is cheaper by words of eight bytes for all places at once
-    than by Kasai's walk through the text; the values are the same.
+    ``order`` is a whole suffix array, sorted by at least ``most`` bytes. By
+    Kasai's walk in the text's order: a suffix shares with its predecessor at
+    least what the suffix a place earlier did, less one byte (if the sorting
+    went far enough to keep the two in order). The text is cut into lanes that
+    are walked at the same time, eight bytes at a comparison.
     """
+    n = len(text)
+    if not n:
+        return np.zeros(0, dtype=np.int64)
     word = np.concatenate([_words8(text), np.zeros(most + 8, np.uint64)])
-    out = np.zeros(len(order), dtype=np.int64)
-    open_ = np.arange(1, len(order))
-    for at in range(0, most, 8):
-        diff = word[order[open_] + at] ^ word[order[open_ - 1] + at]
-        same = diff == 0
-        equal = (diff[~same].astype(">u8").view(np.uint8).reshape(-1, 8) != 0).argmax(axis=1)
-        out[open_[~same]] += equal
-        out[open_[same]] += 8
-        open_ = open_[same]
-        if not len(open_):
-            break
-    # Suffixes at the text's end share no more bytes than they have.
-    room = np.minimum(len(text) - order, len(text) - np.concatenate([[len(text)], order[:-1]]))
-    return np.minimum(np.minimum(out, most), room)
+    before = np.full(n, n, dtype=np.int64)  # the suffix before each one in the array; n is none
+    before[order[1:]] = order[:-1]
+    place = np.empty(n + 1, dtype=np.int64)
+    place[order], place[n] = np.arange(n), n
+    steps = -(-n // LANES)
+    start, shared, found = np.arange(0, n, steps), np.zeros(-(-n // steps), dtype=np.int64), np.zeros(n, dtype=np.int64)
+    for t in range(steps):
+        i = start[: len(start) if start[-1] + t < n else -1] + t
+        j, h = before[i], np.maximum(shared[: len(i)] - 1, 0)
+        if t:
+            h[place[np.minimum(before[i - 1] + 1, n)] > place[i]] = 0
+        open_ = np.arange(len(i))
+        while len(open_):
+            diff = word[i[open_] + h[open_]] ^ word[j[open_] + h[open_]]
+            same = diff == 0
+            apart = open_[~same]
+            h[apart] += (diff[~same].astype(">u8").view(np.uint8).reshape(-1, 8) != 0).argmax(axis=1)
+            open_ = open_[same]
+            h[open_] += 8
+            open_ = open_[h[open_] < most]
+        # Suffixes at the text's end share no more bytes than they have.
+        shared[: len(i)] = found[i] = np.minimum(np.minimum(h, most), n - np.maximum(i, j))
+    return found[order]
 
 
 class Array:
@@ -168,9 +187,12 @@ class Array:
         owner = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
         window = np.arange(len(self.text)) + length <= np.repeat(ends, sizes)
         order, _ = suffix_order(self.text, length)
+        shared = common_prefixes(self.text, order, length)
         # Suffixes that aren't windows fall out; neighbours that are left share the least of what stood between them.
-        order = order[window[order]]
-        group = np.cumsum(common_prefixes(self.text, order, length) < length)
+        left = np.flatnonzero(window[order])
+        shared = np.minimum.reduceat(shared, np.concatenate([[0], left[:-1] + 1]))
+        order = order[left]
+        group = np.cumsum(shared < length)
         new = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         self.first = np.minimum.reduceat(least[owner[order]], new)
         self.head = order[new]
@@ -245,8 +267,7 @@ class _Part:
     """The texts of one part, and their stretches."""
 
     def __init__(self, table: pa.Table, length: int):
-        rows = table.sort_by([("first_id", "ascending"), ("h1", "ascending"), ("h2", "ascending")])
-        self.h1, self.h2 = rows.column("h1").to_pylist(), rows.column("h2").to_pylist()
+        rows = table.sort_by([("first_id", "ascending"), ("h", "ascending")])
         self.ids = rows.column("first_id").to_numpy().astype(np.int64)
         self.texts = [_unzip(z) for z in rows.column("z").to_pylist()]
         got = list(stretches(self.texts, length))
@@ -263,31 +284,42 @@ class _Part:
             yield int(where[order[a]]), order[a:b]
 
 
-TEXTS = "part long, first_id long, h1 long, h2 long, z binary"
+TEXTS = "part long, first_id long, h binary, z binary"
+#: Digests of texts that a task has sent already, as far as it remembers them.
+SEEN = 200_000
 
 
 def _distinct_texts(rows: DataFrame, sums: DataFrame, parts: int, docs: DataFrame) -> DataFrame:
     """The distinct texts, each once, compressed, with its least document, dealt to parts."""
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()  # a task sends equal rows once, so that very many of them don't go to one task
         for batch in batches:
             for s in slices(batch, "text", 8 << 20):
+                fresh = []
+                for i, x in enumerate(zip(s.column("h").to_pylist(), s.column("k").to_pylist(), strict=True)):
+                    if x not in seen:
+                        fresh.append(i)
+                        seen.add(x)
+                if len(seen) > SEEN:
+                    seen.clear()
+                s = s.take(pa.array(fresh, pa.int64()))
                 z = [_zip(t) for t in texts_of(s, "text")]
-                yield pa.RecordBatch.from_arrays([s.column("part"), s.column("k"), s.column("h1"), s.column("h2"), pa.array(z, pa.binary())], names=["part", "first_id", "h1", "h2", "z"])
+                yield pa.RecordBatch.from_arrays([s.column("part"), s.column("k"), s.column("h"), pa.array(z, pa.binary())], names=["part", "first_id", "h", "z"])
 
     def first_only(key: tuple, have: pa.Table, want: pa.Table) -> pa.Table:
-        wanted = {*zip(want.column("h1").to_pylist(), want.column("h2").to_pylist(), want.column("first_id").to_pylist())}
+        wanted = {*zip(want.column("h").to_pylist(), want.column("first_id").to_pylist())}
         pick = []
-        for i, x in enumerate(zip(have.column("h1").to_pylist(), have.column("h2").to_pylist(), have.column("first_id").to_pylist())):
+        for i, x in enumerate(zip(have.column("h").to_pylist(), have.column("first_id").to_pylist())):
             if x in wanted:
                 wanted.discard(x)
                 pick.append(i)
         return have.take(pa.array(pick, pa.int64()))
 
-    part = F.pmod(F.xxhash64("h1", "h2", "k"), F.lit(parts))
-    texts = docs.withColumn("part", part).mapInArrow(squeeze, TEXTS)
-    want = sums.select(F.pmod(F.xxhash64("h1", "h2", "first_id"), F.lit(parts)).alias("part"), "h1", "h2", "first_id")
-    kept = texts.groupBy("part").cogroup(want.groupBy("part")).applyInArrow(first_only, TEXTS)
+    part = F.pmod(F.xxhash64("h", "k"), F.lit(parts))
+    texts = docs.withColumn("part", part).mapInArrow(tidy_task(squeeze), TEXTS)
+    want = sums.select(F.pmod(F.xxhash64("h", "first_id"), F.lit(parts)).alias("part"), "h", "first_id")
+    kept = texts.groupBy("part").cogroup(want.groupBy("part")).applyInArrow(tidy_group(first_only), TEXTS)
     return cut(kept)
 
 
@@ -301,7 +333,7 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     equal ids aren't smaller than one another, so they don't remove from each
     other. Every row gives one row; other columns are ignored.
 
-    Equal texts are one text with its least id; a later copy of ``length``
+    Equal texts (by SHA-256) are one text with its least id; a later copy of ``length``
     bytes or more goes as a whole. A hash with more than ``hot`` stretches (a
     line in many documents, say) doesn't go to one shard: its windows go one by
     one, each to the shard of its own hash.
@@ -311,13 +343,15 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     at = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), *extra)
     at = at.withColumn("k", F.coalesce("doc_id", F.lit(LATEST)))
     carried = [f"_carry{i}" for i in range(len(carry))]
-    at = at.select("*", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(length), "text").alias("h2"))
-    rows = cut(at.select("doc_id", "k", "h1", "h2", F.octet_length("text").cast("long").alias("n_bytes"), *carried))
-    sums = cut(rows.where(F.col("n_bytes") >= length).groupBy("h1", "h2").agg(F.min("k").alias("first_id")))
+    at = at.withColumn("h", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    rows = cut(at.select("doc_id", "k", "h", F.octet_length("text").cast("long").alias("n_bytes"), *carried))
+    sums = cut(rows.where(F.col("n_bytes") >= length).groupBy("h").agg(F.min("k").alias("first_id")))
     total = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     parts = max(1, -(-total // part_bytes))
-    buckets = max(parts, shuffle_width(spark))
-    texts = _distinct_texts(rows, sums, parts, at.where(F.octet_length("text") >= length).select("text", "k", "h1", "h2"))
+    shards = max(parts, shuffle_width(spark))
+    # What parts offer is smaller than their texts, so there are fewer buckets, and fewer rows between them.
+    buckets = max(-(-total // (4 * part_bytes)), shuffle_width(spark))
+    texts = _distinct_texts(rows, sums, parts, at.where(F.octet_length("text") >= length).select("text", "k", "h"))
 
     release(spark)
 
@@ -348,8 +382,8 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         some = [k for k, c in enumerate(cells) if c.any()]
         return pa.table({"part": pa.array([parts_[k] for k in some], pa.int64()), "bucket": pa.array([key[0].as_py()] * len(some), pa.int64()), "state": pa.array([_zip(cells[k].tobytes()) for k in some], pa.binary())})
 
-    offers = texts.groupBy("part").applyInArrow(offer, "bucket long, part long, hashes binary, docs binary")
-    states = cut(offers.groupBy("bucket").applyInArrow(shared, "part long, bucket long, state binary"))
+    offers = texts.groupBy("part").applyInArrow(tidy_group(offer), "bucket long, part long, hashes binary, docs binary")
+    states = cut(offers.groupBy("bucket").applyInArrow(tidy_group(shared), "part long, bucket long, state binary"))
     del offers
     release(spark)
 
@@ -362,20 +396,20 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b, own in part.by_bucket(buckets):
             if b in known:
                 state[own] = np.frombuffer(_unzip(known[b]), np.uint8)
-        shards: defaultdict[int, list] = defaultdict(list)
+        by_shard: defaultdict[int, list] = defaultdict(list)
         flagged = np.flatnonzero(state)
         flagged = flagged[np.argsort(part.hash[flagged], kind="stable")]
         for doc, start, n, h, kind in zip(*(x[flagged].tolist() for x in (part.doc, part.start, part.count, part.hash, state)), strict=True):
             text = part.texts[doc]
             if kind == 1:
-                shards[h % buckets].append((h, text[start : start + n + length - 1], doc, start))
+                by_shard[h % shards].append((h, text[start : start + n + length - 1], doc, start))
             else:
                 for a in range(start, start + n):
                     window = text[a : a + length]
                     g = int.from_bytes(hashlib.blake2b(window, digest_size=6).digest(), "little")
-                    shards[g % buckets].append((g, window, doc, a))
+                    by_shard[g % shards].append((g, window, doc, a))
         out = []
-        for shard, found in shards.items():
+        for shard, found in by_shard.items():
             number: dict[tuple, int] = {}
             which = [number.setdefault((h, p), len(number)) for h, p, _, _ in found]
             docs_, local = np.unique([d for _, _, d, _ in found], return_inverse=True)
@@ -420,16 +454,16 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "doc", "start", "more"])
 
     ddl = ", ".join(f"{n} {'long' if t == pa.int64() else 'binary'}" for n, t in SEGMENTS)
-    segments = texts.groupBy("part").cogroup(states.groupBy("part")).applyInArrow(send, ddl)
-    verdicts = cut(segments.groupBy("shard").applyInArrow(judge, "part long, doc binary, start binary, more binary"))
+    segments = texts.groupBy("part").cogroup(states.groupBy("part")).applyInArrow(tidy_group(send), ddl)
+    verdicts = cut(segments.groupBy("shard").applyInArrow(tidy_group(judge), "part long, doc binary, start binary, more binary"))
     del segments
     release(spark)
 
-    names = [("h1", pa.int64(), "long"), ("h2", pa.int64(), "long"), ("k", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("n_spans", pa.int64(), "long"), ("kept_sha256", pa.string(), "string")]
+    names = [("h", pa.binary(), "binary"), ("k", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("n_spans", pa.int64(), "long"), ("kept_sha256", pa.string(), "string")]
     names += [("kept", pa.binary(), "binary")] if keep_text else []
 
     def finish(key: tuple, table: pa.Table, verdict: pa.Table) -> pa.Table:
-        rows_ = table.sort_by([("first_id", "ascending"), ("h1", "ascending"), ("h2", "ascending")])
+        rows_ = table.sort_by([("first_id", "ascending"), ("h", "ascending")])
         spans: defaultdict[int, list] = defaultdict(list)
         for doc, start, more in zip(*(verdict.column(c).to_pylist() for c in ("doc", "start", "more")), strict=True):
             for d, a, m in zip(np.cumsum(_unpack(doc).astype(np.int64)).tolist(), _unpack(start).tolist(), _unpack(more).tolist(), strict=True):
@@ -453,15 +487,15 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out["kept_sha256"].append(hashlib.sha256(rest).hexdigest())
             if keep_text:
                 out["kept"].append(rest)
-        out["h1"], out["h2"], out["k"] = (rows_.column(c).to_pylist() for c in ("h1", "h2", "first_id"))
+        out["h"], out["k"] = (rows_.column(c).to_pylist() for c in ("h", "first_id"))
         return pa.table({n: pa.array(out[n], t) for n, t, _ in names})
 
-    done = texts.groupBy("part").cogroup(verdicts.groupBy("part")).applyInArrow(finish, ", ".join(f"{n} {s}" for n, _, s in names))
+    done = texts.groupBy("part").cogroup(verdicts.groupBy("part")).applyInArrow(tidy_group(finish), ", ".join(f"{n} {s}" for n, _, s in names))
     nothing = hashlib.sha256(b"").hexdigest()
     # One join each, so that the join of a text with very many copies can be split.
     long = rows.where(F.col("n_bytes") >= length)
-    copies = long.join(sums, ["h1", "h2"]).where("k > first_id").select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(nothing).alias("kept_sha256"), *([F.lit(b"").alias("kept")] if keep_text else []), *carried)
-    lead = long.join(done, ["h1", "h2", "k"]).select("doc_id", "n_bytes", *[n for n, _, _ in names[3:]], *carried)
+    copies = long.join(sums, ["h"]).where("k > first_id").select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(nothing).alias("kept_sha256"), *([F.lit(b"").alias("kept")] if keep_text else []), *carried)
+    lead = long.join(done, ["h", "k"]).select("doc_id", "n_bytes", *[n for n, _, _ in names[2:]], *carried)
     short = at.where(F.octet_length("text") < length).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), *([F.col("text").cast("binary").alias("kept")] if keep_text else []), *carried)
     return lead.unionByName(copies).unionByName(short).withColumnsRenamed(dict(zip(carried, carry, strict=True)))
 
