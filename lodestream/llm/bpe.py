@@ -17,26 +17,45 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bare, cut, shuffle_width, slices
-
-_loaded: dict[str, dict[bytes, int]] = {}
-
+from .common import bare, cut, shuffle_width, slices, tidy_group, tidy_task
 
+@lru_cache(1)
 def ranks(path: str) -> dict[bytes, int]:
     """Token bytes to id of a rank file; read once in a Python worker."""
-    if path not in _loaded:
-        with open(path, "rb") as f:
-            _loaded[path] = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
-    return _loaded[path]
-
-
-def token_bytes(path: str) -> list[bytes]:
-    """The token-byte table: bytes by id; unused ids are empty."""
-    table = ranks(path)
-    out = [b""] * (max(table.values()) + 1)
-    for word, k in table.items():
-        out[k] = word
-    return out
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
+
+
+class TokenBytes:
+    """The token-byte table, sorted by id; ids are joined to it many at a time."""
+
+    def __init__(self, path: str):
+        words = sorted(ranks(path).items(), key=lambda w: w[1])
+        self.flat = np.frombuffer(b"".join(w for w, _ in words), dtype=np.uint8)
+        self.ids = np.fromiter((k for _, k in words), dtype=np.int64, count=len(words))
+        self.sizes = np.fromiter((len(w) for w, _ in words), dtype=np.int64, count=len(words))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def join(self, ids: np.ndarray) -> bytes:
+        """The bytes of ids, one after the other; an id that the table lacks raises an error."""
+        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        if len(ids) and (self.ids[at] != ids).any():
+            raise ValueError("an id is not in the vocabulary")
+        return _ragged(self.flat, self.starts[at], self.sizes[at]).tobytes()
+
+
+@lru_cache(1)
+def token_bytes(path: str) -> TokenBytes:
+    return TokenBytes(path)
+
+
+def word_encoder(path: str):
+    """A function from a word's bytes to its ids, without splitting it again."""
+    import tiktoken
+
+    # A pattern that takes a word as a whole, line ends included.
+    encode = tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=ranks(path), special_tokens={}).encode_ordinary
+    return lambda word: encode(word.decode())
 
 
 @lru_cache(1)
@@ -163,7 +182,7 @@ def _blocks(docs: DataFrame, pattern: str, buckets: int, block_bytes: int) -> Da
             own = [every[i] for i in order[edges[b] : edges[b + 1]].tolist()]
             yield _row(name, 0, b, zstandard.ZstdCompressor(level=6).compress(b"".join(own)), _pack(np.fromiter(map(len, own), dtype=np.int64)), None, None)
 
-    return docs.mapInArrow(run, BLOCKS)
+    return docs.mapInArrow(tidy_task(run), BLOCKS)
 
 
 def _row(*cells) -> pa.RecordBatch:
@@ -171,13 +190,11 @@ def _row(*cells) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([c], type=t) for c, t in zip(cells, kinds, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
 
-def _encoded(blocks: DataFrame, path: str, pattern: str) -> DataFrame:
+def _encoded(blocks: DataFrame, path: str) -> DataFrame:
     """Each bucket's distinct words encoded once; ids go back to every block that has the word."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        import tiktoken
-
-        encode = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})._core_bpe.encode_single_piece
+        encode = word_encoder(path)
         number: defaultdict[bytes, int] = defaultdict(count().__next__)
         mine = []
         for payload, lengths in zip(group.column("payload").to_pylist(), group.column("lengths").to_pylist(), strict=True):
@@ -190,26 +207,28 @@ def _encoded(blocks: DataFrame, path: str, pattern: str) -> DataFrame:
         out = [(_pack(_ragged(flat, starts[m], sizes[m])), _pack(sizes[m])) for m in mine]
         return pa.table({"block": group.column("block"), "bucket": group.column("bucket"), "ids": pa.array([x for x, _ in out], pa.binary()), "lengths": pa.array([x for _, x in out], pa.binary())})
 
-    return blocks.where("part = 0").select("bucket", "block", "payload", "lengths").groupBy("bucket").applyInArrow(run, "block long, bucket int, ids binary, lengths binary")
+    return blocks.where("part = 0").select("bucket", "block", "payload", "lengths").groupBy("bucket").applyInArrow(tidy_group(run), "block long, bucket int, ids binary, lengths binary")
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32 << 20, digests: bool = False, keep_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32 << 20, bucket_bytes: int = 256 << 20, digests: bool = False, keep_ids: bool = True) -> DataFrame:
     """BPE ids of every whole text, by a global shuffle of distinct words.
 
     Texts are split by ``pattern``; every block of documents keeps its words'
     positions as numbers and sends each distinct word once to the word's
-    bucket, where it is encoded once; the ids come back to the block and are
-    put together by position. ``vocabulary`` is the path of a rank file on
-    every machine. Returns doc_id and n_tokens; with ``keep_ids`` ids
+    bucket (one for each ``bucket_bytes`` of texts at least), where it is encoded
+    once; the ids come back to the block and are put together by position.
+    ``vocabulary`` is the path of a rank file on every machine. Returns doc_id and n_tokens; with ``keep_ids`` ids
     (array<int>); with ``digests`` also ids_sha256 (little-endian unsigned
-    32-bit) and decoded_sha256, from a decode by the token-byte table.
+    32-bit) and decoded_sha256, of the ids joined with the token-byte table.
 
     A null text is empty: 0 tokens, digests of no bytes. Ids may be null or
     repeat; every input row gives one row. Other columns are ignored.
     """
-    buckets = shuffle_width(docs.sparkSession)
-    blocks = cut(_blocks(bare(docs, id_col, text_col), pattern, buckets, block_bytes))
-    table = _encoded(blocks, vocabulary, pattern)
+    slim = bare(docs, id_col, text_col)
+    total = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(shuffle_width(docs.sparkSession), -(-total // bucket_bytes))
+    blocks = cut(_blocks(slim, pattern, buckets, block_bytes))
+    table = _encoded(blocks, vocabulary)
     columns = [("doc_id", pa.int64(), "long"), ("n_tokens", pa.int64(), "long")]
     columns += [("ids", pa.list_(pa.int32()), "array<int>")] if keep_ids else []
     columns += [("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")] if digests else []
@@ -227,7 +246,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
             at += len(ids)
             pieces.append(ids)
         flat = np.concatenate(pieces) if pieces else np.zeros(0, np.uint32)
-        table = token_bytes(vocabulary).__getitem__ if digests else None
+        decoded = token_bytes(vocabulary).join if digests else None
         out: dict[str, list] = {name: [] for name, _, _ in columns}
         for kind, payload, doc_ids, counts in zip(part, payloads, seqs.column("doc_ids").to_pylist(), lengths, strict=True):
             if kind == 2:
@@ -243,24 +262,24 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
                     out["ids"].append(ids.astype(np.int32))
                 if digests:
                     out["ids_sha256"].append(hashlib.sha256(ids.tobytes()).hexdigest())
-                    out["decoded_sha256"].append(hashlib.sha256(b"".join(map(table, ids.tolist()))).hexdigest())
+                    out["decoded_sha256"].append(hashlib.sha256(decoded(ids.astype(np.int64))).hexdigest())
         return pa.table({name: pa.array(out[name], kind) for name, kind, _ in columns})
 
     seqs = blocks.where("part > 0").select("block", "part", "payload", "doc_ids", "sizes")
-    return seqs.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(put_together, ", ".join(f"{n} {s}" for n, _, s in columns))
+    return seqs.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(tidy_group(put_together), ", ".join(f"{n} {s}" for n, _, s in columns))
 
 
 def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """doc_id and text bytes of BPE ids, through the token-byte table.
+    """doc_id and text bytes of BPE ids, by a join with the token-byte table inside each batch.
 
     The table is bounded by the vocabulary. Null ids give null bytes; an id
     outside the table raises an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_bytes(vocabulary).__getitem__
+        decoded = token_bytes(vocabulary).join
         for batch in batches:
-            texts = [None if x is None else b"".join(map(table, x)) for x in batch.column("ids").to_pylist()]
+            texts = [None if x is None else decoded(np.array(x, dtype=np.int64)) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary())], names=["doc_id", "bytes"])
 
-    return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, bytes binary")
+    return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(tidy_task(run), "doc_id long, bytes binary")
