@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 #: Width of the hashed feature space, and the n-gram sizes.
 WIDTH, SIZES = 2048, (3, 4)
-MOST_RULES, MOST_LABELS = 500, 200
+#: Rules that are one expression; more are joined. Labelled URLs at most: the fit is over all pairs of them.
+MOST_INLINE, MOST_LABELS = 500, 200
 
 # The small labelled URL table (1: allow, 0: block).
 LABELLED_URLS = """
@@ -35,40 +36,26 @@ LABELLED_URLS = """
 1 https://theatre.example.com/fr/programme
 1 https://code.example.net/en/reference/list
 1 https://history.example.org/en/timeline
-0 http://casino.example.net/en/free-spins-bonus
-0 http://www.poker-win.example.com/jackpot/now
-0 http://cheap-pills.example.net/buy/no-prescription
-0 http://xxx-videos.example.com/adult/hot
+0 http://roulette.example.net/en/spins-bonus
+0 http://www.poker-room.example.com/jackpot/now
+0 http://pharmacy-offers.example.net/buy/no-prescription
+0 http://xxx-videos.example.com/hot/clips
 0 http://warez.example.net/crack/keygen-download
 0 http://loans-fast.example.com/apply/instant-cash
-0 http://click.example.net/ads/track?id=1
-0 http://win-prize.example.com/claim/lottery
-0 http://adult-cams.example.net/live/sexy
+0 http://redirect.example.net/banner/popup?id=1
+0 http://prize-draw.example.com/claim/lottery
+0 http://cams-live.example.net/girls/sexy
 0 http://torrent.example.com/download/crack
-0 http://replica-watches.example.net/shop/cheap
+0 http://replica-watches.example.net/shop/sale
 0 http://seo-links.example.com/buy/backlinks
-0 http://bet-sports.example.net/casino/odds
-0 http://free-download.example.com/serial/keygen
+0 http://wager-sports.example.net/odds/today
+0 http://serials.example.com/keygen/full
 0 http://crypto-double.example.net/profit/instant
-0 http://diet-pills.example.com/buy/cheap
-0 http://spam.example.net/click/redirect
-0 http://escorts.example.com/adult/city
+0 http://slimming-tablets.example.com/buy/today
+0 http://mailer.example.net/bulk/redirect
+0 http://escorts.example.com/girls/city
 0 http://porn.example.net/xxx/videos
-0 http://lottery.example.com/jackpot/win
-0 http://casino-win.example.com/en/27
-0 https://m.free-bets.example.net/en/911.html
-0 https://www.cheap-pills.example.org/fr/3015/
-0 http://blog.spam-farm.example.com/de/88
-0 https://ads-track.example.net/en/640?utm_source=feed
-0 http://adult-x.example.com/es/1204.html
-1 https://tionsh.example.net/en/512
-1 https://m.ththha.example.com/de/7721/
-1 http://www.thering.example.org/fr/390.html
-1 https://blog.tionble.example.com/es/46
-1 https://therwh.example.net/en/8105?page=2
-1 https://ththnd.example.org/en/23
-1 http://m.tiontion.example.com/de/6004.html
-1 https://thernd.example.net/fr/17/
+0 http://lottery.example.com/jackpot/claim
 """
 
 
@@ -153,29 +140,48 @@ def train(labelled: DataFrame, rounds: int = 400, rate: float = 300.0, bias: flo
 def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
     """The longest fitting rule as a struct (rule, verdict), else null.
 
-    ``rules`` are (verdict, host, path), at most MOST_RULES. A rule fits its
-    host and all subdomains, if the path starts with the rule's; of equally
-    long ones the first in order of text wins.
+    ``rules`` are (verdict, host, path). A rule fits its host and all
+    subdomains, if the path starts with the rule's; of equally long ones the
+    first in order of text wins.
     """
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
     found = None
-    for verdict, h, p in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2])):
+    for verdict, h, p in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2], r[0])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         cell = F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))
         found = F.when(fits, cell) if found is None else found.when(fits, cell)
     return F.lit(None).cast("struct<rule:string,verdict:string>") if found is None else found
 
 
+def join_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """``urls`` (host, path and others) with ``_r``, the same as ``rule_for`` gives, for a list of any length.
+
+    ``rules`` has verdict, host and path. Each different host and path asks for
+    the rules of its host and of the domains above it, by a join.
+    """
+    labels = F.split("host", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    asked = urls.select("host", "path").distinct().withColumn("_h", F.explode(above))
+    known = rules.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "verdict")
+    rule = F.concat("_h", "_p")
+    best = asked.join(known, "_h").where(F.col("path").startswith(F.col("_p"))).groupBy("host", "path").agg(F.min(F.struct((-F.length(rule)).alias("n"), rule.alias("rule"), "verdict")).alias("_b"))
+    best = best.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.struct("_b.rule", "_b.verdict").alias("_r"))
+    return urls.join(best, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left").drop("_h", "_p")
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], weights: list[float], id_col: str = "page_id", url_col: str = "url", threshold: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict and p_allow of every URL.
 
     The longest fitting rule decides; without one the model does: allow if its
     probability is at least ``threshold``. A null URL, or one without ://, has
     an empty host and path and is judged by the model on those. Ids may be null
-    or repeat; other columns are ignored. No shuffle.
+    or repeat; other columns are ignored. Up to MOST_INLINE rules need no
+    shuffle; more are joined.
     """
     at = pages.select(F.col(f"`{id_col}`").alias("page_id"), host_of(F.col(f"`{url_col}`")).alias("host"), path_of(F.col(f"`{url_col}`")).alias("path"))
-    at = at.withColumn("_r", rule_for(F.col("host"), F.col("path"), rules)).withColumn("p_allow", score(weights, features(F.col("host"), F.col("path"))))
+    if len(rules) <= MOST_INLINE:
+        at = at.withColumn("_r", rule_for(F.col("host"), F.col("path"), rules))
+    else:
+        at = join_rules(at, pages.sparkSession.createDataFrame(rules, "verdict string, host string, path string"))
+    at = at.withColumn("p_allow", score(weights, features(F.col("host"), F.col("path"))))
     verdict = F.coalesce(F.col("_r.verdict"), F.when(F.col("p_allow") >= threshold, F.lit("allow")).otherwise(F.lit("block")))
     return at.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), verdict.alias("verdict"), "p_allow")
