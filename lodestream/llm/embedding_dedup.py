@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_width
+from .bpe import _ragged
+from .common import cut, shuffle_width, tidy_task
 from .components import components
 from .pairing import Forest, split_groups
 
@@ -27,19 +28,29 @@ SEED, MOST_BITS = 20_240_601, 40
 
 
 class Plan:
-    """Window, collision count and tables for a threshold, by their recall there."""
+    """Window, collision count and tables for a threshold, by their recall there.
 
-    def __init__(self, threshold: float, lines: int = 32, cell: int = 256, recall: float = 0.995):
+    Of the pairs at the threshold at least ``recall`` meet in a table, and as
+    many of those have enough collisions; above it, more. A recall of 1 is the
+    exact way: all vectors of a label meet, in blocks, and all pairs are verified.
+    """
+
+    def __init__(self, threshold: float, lines: int = 48, cell: int = 256, recall: float = 0.9999):
+        self.exact = recall >= 1
         self.threshold, self.lines, self.cell = threshold, lines, cell
         gap = math.sqrt(max(2 - 2 * threshold, 1e-12))
         # Half of the pairs at the threshold collide on a line: 0.6745 is the normal's upper quartile.
         self.window = 0.6745 * gap
         miss, self.least = 0.5**lines, 0
-        while miss <= 1 - 0.9995 and self.least < lines:
+        while miss <= 1 - recall and self.least < lines:
             self.least += 1
             miss += math.comb(lines, self.least) * 0.5**lines
         agree = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
-        self.tables = [1] + [max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree**b))) for b in range(1, MOST_BITS + 1)]
+        self.tables = [1] + [1 if self.exact else max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree**b))) for b in range(1, MOST_BITS + 1)]
+
+    @property
+    def most_bits(self) -> int:
+        return 0 if self.exact else MOST_BITS
 
     def directions(self, dim: int) -> np.ndarray:
         return np.random.default_rng([SEED, dim]).standard_normal((self.lines, dim))
@@ -60,14 +71,21 @@ def unit_rows(flat: np.ndarray, dim: int) -> np.ndarray:
 
 def collisions(left: np.ndarray, right: np.ndarray, window: float) -> np.ndarray:
     """Collisions of each pair: on every line (row), right is sorted and each left value queries a window around it."""
-    counts = np.zeros((left.shape[1], right.shape[1]), dtype=np.uint8)
+    n, m = left.shape[1], right.shape[1]
+    counts, met, held = np.zeros(n * m, dtype=np.int64), [], 0
+    row = np.arange(n) * m
     for x, y in zip(left, right, strict=True):
         order = np.argsort(y)
         there = y[order]
-        low, high = np.searchsorted(there, x - window), np.searchsorted(there, x + window, side="right")
-        for q, (a, b) in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
-            counts[q, order[a:b]] += 1
-    return counts
+        low, hits = (at := np.searchsorted(there, x - window)), np.searchsorted(there, x + window, side="right") - at
+        met.append(_ragged(order, low, hits) + np.repeat(row, hits))
+        held += len(met[-1])
+        if held > 4 * n * m:
+            counts += np.bincount(np.concatenate(met), minlength=n * m)
+            met, held = [], 0
+    if met:
+        counts += np.bincount(np.concatenate(met), minlength=n * m)
+    return counts.reshape(n, m)
 
 
 def _task(plan: Plan, x: np.ndarray, cells: np.ndarray, table: int, side: np.ndarray, p: int, q: int, mult: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -78,14 +96,18 @@ def _task(plan: Plan, x: np.ndarray, cells: np.ndarray, table: int, side: np.nda
     linked, forest = np.zeros(len(x), dtype=np.int64), Forest(len(x))
     for s in range(0, len(left), 256):
         mine = left[s : s + 256]
-        a, b = np.nonzero(collisions(lines[:, mine], lines[:, right], plan.window) >= plan.least)
-        a, b = mine[a], right[b]
+        if plan.exact:
+            a, b = np.repeat(mine, len(right)), np.tile(right, len(mine))
+        else:
+            a, b = np.nonzero(collisions(lines[:, mine], lines[:, right], plan.window) >= plan.least)
+            a, b = mine[a], right[b]
+        # A pair counts in the first table where it meets, and once in that.
+        new = ~(cells[a, :table] == cells[b, :table]).any(axis=1)
         if p == q:
-            a, b = a[a < b], b[a < b]
-        near = np.concatenate([np.einsum("ij,ij->i", x[a[k : k + 65_536]], x[b[k : k + 65_536]]) for k in range(0, len(a), 65_536)]) if len(a) else np.zeros(0)
-        # A pair counts in the first table where it meets.
-        new = (near >= plan.threshold) & ~(cells[a, :table] == cells[b, :table]).any(axis=1)
+            new &= a < b
         a, b = a[new], b[new]
+        near = np.concatenate([np.einsum("ij,ij->i", x[a[k : k + 65_536]], x[b[k : k + 65_536]]) for k in range(0, len(a), 65_536)]) if len(a) else np.zeros(0)
+        a, b = a[near >= plan.threshold], b[near >= plan.threshold]
         linked += np.bincount(a, weights=mult[b], minlength=len(x)).astype(np.int64) + np.bincount(b, weights=mult[a], minlength=len(x)).astype(np.int64)
         forest.join(a, b)
     return linked, forest.edges
@@ -96,8 +118,8 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Two vectors link if their labels are equal and not null, their lengths are
     equal, and their cosine in double precision is at least ``threshold``; every
-    link returned holds, and at the threshold about 0.995 of the links are
-    found (more above it). Equal vectors of a label are one node with a count,
+    link returned holds. At the threshold 0.9998 of the links are found, by
+    calculation (more above it); with Plan(threshold, recall=1) all are. Equal vectors of a label are one node with a count,
     so copies link without being compared. A vector that is null, empty or zero
     or has a null or non-finite component, and one without a label, links with
     nothing. component_id is the smallest id that links reach, itself included
@@ -113,7 +135,7 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     nodes = at.where("ok").groupBy("h", "label", "v").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("mult"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
     sizes = nodes.groupBy("label").agg(F.count("*").alias("n"))
-    bits = F.greatest(F.lit(0), F.least(F.lit(MOST_BITS), F.floor(F.log2(F.col("n") / plan.cell)).cast("int")))
+    bits = F.greatest(F.lit(0), F.least(F.lit(plan.most_bits), F.floor(F.log2(F.col("n") / plan.cell)).cast("int")))
     routed = nodes.select("node", "label", "mult", F.col("v").cast("array<double>").alias("v")).join(sizes.select("label", bits.alias("bits")), "label")
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +150,7 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                     cells[i] = c.tolist()
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("label"), batch.column("mult"), batch.column("v"), pa.array(dims), pa.array(cells, pa.list_(pa.int64()))], names=["node", "label", "mult", "v", "dim", "cells"])
 
-    routed = routed.mapInArrow(route, "node long, label long, mult long, v array<double>, dim long, cells array<long>")
+    routed = routed.mapInArrow(tidy_task(route), "node long, label long, mult long, v array<double>, dim long, cells array<long>")
     slots = routed.select("*", F.posexplode("cells").alias("tab", "cell"))
     key = ["label", "dim", "tab", "cell"]
     tasks = split_groups(slots, key, "node", chunk)
@@ -161,7 +183,7 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     order = [*key, "p", "q"]
     found = tasks.select("node", "mult", "v", "cells", "side", *order).repartition(shuffle_width(vectors.sparkSession), *order).sortWithinPartitions(*order)
-    found = cut(found.mapInArrow(work, "a long, b long, n long"))
+    found = cut(found.mapInArrow(tidy_task(work), "a long, b long, n long"))
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
     groups = components(found.where("b is not null").select("a", "b"))
     named = nodes.select("node", "h", "label", "v", "first_id", "mult").join(counts, "node", "left").join(groups, "node", "left").withColumn("root", F.coalesce("component_id", "node")).drop("component_id")
