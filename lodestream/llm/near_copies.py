@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_width, slices, texts_of
+from .common import cut, shuffle_width, slices, texts_of, tidy_task
 from .components import components
 from .pairing import Forest, split_groups
 from .simhash import BITS, GrayTree
@@ -91,7 +91,7 @@ def sketches(rows: DataFrame) -> DataFrame:
                 cells += [pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cells, names=[*(f.name for f in kept), "node", "fp", "n", "keys"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy_task(run), schema)
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
                 node = np.array([_node(h) for h in sets], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=["node", "set"])
 
-    return texts.select("text").mapInArrow(run, "node long, set array<long>").groupBy("node").agg(F.any_value("set").alias("set"))
+    return texts.select("text").mapInArrow(tidy_task(run), "node long, set array<long>").groupBy("node").agg(F.any_value("set").alias("set"))
 
 
 def _task_links(fp: np.ndarray, n: np.ndarray, side: np.ndarray, p: int, q: int) -> list[tuple[int, int]]:
@@ -170,7 +170,7 @@ def candidates(nodes: DataFrame, chunk: int = 1024) -> DataFrame:
                 out += [(int(node[i]), int(node[j])) for i, j in _task_links(part[5, a:b].view(np.uint64), part[6, a:b], part[4, a:b], int(part[2, a]), int(part[3, a]))]
         return pa.RecordBatch.from_arrays([pa.array([min(e) for e in out], pa.int64()), pa.array([max(e) for e in out], pa.int64())], names=["a", "b"])
 
-    return tasks.mapInArrow(run, "a long, b long").distinct()
+    return tasks.mapInArrow(tidy_task(run), "a long, b long").distinct()
 
 
 def first_of_groups(rows: DataFrame, chunk: int = 1024) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bare, cut, shuffle_width, texts_of
+from .common import bare, cut, shuffle_width, texts_of, tidy_task
 from .components import components
 from .pairing import Forest, split_groups
 
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint_of(t, width) for t in texts_of(batch, "text")], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
 
-    return bare(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return bare(docs, id_col, text_col).mapInArrow(tidy_task(run), "doc_id long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -192,7 +192,7 @@ def links(fps: DataFrame, distance: int = 4, blocks: int = 6, chunk: int = 2048)
                 out += [(int(fp[i]), int(fp[j])) for i, j in _task_links(fp.view(np.uint64), part[4, a:b], int(part[2, a]), int(part[3, a]), distance)]
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
-    return tasks.mapInArrow(run, "a long, b long").distinct()
+    return tasks.mapInArrow(tidy_task(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4, blocks: int = 6, chunk: int = 2048) -> DataFrame:
