@@ -90,8 +90,8 @@ def links_by_force(rows, threshold=0.93):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("cell, chunk", [(256, 2048), (8, 5)])
-def test_embeddings(spark, cell, chunk):
+@pytest.mark.parametrize("plan, chunk", [(None, 2048), (embedding_dedup.Plan(0.93, cell=8), 5), (embedding_dedup.Plan(0.93, recall=1), 7)])
+def test_embeddings(spark, plan, chunk):
     rng, rows = np.random.default_rng(3), []
     for g in range(40):
         base = rng.standard_normal(16)
@@ -100,12 +100,32 @@ def test_embeddings(spark, cell, chunk):
     rows += [(900 + i, rows[0][1], rows[0][2]) for i in range(5)]
     rows += [(800, None, 1), (801, [0.0] * 16, 1), (802, [None] + [1.0] * 15, 1), (803, [float("nan")] + [1.0] * 15, 1), (804, [float("inf")] + [1.0] * 15, 1), (805, [1.0] * 16, None), (806, [], 1), (None, rows[3][1], rows[3][2]), (0, rows[3][1], rows[3][2])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("node", F.lit(1)).withColumn("h", F.lit("x"))
-    got = embedding_dedup.embedding_links(df, chunk=chunk, plan=embedding_dedup.Plan(0.93, cell=cell, recall=0.9999))
+    got = embedding_dedup.embedding_links(df, chunk=chunk, plan=plan)
     got = sorted(((None if pd.isna(r.vec_id) else int(r.vec_id), r.n_links, None if pd.isna(r.component_id) else int(r.component_id), bool(r.kept)) for r in got.toPandas().itertuples()), key=str)
     want = links_by_force([(k, v, a) for k, v, a in rows])
     assert got == want
 
 
+def test_large_label(spark):
+    """One label of 6,000 vectors in 64 dimensions at the registered plan, with pairs just over and under the threshold."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((3000, 64))
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    cosine = np.where(np.arange(3000) % 6, 0.9301, 0.9299)[:, None]
+    v = np.concatenate([x, cosine * x + np.sqrt(1 - cosine**2) * y])
+    df = spark.createDataFrame([(i, r.tolist(), 1) for i, r in enumerate(v)], "vec_id long, embedding array<double>, label int").repartition(4)
+    got = embedding_dedup.embedding_links(df).toPandas().set_index("vec_id")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    links = ((unit @ unit.T) >= 0.93).sum(axis=1) - 1
+    assert links.sum() == 5000 and (got.n_links[np.arange(6000)].to_numpy() <= links).all()
+    assert got.n_links.sum() >= 0.999 * links.sum()
+    whole = embedding_dedup.embedding_links(df, plan=embedding_dedup.Plan(0.93, recall=1)).toPandas().set_index("vec_id")
+    assert (whole.n_links[np.arange(6000)].to_numpy() == links).all()
+
+
 def test_no_embeddings(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.embedding_links(df).count() == 0
@@ -114,14 +134,57 @@ def test_no_embeddings(spark):
 # 2: mixing
 
 
+def mixed_rows(df):
+    return sorted(map(str, df.select("doc_id", "source", "mix_domain", "mix_tokens", "mix_epoch").collect()))
+
+
+def sql_mix(rows, **weights):
+    import duckdb
+    from pyspark.sql import Row
+
+    made = pd.DataFrame([(i, t, l, s) for i, t, l, s in rows], columns=["doc_id", "text", "lang", "source"]).astype({"doc_id": "Int64"})
+    found = duckdb.connect()
+    found.register("made", made)
+    out = found.execute(queries.mix_sql("made", out="doc_id, source, domain, tokens, epoch", **weights)).fetchall()
+    return sorted(str(Row(doc_id=a, source=b, mix_domain=c, mix_tokens=int(d), mix_epoch=e)) for a, b, c, d, e in out)
+
+
+def test_mix_equals_sql(spark):
+    """Leaves of very different sizes, weights of zero on every level, one id on a third of the rows, and equal rows."""
+    rng = random.Random(9)
+    rows = [(rng.choice([i, i, 7]), "w " * rng.randrange(0, 30) + str(rng.randrange(4)), rng.choice(["en", "de", "fr", None]), rng.choice(["src0", "src1", "src12", "src12345", None])) for i in range(900)]
+    rows += [(3, "the same row", "en", "src0")] * 300
+    df = docs(spark, rows).repartition(5)
+    assert mixed_rows(mixing.mix(df, queries.source_domain(), queries.mix_weights())) == sql_mix(rows)
+    zero = {"domain": F.when(F.col("domain") == "forum", 0).otherwise(2), "lang": F.when(F.col("lang") == "de", 0).when(F.col("lang") == "fr", 5).otherwise(1), "source": F.when(F.col("source") == "src12", 0).otherwise(1)}
+    want = sql_mix(rows, domain_weight="CASE WHEN domain = 'forum' THEN 0 ELSE 2 END", lang_weight="CASE k_lang WHEN 'de' THEN 0 WHEN 'fr' THEN 5 ELSE 1 END", source_weight="CASE WHEN k_source = 'src12' THEN 0 ELSE 1 END")
+    got = mixed_rows(mixing.mix(df, queries.source_domain(), zero))
+    assert got == want and len(got) > 500
+
+
+def test_shortage_under_zero_weight(spark):
+    leaves = spark.createDataFrame([("web", "en", "a", 1000), ("web", "de", "b", 1000), ("forum", "en", "c", 5000)], "domain string, lang string, source string, tokens long")
+    weights = {"domain": F.lit(1), "lang": F.when(F.col("lang") == "de", 0).otherwise(1), "source": F.lit(1)}
+    got = {r["source"]: r["budget"] for r in mixing.budgets(leaves, F.lit(5000), weights, 1).collect()}
+    assert got == {"a": 1000, "b": 0, "c": 4000}
+    # What rounding down leaves is handed out.
+    three = spark.createDataFrame([("d", "en", s, 100) for s in "abc"], "domain string, lang string, source string, tokens long")
+    got = {r["source"]: r["budget"] for r in mixing.budgets(three, F.lit(100), {k: F.lit(1) for k in mixing.LEVELS}, 1).collect()}
+    assert got == {"a": 34, "b": 33, "c": 33}
+
+
 def test_mix(spark, odd, empty):
     weights = queries.mix_weights()
     assert mixing.mix(empty, queries.source_domain(), weights).count() == 0
-    got = mixing.mix(odd, queries.source_domain(), weights)
-    assert set(odd.columns) <= set(got.columns) and got.count() >= 0
+    # Clashing names, nulls, blank and repeated rows: the same rows as the SQL gives.
+    clash = odd.withColumns({n: F.lit(-5) for n in ("_rest", "_lang", "_domain", "_source", "_id", "_bucket", "_key", "_end", "_mix_key", "tokens", "budget", "MIX_EPOCH")})
+    got = mixing.mix(clash, queries.source_domain(), weights)
+    assert got.columns == [*(c for c in clash.columns if c != "MIX_EPOCH"), *mixing.ADDED]
+    assert got.where("_tokens <> 1 or _rest <> -5 or _lang <> -5 or _mix_key <> -5").count() == 0
+    assert mixed_rows(got) == sql_mix(ODD)
     rng = random.Random(5)
     rows = [(i, "w " * rng.randrange(1, 40), rng.choice(["en", "de"]), rng.choice(["src0", "src0", "src1", "src12"])) for i in range(600)]
-    mixed = mixing.mix(docs(spark, rows), queries.source_domain(), weights, total=F.lit(6000), per_bucket=8).toPandas()
+    mixed = mixing.mix(docs(spark, rows), queries.source_domain(), weights, total=F.lit(6000)).toPandas()
     assert 5900 <= mixed.mix_tokens.sum() <= 6100
     by = mixed.groupby("mix_domain").mix_tokens.sum()
     assert by["web"] == pytest.approx(6000 * 4 / 11, rel=0.03) and by["forum"] == pytest.approx(6000 * 3 / 11, rel=0.03)
@@ -168,18 +231,87 @@ def test_toxicity(spark, odd, empty):
     assert 0 < toxicity.score(odd, nothing).first()["score"] < 1
 
 
+def test_decoder_against_all_readings():
+    """The cost of the decoded text is the least of all ways through the lattice, found by trying every one."""
+    rng = np.random.default_rng(5)
+    counts = [np.floor(rng.random(1 << b) ** 6 * 50).astype(np.float32) for b in toxicity.GRAM_BITS]
+    it = toxicity.Decoder(counts)
+
+    def readings(token, i, a, b, cost, said):
+        if i == len(token):
+            yield cost + it.cost(a, b, ""), said
+            return
+        o = token[i]
+        if o in toxicity.GAPS:
+            yield from readings(token, i + 1, a, b, cost + toxicity.GAPS[o], said)
+            if b:
+                yield from readings(token, i + 1, "", "", cost + it.cost(a, b, ""), said + " ")
+            return
+        extra = toxicity.REPEAT if token[max(0, i - 2) : i + 3].count(o) > 2 else toxicity.DOUBLE
+        for c, price in [(c, toxicity.SWAP) for c in toxicity.LEET.get(o, "")] + ([(o, 0.0)] if o.isalpha() else []):
+            yield from readings(token, i + 1, b, c, cost + price + it.cost(a, b, c), said + c)
+            if c == b:
+                yield from readings(token, i + 1, a, b, cost + price + extra, said)
+        if not o.isalpha():
+            yield from readings(token, i + 1, a, b, cost + (toxicity.DIGIT if o.isdigit() else toxicity.INSERT), said)
+
+    letters = random.Random(3)
+    for _ in range(150):
+        token = "".join(letters.choice("ab10$@!es" + toxicity.SPELT) for _ in range(letters.randrange(1, 8)))
+        every = list(readings(token, 0, "", "", 0.0, ""))
+        least = min(c for c, _ in every)
+        assert it.decode(token) in {s for c, s in every if c <= least + 1e-9}
+
+
 # 4: telephony
 
 
 def test_media(spark, odd, empty):
-    got = telephony.media_columns(odd).toPandas()
+    got = telephony.media_columns(odd).select("doc_id", "n_bytes", "mulaw.*").toPandas()
     want = sorted((str(i), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(p)) for i, t, _, _ in ODD for p in [(t or "").encode() + b"\0" * (-len((t or "").encode()) % 64 if t else 64)])
     assert sorted((str(None if pd.isna(r.doc_id) else int(r.doc_id)), r.payload_sha256, r.tail_crc32, r.payload_bytes) for r in got.itertuples()) == want
-    for r in got.itertuples():
-        assert hashlib.sha256(r.media).hexdigest() == r.media_sha256 and len(r.media) == r.media_bytes
-        rate, pcm = telephony.decode(bytes(r.media))
-        assert rate == 8000 and len(r.pcm) == 4 * len(pcm)
-    assert telephony.media_columns(empty).count() == 0
+    assert telephony.media_columns(empty).count() == 0 and telephony.decode_media(empty.select("doc_id", F.lit(b"").alias("media"))).count() == 0
+
+
+def straight_lines(pcm):
+    """The signal at twice the rate and its features, sample by sample."""
+    wide = [w for i, v in enumerate(pcm) for w in (v, (v + (pcm[i + 1] if i + 1 < len(pcm) else v)) // 2)]
+    n = max(len(wide), 1)
+    turns = sum((a >= 0) != (b >= 0) for a, b in zip(wide, wide[1:]))
+    return wide, f"samples={len(wide)},peak={max(map(abs, wide), default=0)},mean={sum(wide) // n},energy={sum(w * w for w in wide) // n},crossings={turns}"
+
+
+@pytest.mark.parametrize("piece", [telephony.PIECE, 256])
+def test_decoded_media(spark, monkeypatch, piece):
+    """Every format of every row against a decoder that goes sample by sample; pieces and rows share calls."""
+    monkeypatch.setattr(telephony, "PIECE", piece)
+    rng = random.Random(2)
+    texts = ["", "short", "x" * 64, "é" * 700, *("".join(rng.choice("ab \n\u20ac~") for _ in range(rng.randrange(1, 900))) for _ in range(12))]
+    for codec in telephony.CODECS:
+        data = [t.encode() + b"\0" * (-len(t.encode()) % 64 if t else 64) for t in texts]
+        media = [telephony.pack_wav(d, codec) for d in data]
+        for d, m, row in zip(data, media, telephony.decode_rows([*media, None, b"RIFF"], 2), strict=False):
+            pcm = telephony.decode(m)[1].tolist() if codec != "adpcm" else [v for a in range(0, len(d), 64) for v in adpcm_by_force(d[a : a + 64])]
+            wide, marks = straight_lines(pcm)
+            assert row["data"] == d and row["rate"] == 16_000 and row["feature"] == marks
+            assert np.frombuffer(b"".join(row["pcm"]), "<i2").tolist() == wide
+    df = spark.createDataFrame([(i, bytearray(telephony.pack_wav(b"\x10" * 64 * i, c))) for i, c in enumerate(telephony.CODECS, 1)] + [(9, None), (None, bytearray(b"noise"))], "doc_id long, media binary")
+    got = {r["doc_id"]: r for r in telephony.decode_media(df).collect()}
+    assert got[9]["pcm"] is None and got[None]["error"] == "not a WAV file"
+    assert len(b"".join(map(bytes, got[1]["pcm"]))) == 64 * 4 and len(b"".join(map(bytes, got[3]["pcm"]))) == 3 * 121 * 4
+
+
+def adpcm_by_force(data):
+    value, index, out = int.from_bytes(data[:2], "little", signed=True), min(data[2], 88), []
+    out.append(value)
+    for byte in data[4:]:
+        for code in (byte & 15, byte >> 4):
+            step = int(telephony.IMA_STEP[index])
+            d = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
+            value = max(-32768, min(32767, value - d if code & 8 else value + d))
+            index = max(0, min(88, index + int(telephony.IMA_INDEX[code])))
+            out.append(value)
+    return out
 
 
 def test_codecs():
@@ -195,22 +327,10 @@ def test_codecs():
     back = telephony.adpcm_decode(telephony.adpcm_encode(wave), 256)[: len(wave)]
     assert np.abs(back.astype(int) - wave).mean() < 200
 
-    def one_by_one(data):
-        value, index, out = int.from_bytes(data[:2], "little", signed=True), data[2], []
-        out.append(value)
-        for byte in data[4:]:
-            for code in (byte & 15, byte >> 4):
-                step = int(telephony.IMA_STEP[index])
-                d = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
-                value = max(-32768, min(32767, value - d if code & 8 else value + d))
-                index = max(0, min(88, index + int(telephony.IMA_INDEX[code])))
-                out.append(value)
-        return out
-
     data = telephony.adpcm_encode(wave, 64)
-    want = [v for a in range(0, len(data), 64) for v in one_by_one(data[a : a + 64])]
+    want = [v for a in range(0, len(data), 64) for v in adpcm_by_force(data[a : a + 64])]
     assert telephony.adpcm_decode(data, 64).tolist() == want
-    assert telephony.resample(np.array([0, 10], np.int16), 2, 1).tolist() == [0, 5, 10, 10]
+    assert telephony.upsample(np.array([0, 10, 4], np.int16), np.array([2, 1]), np.array([10, 5]), 2).tolist() == [0, 5, 10, 10, 4, 4]
     with pytest.raises(ValueError):
         telephony.unpack_wav(b"RIFFxxxx")
 
@@ -280,11 +400,11 @@ def test_token_counts(spark, odd, empty):
 
     path = P.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    extra = docs(spark, [(50, "end <|endoftext|> here", "en", "s"), (51, "naïve café 123 ... don't", "en", "s"), (52, "日本語 text", "ja", "s")])
+    extra = docs(spark, [(50, "end <|endoftext|> here", "en", "s"), (53, "<|endoftext|>" + "far too long for a chunk, " * 400 + " <|endoftext|><|endoftext|> x", "en", "s"), (51, "naïve café 123 ... don't", "en", "s"), (52, "日本語 text", "ja", "s")])
     df = odd.select(extra.columns).unionByName(extra)
-    got = token_counts.token_counts(df, path, huge=3000, chunk=1500, overlap=40).collect()
+    got = token_counts.token_counts(df, path, chunk=1500, overlap=40).collect()
     want = {r["doc_id"]: (len((r["text"] or "").encode()), len(t.encode(r["text"] or "", add_special_tokens=False))) for r in df.collect()}
-    assert len(got) == len(ODD) + 3
+    assert len(got) == len(ODD) + 4
     for r in got:
         assert (r["n_bytes"], r["n_tokens"]) == want[r["doc_id"]] and r["over_limit"] == (r["n_tokens"] > 512)
     assert token_counts.token_counts(empty, path).count() == 0
@@ -292,7 +412,10 @@ def test_token_counts(spark, odd, empty):
     rng = random.Random(4)
     for _ in range(30):
         text = "".join(rng.choice(["ab", " ", "  ", "\n", "x'll", "12", "é", "!?"]) for _ in range(400))
-        assert c.plain(text) == c.spliced(text, 60, 8) == len(t.encode(text, add_special_tokens=False))
+        want = len(t.encode(text, add_special_tokens=False))
+        assert c.plain(text) == c.spliced(text, 60, 8) == want
+        marked = text[:200] + "<|endoftext|>" + text[200:]
+        assert c.count(marked, 60, 8) == len(t.encode(marked, add_special_tokens=False))
 
 
 # 7: Kneser-Ney
@@ -313,6 +436,25 @@ def test_kneser_ney_sums_to_one(spark):
         assert total[0] == pytest.approx(1, abs=1e-9) and total[1] > 0
 
 
+def test_every_character_is_itself(spark):
+    """Symbols can be read back, so no two characters are the same to the model."""
+    rng = random.Random(7)
+    texts = ["", "a漢b", "\U0010ffff\u0000\u3000", *("".join(chr(rng.choice([97, 0xEEF, 0xEF0, 0xFA0, 0x6F22, 0x6F82, 0x1F600])) for _ in range(rng.randrange(20))) for _ in range(30))]
+    codes, sizes = kneser_ney.grams_of(texts)
+    symbols = (codes & (kneser_ney.CLASSES - 1)).tolist()
+    at = 0
+    for t, n in zip(texts, sizes.tolist(), strict=True):
+        own, said = iter(symbols[at : at + n]), []
+        for s in own:
+            said.append(chr(s) if s < kneser_ney.PLAIN else chr((s - kneser_ney.PLAIN) << 12 | next(own)))
+        assert "".join(said) == t
+        at += n
+    good, bad = "漢字仮名交文章読書" * 30, "".join(chr(ord(c) + 96 * (1 + i % 5)) for i, c in enumerate("漢字仮名交文章読書" * 30))
+    rows = [(i, good[i:] + good[:i], "ja", "s") for i in range(40)] + [(99, bad, "ja", "s")]
+    out = kneser_ney.quality(docs(spark, rows), spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")).toPandas().set_index("doc_id")
+    assert out.keep[list(range(40))].all() and not out.keep[99]
+
+
 def kneser_ney_by_force(train, text):
     counts = [defaultdict(int) for _ in range(6)]
     for t in train:
@@ -423,7 +565,7 @@ def test_bpe(spark, odd, empty):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     enc = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    short = [r for r in ODD if r[0] != 8]  # tiktoken needs long for one long word
+    short = [*ODD, (77, "".join(random.Random(1).choice("abcdefgh") for _ in range(150_000)), "en", "s")]
     df = docs(spark, short).withColumn("block", F.lit(1)).repartition(2)
     got = bpe.encode(df, path, P.PATTERN, digests=True, block_bytes=1000)
     want = sorted((str(i), len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for i, t, _, _ in short for ids in [enc.encode_ordinary(t or "")])
@@ -431,6 +573,11 @@ def test_bpe(spark, odd, empty):
     back = bpe.decode(got, path).collect()
     assert sorted(bytes(r["bytes"]) for r in back) == sorted((t or "").encode() for _, t, _, _ in short)
     assert bpe.encode(empty, path, P.PATTERN).count() == 0
+    with pytest.raises(ValueError):
+        bpe.token_bytes(path).join(np.array([1 << 30]))
+    # Many small buckets give the same.
+    many = bpe.encode(df, path, P.PATTERN, digests=True, block_bytes=1000, bucket_bytes=2000)
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in many.collect()) == want
 
 
 def test_rank_packing():
@@ -451,15 +598,55 @@ def urls_by_force(url):
     return host, path, best[1] if best else None, best[2] if best else None
 
 
+def url_shares(host, path):
+    """Shares of hashed n-grams, by the definition of the hash: each character goes on from the hash so far."""
+    import xxhash
+
+    found = []
+    for part, text in (("h", host), ("p", path)):
+        chars = "\x02" + text + "\x03"
+        for n in url_filter.SIZES:
+            for i in range(len(chars) - n + 1):
+                h = 42
+                for s in (part, *chars[i : i + n]):
+                    h = xxhash.xxh64_intdigest(s.encode(), h)
+                found.append((h - (1 << 64) if h >> 63 else h) % url_filter.WIDTH)
+    return {k: found.count(k) / max(len(found), 1) for k in set(found)}
+
+
+def weights_by_hand(rounds=400, rate=300.0, bias=0.1):
+    """Gradient descent on the weights themselves."""
+    rows = [(line[2:], float(line[0])) for line in url_filter.LABELLED_URLS.strip().splitlines()]
+    x, y = np.zeros((len(rows), url_filter.WIDTH + 1)), np.array([r[1] for r in rows])
+    for i, (url, _) in enumerate(rows):
+        for k, share in url_shares(*urls_by_force(url)[:2]).items():
+            x[i, k] = share
+        x[i, -1] = bias
+    w = np.zeros(url_filter.WIDTH + 1)
+    for _ in range(rounds):
+        w += rate / len(rows) * x.T @ (y - 1 / (1 + np.exp(-x @ w)))
+    w[-1] *= bias
+    return w.tolist()
+
+
 def test_urls(spark):
     odd_urls = [None, "", "no scheme", "http://A.Example.ORG/en/1x?q#f", "http://example.org", "x://y.org/a://b", "http://q.com/fr/", "http://xcom/de/", "HTTP://Ä.com/de/1", "http://h.com/" + "p" * 50_000]
     urls = odd_urls + [r["url"] for r in table(spark, "pages").collect()]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").withColumn("rule", F.lit(1)).withColumn("host", F.lit("x"))
     weights = url_filter.train(url_filter.labelled_urls(spark))
+    by_hand = weights_by_hand()
+    assert weights == pytest.approx(by_hand, abs=1e-6)
     for r in url_filter.judge(df, queries.URL_RULES, weights).collect():
         host, path, rule, verdict = urls_by_force(urls[r["page_id"]])
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
-        assert r["verdict"] == (verdict or ("allow" if r["p_allow"] >= 0.5 else "block"))
+        score = 1 / (1 + math.exp(-sum(by_hand[k] * x for k, x in url_shares(host, path).items()) - by_hand[-1]))
+        assert r["p_allow"] == pytest.approx(score, abs=1e-6)
+        assert r["verdict"] == (verdict or ("allow" if score >= 0.5 else "block"))
+    # A list of any length is joined, with the same result.
+    many = [(f"{v}", h, p) for v, h, p in queries.URL_RULES] + [("block", f"h{i}.net", "/") for i in range(url_filter.MOST_INLINE)]
+    pick = ["page_id", "host", "path", "rule", "verdict"]
+    few = url_filter.judge(df, queries.URL_RULES, weights).select(pick)
+    assert sorted(map(str, url_filter.judge(df, many, weights).select(pick).collect())) == sorted(map(str, few.collect()))
     assert url_filter.judge(df.limit(0), queries.URL_RULES, weights).count() == 0
     lab = url_filter.labelled_urls(spark)
     fit = url_filter.judge(lab.withColumn("page_id", F.col("label")), [], weights).where("page_id = 1 and verdict = 'allow' or page_id = 0 and verdict = 'block'").count()
