@@ -35,6 +35,10 @@ UNLIKELY, PIECE = 3.5, 4
 LEAST_KNOWN = 4
 #: Hash bits of the counts of one, two and three characters.
 GRAM_BITS = (14, 17, 20)
+#: Letters of a word's beginnings that are features.
+BEGINNINGS = (3, 4, 5, 6)
+#: Tokens without evidence that are remembered.
+MOST_NOTHING = 150_000
 #: Feature counts that a task holds before it passes them on.
 FLUSH = 100_000
 
@@ -180,6 +184,15 @@ class Decoder:
             states[at] = (cost, path)
 
 
+def core_of(token: str) -> str:
+    """A token without punctuation around it; a single sign at the front may be a letter, runs of signs are decoration."""
+    if token.isalpha():
+        return token
+    core = token.strip(PUNCT)
+    lead = token[: len(token) - len(token.lstrip(PUNCT))]
+    return lead + core if core and lead in LEET else core
+
+
 class Restorer:
     """Restores lower-cased tokens; remembers some of them, in bounded memory.
 
@@ -204,10 +217,7 @@ class Restorer:
             return token
         if (known := self.memo.get(token)) is not None:
             return known
-        core = token.strip(PUNCT)
-        # A single sign at an edge may be a letter; runs of signs are decoration.
-        lead = token[: len(token) - len(token.lstrip(PUNCT))]
-        core = lead + core if core and lead in LEET else core
+        core = core_of(token)
         if core not in self.known and len(DOUBLED.findall(core)) > 1 and (word := self.single.get(RUN.sub(r"\1", core))):
             return self._remember(token, word)
         return self._remember(token, self.decoder.decode(core) if self.suspicious(core) else core)
@@ -320,7 +330,7 @@ class Restorer:
 
 def features_of(word: str) -> list[str]:
     """A word, and its beginnings (marked)."""
-    return [word, *(f"{word[:n]}-" for n in (3, 4, 5, 6) if len(word) > n)]
+    return [word, *(f"{word[:n]}-" for n in BEGINNINGS if len(word) > n)]
 
 
 def known_words(*tables: dict[str, float]) -> set[str]:
@@ -338,9 +348,33 @@ class Model:
         return Scorer(self, restorer or Restorer(self.counts, known_words(self.evidence)))
 
 
+def single_letters(word: str) -> str:
+    """A word with each run of a letter as one."""
+    return RUN.sub(r"\1", word)
+
+
 class Scorer:
     def __init__(self, model: Model, restorer: Restorer):
         self.model, self.memo, self.restorer = model, Memo(), restorer
+        #: Tokens that are known to have no evidence.
+        self.nothing: set[str] = set()
+        #: Words and beginnings with evidence, and the same with runs of a letter as one.
+        self.heads = {f.removesuffix("-") for f, v in model.evidence.items() if v > model.floor}
+        self.single = {single_letters(h) for h in self.heads}
+        self.first = {h[:3] for h in self.heads}
+
+    def possible(self, token: str) -> bool:
+        """Whether a token may be a word with evidence.
+
+        Decoding letters only takes repeated ones away, so a word of letters
+        begins, or is, as its single letters do.
+        """
+        if not token.isalpha():
+            return True
+        if not DOUBLED.search(token):
+            return token[:3] in self.first and (token in self.heads or any(token[:n] in self.heads for n in BEGINNINGS))
+        token = single_letters(token)
+        return token in self.single or any(token[:n] in self.single for n in range(1, 1 + max(BEGINNINGS)))
 
     def strength(self, token: str) -> tuple[str, float] | None:
         word = self.restorer.token(token)
@@ -349,13 +383,18 @@ class Scorer:
 
     def inputs(self, text: str) -> np.ndarray:
         """The strongest three words' evidence and the number of words with any."""
-        tokens, memo = self.restorer.tokens(text), self.memo
-        found: dict[str, float] = {}
-        for t in tokens:
-            if (hit := memo.get(t, 0)) == 0:
-                hit = memo.keep(t, self.strength(t), len(t))
-            if hit:
-                found[hit[0]] = hit[1]
+        found, memo, new = {}, self.memo, []
+        for t in self.restorer.tokens(text).difference(self.nothing):
+            if (hit := memo.get(t)) is None:
+                core = core_of(t)
+                if not self.possible(core) or (hit := self.strength(core)) is None:
+                    new.append(t)
+                    continue
+                memo.keep(t, hit, len(t))
+            found[hit[0]] = hit[1]
+        if len(self.nothing) + len(new) > MOST_NOTHING:
+            self.nothing.clear()
+        self.nothing.update(t for t in new if len(t) <= memo.longest)
         top = sorted(found.values(), reverse=True)[:3]
         top += [self.model.floor] * (3 - len(top))
         return np.array([*top, math.log1p(len(found)), 1.0])
