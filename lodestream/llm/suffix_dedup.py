@@ -136,7 +136,7 @@ def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Walks through the text that go on side by side.
-LANES = 4096
+LANES = 65_536
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
