@@ -114,7 +114,7 @@ def split_places(lat: np.ndarray, lon: np.ndarray, radius_km: float) -> np.ndarr
         own = np.flatnonzero(placed[a:b]) + a
         if len(own) < 2 or farthest_km(points[own], radius_km) <= radius_km:
             continue
-        jumps = _km(points[own[:-1]], points[own[1:]])
+        jumps = np.round(_km(points[own[:-1]], points[own[1:]]), 6)  # millimetres, so that equal jumps are equal everywhere
         at = int(own[1:][int(np.argmax(jumps))]) if jumps.max() > 0 else a + (b - a) // 2
         if at in (a, b):
             continue

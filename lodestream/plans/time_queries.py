@@ -63,10 +63,30 @@ def geo_largest_jump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.largest_jump(events(spark, sf_dir), ["user_id"], ["us", "event_id"])
 
 
-@REG.add()
+TRIPS_SQL = f"""WITH RECURSIVE {EVENTS_SQL}, g AS (SELECT *, us // 1000000 AS t, CASE WHEN us // 1000000 - lag(us // 1000000) OVER w > 86400 THEN 1 ELSE 0 END AS fresh FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY us // 1000000, event_id)),
+o AS (SELECT user_id, event_id, event_type, t, lat, lon, sum(fresh) OVER w AS gap_id, row_number() OVER w AS pos, lag(lat) OVER w AS la, lag(lon) OVER w AS lo FROM g WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+j AS (SELECT *, round({haversine_sql('la', 'lo', 'lat', 'lon')}, 6) AS jump FROM o),
+far AS (SELECT x.user_id, x.gap_id, x.pos AS p, y.pos AS q FROM o x JOIN o y ON x.user_id = y.user_id AND x.gap_id = y.gap_id AND x.pos < y.pos WHERE {haversine_sql('x.lat', 'x.lon', 'y.lat', 'y.lon')} > 10.0),
+seg AS (SELECT user_id, gap_id, min(pos) AS a, max(pos) + 1 AS b, 0 AS cut FROM j GROUP BY user_id, gap_id
+  UNION ALL SELECT user_id, gap_id, unnest([a, k]), unnest([k, b]), k FROM (
+    SELECT s.user_id, s.gap_id, s.a, s.b, arg_min(j.pos, (-j.jump, j.pos)) AS k FROM seg s JOIN j ON j.user_id = s.user_id AND j.pos > s.a AND j.pos < s.b
+    WHERE EXISTS (SELECT 1 FROM far f WHERE f.user_id = s.user_id AND f.gap_id = s.gap_id AND f.p >= s.a AND f.q < s.b) GROUP BY s.user_id, s.gap_id, s.a, s.b)),
+starts AS (SELECT DISTINCT user_id, a FROM seg), placed AS (SELECT j.*, (SELECT max(a) FROM starts s WHERE s.user_id = j.user_id AND s.a <= j.pos) AS part FROM j),
+cells AS (SELECT user_id, round_even(lat / 0.5::DOUBLE, 0) * 0.5::DOUBLE AS home_lat, round_even(lon / 0.5::DOUBLE, 0) * 0.5::DOUBLE AS home_lon, count(*) AS n, min((t, event_id)) AS seen FROM o GROUP BY ALL),
+home AS (SELECT user_id, home_lat, home_lon FROM cells QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, seen) = 1),
+pl AS (SELECT user_id, part, event_type AS place, count(*) AS n, min((t, event_id)) AS seen FROM placed GROUP BY ALL),
+best AS (SELECT user_id, part, place FROM pl QUALIFY row_number() OVER (PARTITION BY user_id, part ORDER BY n DESC, seen) = 1),
+c AS (SELECT user_id, part, count(*) AS photo_count, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS photo_ids, min(t) AS s, max(t) AS e, avg(({haversine_sql('lat', 'lon', 'home_lat', 'home_lon')} <= 20.0)::INT) >= 0.8 AS at_home FROM placed JOIN home USING (user_id) GROUP BY ALL),
+d AS (SELECT *, strftime(make_timestamp(s * 1000000), '%Y-%m-%d') AS start, strftime(make_timestamp(e * 1000000), '%Y-%m-%d') AS "end" FROM c)
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY s, part) AS cluster_id, CASE WHEN at_home THEN left(start, 7) ELSE start || '–' || "end" || ' ' || place END AS name, NOT at_home AS is_trip, at_home AS confirmed, photo_count, photo_ids, start, "end", place FROM d JOIN best USING (user_id, part)"""
+
+
+@REG.add(TRIPS_SQL)
 def trip_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trips of events, with radii small enough for the places to be split."""
     at = events(spark, sf_dir).select("user_id", F.col("event_id").alias("id"), F.concat(F.lit("/media/"), "event_type", F.lit(".jpg")).alias("path"), F.floor(F.col("us") / 1_000_000).alias("taken_at"), "lat", "lon", F.col("event_type").alias("place"))
-    return cluster.trip_clusters(at, ["user_id"], gap_days=1.0)
+    found = cluster.trip_clusters(at, ["user_id"], gap_days=1.0, radius_km=10.0, home_radius_km=20.0)
+    return found.drop("album").withColumn("photo_ids", F.array_join("photo_ids", ","))
 
 
 @REG.add(f"""WITH {CHUNKS_SQL}, sp AS (SELECT user_id, event_id AS seg, start - 3.0 AS s_start, start + 4.0 AS s_end FROM ck WHERE event_id % 2 = 0)
