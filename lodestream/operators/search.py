@@ -206,7 +206,8 @@ def occurrences(words: Column, term: Term, columns: list[str]) -> Column:
 
     def count(own: Column) -> Column:
         if len(term.words) > 1:
-            return F.size(_places(own, term))
+            # Bound as a lambda's variable, so that a text is split once and not for each place.
+            return F.get(F.transform(F.array(own), lambda words_: F.size(_places(words_, term))), F.lit(0))
         word = term.words[0]
         return F.size(F.filter(own, lambda x: x.startswith(word) if term.prefix else x == word))
 
