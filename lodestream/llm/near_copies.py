@@ -1,10 +1,11 @@
 """Groups of texts whose sets of five-word shingles are alike (Jaccard 0.8 or more).
 
 Candidates share a band of min-hashes. Inside a key's task a Gray-order tree
-gives the pairs within a wide SimHash distance. Small groups pass on all of
-them; large ones several disjoint forests, nearest pairs first, so that pairs
-under the similarity seldom stand in for all paths of links above it. What is
-passed on is then compared exactly, set by set.
+gives the pairs within a wide SimHash distance, and what is passed on is
+compared exactly, set by set. Small groups pass on all pairs. Large ones pass
+on some disjoint forests, nearest pairs first, and in later rounds more of them,
+but only pairs that what was found so far leaves apart: so every candidate pair
+is compared, or its texts are in one group already.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ WIDTH = 5
 BANDS, ROWS = 20, 6
 #: Bits that fingerprints of a candidate pair may differ in; 9.7 on average at the similarity, spread 2.9.
 DISTANCE = 22
-#: Rows of a task up to which all of its pairs are compared, and the forests that a larger one passes on.
-FEW, LAYERS = 64, 8
+#: Rows of a task up to which all of its pairs are passed on at once, and the forests that a larger one passes on
+#: first; each further round has as many again as GROWTH times all before.
+FEW, LAYERS, GROWTH = 64, 8, 4
 
 _RNG = np.random.default_rng(42)
 _FLIP = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
@@ -107,8 +109,13 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(tidy_task(run), "node long, set array<long>").groupBy("node").agg(F.any_value("set").alias("set"))
 
 
-def _task_links(fp: np.ndarray, n: np.ndarray, side: np.ndarray, p: int, q: int) -> list[tuple[int, int]]:
-    """One task's candidate pairs: all of a few rows, else the edges of LAYERS disjoint forests, nearest fingerprints first."""
+def _task_links(fp: np.ndarray, n: np.ndarray, side: np.ndarray, p: int, q: int, group: np.ndarray, after: int, upto: int, few: int) -> tuple[list[tuple[int, int]], bool]:
+    """One task's candidate pairs, and whether later rounds may have more.
+
+    All pairs of a few rows, in the first round. Else the edges of disjoint
+    forests, nearest fingerprints first; the forests from ``after`` to ``upto``
+    are passed on, without the pairs whose rows are of one ``group`` already.
+    """
     out, found = [], []
     if p == q:
         left = right = np.arange(len(fp))
@@ -116,42 +123,51 @@ def _task_links(fp: np.ndarray, n: np.ndarray, side: np.ndarray, p: int, q: int)
     else:
         left, right = np.flatnonzero(side == p), np.flatnonzero(side == q)
         if not (len(left) and len(right)):
-            return []
+            return [], False
         trees = GrayTree(fp[left]), GrayTree(fp[right])
     for x, y in trees[0].near(trees[1], DISTANCE):
         x, y = left[x], right[y]
         like = 5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y])
         found.append(np.stack([x[like], y[like]]).astype(np.int32))
-    if not found:
-        return []
+    if not found or (after and len(fp) <= few):
+        return [], False
     x, y = np.concatenate(found, axis=1)
-    if len(fp) <= FEW:
-        return list(zip(x.tolist(), y.tolist(), strict=True))
+    if len(fp) <= few:
+        return list(zip(x.tolist(), y.tolist(), strict=True)), False
     order = np.argsort(np.bitwise_count(fp[x] ^ fp[y]), kind="stable")
     x, y = x[order], y[order]
-    for _ in range(LAYERS):
+    for layer in range(upto):
         if not len(x):
             break
         forest, apart = Forest(len(fp)), np.bitwise_count(fp[x] ^ fp[y])
         for start, stop in zip(*(np.searchsorted(apart, np.unique(apart), side=s) for s in ("left", "right")), strict=True):
             forest.join(x[start:stop], y[start:stop])
-        out += forest.edges
+        out += [(i, j) for i, j in forest.edges if layer >= after and group[i] != group[j]]
         used = np.array([i * len(fp) + j for i, j in forest.edges], dtype=np.int64)
         left_over = ~np.isin(x.astype(np.int64) * len(fp) + y, used)
         x, y = x[left_over], y[left_over]
-    return out
+    return out, bool((group[x] != group[y]).any())
+
 
+def candidates(nodes: DataFrame, chunk: int = 1024, joined: DataFrame | None = None, after: int = 0, upto: int = LAYERS, few: int = FEW) -> DataFrame:
+    """Distinct pairs (a, b) of nodes that are to be compared in a round; a row of nulls says that there may be more.
 
-def candidates(nodes: DataFrame, chunk: int = 1024) -> DataFrame:
-    """Distinct pairs (a, b) of nodes that are to be compared; a bounded number for each node and band."""
-    rows = nodes.select("node", "fp", "n", F.posexplode("keys").alias("m", "key"))
+    ``joined`` has the groups found so far (node, component_id); then only keys
+    of many nodes in different groups are looked at again.
+    """
+    rows = nodes.select("node", "fp", "n", F.col("node").alias("group"), F.posexplode("keys").alias("m", "key"))
+    if joined is not None:
+        rows = rows.drop("group").join(joined, "node", "left").withColumn("group", F.coalesce("component_id", "node")).drop("component_id")
+        apart = rows.groupBy("m", "key").agg(F.count("*").alias("_n"), F.min("group").alias("_lo"), F.max("group").alias("_hi"))
+        rows = rows.join(apart.where((F.col("_n") > few) & (F.col("_lo") < F.col("_hi"))).select("m", "key"), ["m", "key"], "left_semi")
     tasks = split_groups(rows, ["m", "key"], "node", chunk)
-    tasks = tasks.repartition(shuffle_width(nodes.sparkSession), "m", "key", "p", "q").sortWithinPartitions("m", "key", "p", "q")
+    # By node, too: every round finds the same forests.
+    tasks = tasks.repartition(shuffle_width(nodes.sparkSession), "m", "key", "p", "q").sortWithinPartitions("m", "key", "p", "q", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
-            part = np.stack([batch.column(c).to_numpy() for c in ("m", "key", "p", "q", "side", "fp", "n", "node")]).astype(np.int64)
+            part = np.stack([batch.column(c).to_numpy() for c in ("m", "key", "p", "q", "side", "fp", "n", "node", "group")]).astype(np.int64)
             if rest is not None:
                 part = np.concatenate([rest, part], axis=1)
             last = np.flatnonzero((part[:4] != part[:4, -1:]).any(axis=0))
@@ -163,17 +179,20 @@ def candidates(nodes: DataFrame, chunk: int = 1024) -> DataFrame:
 
     def edges(part: np.ndarray) -> pa.RecordBatch:
         cuts = np.flatnonzero((part[:4, 1:] != part[:4, :-1]).any(axis=0)) + 1
-        out = []
+        out, more = [], False
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), part.shape[1]], strict=True):
             if b - a > 1:
                 node = part[7, a:b]
-                out += [(int(node[i]), int(node[j])) for i, j in _task_links(part[5, a:b].view(np.uint64), part[6, a:b], part[4, a:b], int(part[2, a]), int(part[3, a]))]
-        return pa.RecordBatch.from_arrays([pa.array([min(e) for e in out], pa.int64()), pa.array([max(e) for e in out], pa.int64())], names=["a", "b"])
+                found, left = _task_links(part[5, a:b].view(np.uint64), part[6, a:b], part[4, a:b], int(part[2, a]), int(part[3, a]), part[8, a:b], after, upto, few)
+                out += [(int(node[i]), int(node[j])) for i, j in found]
+                more |= left
+        end = [None] if more else []
+        return pa.RecordBatch.from_arrays([pa.array([min(e) for e in out] + end, pa.int64()), pa.array([max(e) for e in out] + end, pa.int64())], names=["a", "b"])
 
     return tasks.mapInArrow(tidy_task(run), "a long, b long").distinct()
 
 
-def first_of_groups(rows: DataFrame, chunk: int = 1024) -> DataFrame:
+def first_of_groups(rows: DataFrame, chunk: int = 1024, few: int = FEW, layers: int = LAYERS) -> DataFrame:
     """The least ``rank`` (a struct) of each group of near copies, in column ``first``.
 
     ``rows`` has the columns rank and text. Texts link if their sets of
@@ -183,13 +202,25 @@ def first_of_groups(rows: DataFrame, chunk: int = 1024) -> DataFrame:
     """
     marked = rows.select("rank", F.md5(F.col("text").cast("binary")).alias("mark"), "text")
     nodes = cut(sketches(marked).groupBy("node").agg(F.min("rank").alias("rank"), F.min("mark").alias("mark"), *(F.any_value(c).alias(c) for c in ("fp", "n", "keys"))))
-    pairs = cut(candidates(nodes, chunk))
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = marked.join(nodes.join(ends, "node", "left_semi").select("mark"), "mark", "left_semi")
-    sets = cut(shingle_sets(texts))
-    side = [sets.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}")) for c in ("a", "b")]
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    alike = pairs.join(side[0], "a").join(side[1], "b").where(9 * shared >= 4 * (F.size("set_a") + F.size("set_b"))).select("a", "b")
-    joined = components(alike)
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        texts = marked.join(nodes.join(ends, "node", "left_semi").select("mark"), "mark", "left_semi")
+        sets = cut(shingle_sets(texts))
+        side = [sets.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}")) for c in ("a", "b")]
+        shared = F.size(F.array_intersect("set_a", "set_b"))
+        return pairs.join(side[0], "a").join(side[1], "b").where(9 * shared >= 4 * (F.size("set_a") + F.size("set_b"))).select("a", "b")
+
+    links, joined, after, upto = None, None, 0, layers
+    while True:
+        found = cut(candidates(nodes, chunk, joined, after, upto, few))
+        pairs, more = found.where("a is not null"), found.where("a is null").count() > 0
+        if links is None or pairs.count():
+            links = alike(pairs) if links is None else links.unionByName(alike(pairs))
+            links = cut(links)
+            joined = components(links)
+        if not more:
+            break
+        after, upto = upto, GROWTH * upto
     roots = nodes.select("node", "rank").join(joined, "node", "left").groupBy(F.coalesce("component_id", "node").alias("root"))
     return roots.agg(F.min("rank").alias("first")).select("first")
