@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache, reduce
 
@@ -189,9 +190,15 @@ def _leaves(node: Term | Op) -> list[Term]:
     return [t for i, p in enumerate(node.parts) if not (node.kind == "NOT" and i) for t in _leaves(p)]
 
 
+def _fits(term: Term, i: int) -> Callable[[Column], Column]:
+    """Whether a word is the term's i-th one, or begins with it if that is its last and a prefix."""
+    word = term.words[i]
+    return lambda x: x.startswith(word) if term.prefix and i == len(term.words) - 1 else x == word
+
+
 def _places(words: Column, term: Term) -> Column:
     """Places in an array of words where a term begins."""
-    fits = lambda i: lambda x: x.startswith(term.words[i]) if term.prefix and i == len(term.words) - 1 else x == term.words[i]
+    fits = lambda i: _fits(term, i)
     every = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
     if term.near is None:
         return F.filter(every, lambda p: reduce(lambda x, y: x & y, (F.coalesce(fits(i)(F.get(words, p + i)), F.lit(False)) for i in range(len(term.words)))))
@@ -207,9 +214,9 @@ def occurrences(words: Column, term: Term, columns: list[str]) -> Column:
     def count(own: Column) -> Column:
         if len(term.words) > 1:
             # Bound as a lambda's variable, so that a text is split once and not for each place.
-            return F.get(F.transform(F.array(own), lambda words_: F.size(_places(words_, term))), F.lit(0))
-        word = term.words[0]
-        return F.size(F.filter(own, lambda x: x.startswith(word) if term.prefix else x == word))
+            there = lambda words_: reduce(lambda x, y: x & y, (F.exists(words_, _fits(term, i)) for i in range(len(term.words))))
+            return F.get(F.transform(F.array(own), lambda words_: F.when(there(words_), F.size(_places(words_, term))).otherwise(0)), F.lit(0))
+        return F.size(F.filter(own, _fits(term, 0)))
 
     return reduce(lambda x, y: x + y, (count(words[c]) for c in columns if term.column in (None, c)), F.lit(0)).cast("double")
 
