@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import cache, reduce
 
@@ -196,16 +196,25 @@ def _fits(term: Term, i: int) -> Callable[[Column], Column]:
     return lambda x: x.startswith(word) if term.prefix and i == len(term.words) - 1 else x == word
 
 
-def _places(words: Column, term: Term) -> Column:
-    """Places in an array of words where a term begins."""
-    fits = lambda i: _fits(term, i)
-    every = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
-    if term.near is None:
-        return F.filter(every, lambda p: reduce(lambda x, y: x & y, (F.coalesce(fits(i)(F.get(words, p + i)), F.lit(False)) for i in range(len(term.words)))))
-    span = term.near + len(term.words)
-    whole = lambda start: reduce(lambda x, y: x & y, (F.exists(F.slice(words, start + 1, F.lit(span)), fits(i)) for i in range(len(term.words))))
-    around = lambda p: F.sequence(F.greatest(F.lit(0), p - (span - 1)), p)
-    return F.filter(every, lambda p: fits(0)(F.get(words, p)) & F.exists(around(p), whole))
+def _all(conditions: Iterable[Column]) -> Column:
+    return reduce(lambda x, y: x & y, conditions)
+
+
+def _count_places(words: Column, term: Term) -> Column:
+    """How many places in an array of words a term of several words begins at, by the places of each of its words."""
+    n = len(term.words)
+    of = lambda i: F.filter(F.transform(words, lambda x, k: F.when(_fits(term, i)(x), k)), lambda k: k.isNotNull())
+
+    def begins(places: Column) -> Column:
+        if term.near is None:
+            return F.filter(places[0], lambda p: _all(F.array_contains(places[i], p + i) for i in range(1, n)))
+        span = term.near + n
+        whole = lambda start: _all(F.exists(places[i], lambda q: (q >= start) & (q < start + span)) for i in range(n))
+        return F.filter(places[0], lambda p: F.exists(F.flatten(places), lambda start: (start <= p) & (p < start + span) & whole(start)))
+
+    # Bound as a lambda's variable, so that the places are found once.
+    found = F.transform(F.array(F.array(*(of(i) for i in range(n)))), lambda places: F.size(begins(places)))
+    return F.get(found, F.lit(0))
 
 
 def occurrences(words: Column, term: Term, columns: list[str]) -> Column:
@@ -213,9 +222,8 @@ def occurrences(words: Column, term: Term, columns: list[str]) -> Column:
 
     def count(own: Column) -> Column:
         if len(term.words) > 1:
-            # Bound as a lambda's variable, so that a text is split once and not for each place.
-            there = lambda words_: reduce(lambda x, y: x & y, (F.exists(words_, _fits(term, i)) for i in range(len(term.words))))
-            return F.get(F.transform(F.array(own), lambda words_: F.when(there(words_), F.size(_places(words_, term))).otherwise(0)), F.lit(0))
+            # Bound, too: a text is split once and not for each word.
+            return F.get(F.transform(F.array(own), lambda words_: _count_places(words_, term)), F.lit(0))
         return F.size(F.filter(own, _fits(term, 0)))
 
     return reduce(lambda x, y: x + y, (count(words[c]) for c in columns if term.column in (None, c)), F.lit(0)).cast("double")
