@@ -44,7 +44,7 @@ def stored_or_computed(score: Column, computed: Column) -> Column:
 
 
 def mean_volume(log: Column) -> Column:
-    """The mean volume in a prober's log, in dB."""
+    """The mean volume in a prober's log, in dB. The pattern is a fixed value: it has to match the log."""
     return F.nullif(F.regexp_extract(log, r"mean_volume:\s*([-\d.]+)\s*dB", 1), F.lit("")).try_cast("double")
 
 

@@ -92,13 +92,13 @@ n AS (SELECT o_orderkey, t, (SELECT max(seq) FROM o) + row_number() OVER (ORDER
 
 
 @REG.add(ORGANIZE_SQL + """ SELECT o_orderkey, seq::BIGINT AS seq, lpad(printf('%x', seq::BIGINT), greatest(5, length(printf('%x', (SELECT max(seq) FROM n)::BIGINT)))::INT, '0') AS hex,
-strftime(make_timestamp(t * 1000000), '%Y%m%d') || '-' || lpad(printf('%x', seq::BIGINT), greatest(5, length(printf('%x', (SELECT max(seq) FROM n)::BIGINT)))::INT, '0') || '-Iceland-Trip-2024.jpg' AS name FROM n""")
+strftime(make_timestamp(t * 1000000), '%Y%m%d') || '-' || lpad(printf('%x', seq::BIGINT), greatest(5, length(printf('%x', (SELECT max(seq) FROM n)::BIGINT)))::INT, '0') || '-Harz-Hike-2031.jpg' AS name FROM n""")
 def organize_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.floor(F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1_000_000).alias("t"), F.when(F.col("o_orderkey") % 6 == 0, F.col("o_orderkey")).alias("seq"))
     n = dml.assign_sequence(o, "seq", "t", "o_orderkey")
     top = n.agg(F.max("seq").alias("top")).withColumn("_one", F.lit(1))
     at = n.withColumn("_one", F.lit(1)).join(F.broadcast(top), "_one").withColumn("hex", text.hex_sequence(F.col("seq"), F.col("top")))
-    return at.select("o_orderkey", "seq", "hex", text.organized_name(F.col("t"), F.col("hex"), F.lit("Iceland Trip 2024"), F.lit("a/b.JPG")).alias("name"))
+    return at.select("o_orderkey", "seq", "hex", text.organized_name(F.col("t"), F.col("hex"), F.lit("Harz Hike 2031"), F.lit("a/b.JPG")).alias("name"))
 
 
 @REG.add("""WITH v AS (SELECT conv_id, CASE WHEN conv_id % 5 <> 0 THEN min(left(md5(conv_id::VARCHAR), 8)) END AS shot_at, 'v' || lpad(conv_id::VARCHAR, 8, '0') AS file, count(*) AS n FROM conversations GROUP BY conv_id),

@@ -41,7 +41,7 @@ def test_scan(spark, tmp_path):
 
 
 def test_metadata(spark, tmp_path):
-    side = {"photoTakenTime": {"timestamp": "1720000000"}, "geoData": {"latitude": 64.1355, "longitude": -21.8954}}
+    side = {"photoTakenTime": {"timestamp": "1801234567"}, "geoData": {"latitude": 51.9062, "longitude": 10.4287}}
     (tmp_path / "one.jpg").write_bytes(b"x")
     (tmp_path / "one.jpg.supplemental-metadata.json").write_text("{broken")
     (tmp_path / "one.jpg.json").write_text(json.dumps(side))
@@ -51,8 +51,8 @@ def test_metadata(spark, tmp_path):
     (tmp_path / "exif.jpg").write_bytes(jpeg_with_exif("2024:01:01 00:00:01", -33.5, 151.25))
     files = media.with_sidecar(media.scan(spark, str(tmp_path), content=True), media.sidecars(spark, str(tmp_path)))
     got = {r["path"].rsplit("/", 1)[1]: (r["taken_at"], r["lat"], r["lon"]) for r in media.metadata(files).collect()}
-    assert got["one.jpg"] == (1720000000, 64.1355, -21.8954)
-    assert got["two.jpg"] == (1720000000, None, None)
+    assert got["one.jpg"] == (1801234567, 51.9062, 10.4287)
+    assert got["two.jpg"] == (1801234567, None, None)
     assert got["IMG_20240101_000000.jpg"][0] == 1704067200
     assert got["exif.jpg"] == (1704067201, pytest.approx(-33.5), pytest.approx(151.25))
     assert media.exif_of(b"\xff\xd8 Exif\0\0II") == (None, None, None) and media.exif_of(None) == (None, None, None)
@@ -73,9 +73,9 @@ def test_probe_and_places(spark):
     raw = json.dumps({"format": {"duration": "12.5", "tags": {"creation_time": "2024-01-01", "com.apple.quicktime.creationdate": ""}}})
     df = spark.createDataFrame([(raw,)], "raw string")
     assert tuple(df.select(media.probe(F.col("raw")).alias("p")).first()["p"]) == (12.5, "2024-01-01")
-    where = spark.createDataFrame([(64.14, -21.9), (1.0, 1.0)], "lat double, lon double")
-    gaz = spark.createDataFrame([(641, -219, "Reykjavik, Iceland")], "cell_lat long, cell_lon long, place string")
-    assert {r["lat"]: r["place"] for r in media.with_place(where, gaz).collect()} == {64.14: "Reykjavik, Iceland", 1.0: None}
+    where = spark.createDataFrame([(51.91, 10.4), (1.0, 1.0)], "lat double, lon double")
+    gaz = spark.createDataFrame([(519, 104, "Goslar, Germany")], "cell_lat long, cell_lon long, place string")
+    assert {r["lat"]: r["place"] for r in media.with_place(where, gaz).collect()} == {51.91: "Goslar, Germany", 1.0: None}
     listed = spark.createDataFrame([("/b.MOV", None), ("/a.Mp4", None), ("/c.mp4", "2024")], "video string, shot_at string")
     named = spark.createDataFrame([("/c.mp4", "2024")], "video string, shot_at string")
     assert [r["video"] for r in media.video_listing(named, listed).collect()] == ["/c.mp4", "/b.MOV"]
