@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestream.llm import near_copies, simhash
+from lodestream.llm import common, near_copies, simhash
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -59,6 +59,41 @@ def test_chains(spark, options):
     assert found >= want and len(found) <= len(want) + 1  # a link may be missed by all bands
 
 
+def crowd():
+    """A large group in which most pairs share bands and one in eleven is alike."""
+    rng, rows = random.Random(4), []
+    base = [f"w{i}" for i in range(60)]
+    for g in range(260):
+        words = base[:]
+        words[5 * rng.randrange(1, 12)] = f"new{g}"  # alike if it is the same word
+        rows.append((g + 1, " ".join(words)))
+    return rows
+
+
+def test_crowd_without_tables_of_all_pairs(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(near_copies, "cut", lambda df: sizes.append((out := common.cut(df)).count()) or out)
+    rows = crowd()
+    for options in ({"layers": 1}, {"layers": 1, "chunk": 60}):
+        sizes.clear()
+        got = near_copies.first_of_groups(docs(spark, rows).select(F.struct("doc_id").alias("rank"), "text"), **options)
+        assert {r["first"]["doc_id"] for r in got.collect()} == first_by_force(rows)
+        if "chunk" not in options:
+            assert max(sizes) < 50 * len(rows)  # of 33,670 pairs
+
+
+def test_blocks(spark):
+    texts = [" ".join(w) for w in ([f"w{i}" for i in range(200)], [f"w{i}" for i in range(199)], [f"v{i}" for i in range(200)], [f"w{i}" for i in range(198)])]
+    sets = [near_copies.shingles(t.encode()) for t in texts]
+    rows = [(1, k, g, near_copies._sketch(h)[0], len(h), h.view("int64").tolist()) for k, (h, g) in enumerate(zip(sets, (0, 1, 2, 0)))]
+    rows = [(*r[:3], r[3] - (1 << 64) if r[3] >> 63 else r[3], *r[4:]) for r in rows]
+    rows = spark.createDataFrame(rows, "cluster long, node long, group long, fp long, n int, set array<long>")
+    for options in ({"chunk": 100}, {"chunk": 1}, {"chunk": 100, "load": 150}):
+        found = [sorted(r) for r in near_copies.links_in_blocks(rows, **options).collect()]
+        # Only what joins groups: the unlike text stays alone, and so do pairs of one group.
+        assert found and all(e in ([0, 1], [1, 3]) for e in found)
+
+
 def first_by_force(rows):
     up = {i: i for i, _ in rows}
 
