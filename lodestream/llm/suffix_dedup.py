@@ -1,7 +1,7 @@
 """Exact substring deduplication with suffix arrays.
 
 Every window of ``length`` bytes is marked that also starts in a document with
-a smaller id. Windows are routed by the least hash of the 16-byte strings in
+a smaller id. Windows are routed by the least hash of the 32-byte strings in
 them: equal windows have equal least hashes, so only windows whose hash occurs
 in two documents can match. The stretches of such windows go to the hash's
 shard, where a suffix array of the shard's distinct stretches (refined by prefix
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from .bpe import _pack, _ragged, _unpack
 from .common import cut, release, shuffle_width, slices, texts_of, tidy_group, tidy_task
 
-GRAM = 16
+#: A multiple of 8. The longer, the fewer hashes are shared by windows that differ, and the more stretches there are.
+GRAM = 32
 LATEST = (1 << 63) - 1
 
 
@@ -48,11 +49,13 @@ def least_hashes(buf: np.ndarray, length: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         w = _words8(buf) * np.uint64(0x9E3779B97F4A7C15)
         w ^= w >> np.uint64(32)
-        h = w[:-8] + w[8:] * np.uint64(0xC2B2AE3D27D4EB4F)
+        n = max(len(buf) - GRAM + 1, 0)
+        h = w[:n]
+        for at in range(8, GRAM, 8):
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F) + w[at : at + n]
         h ^= h >> np.uint64(29)
         h *= np.uint64(0x165667B19E3779F9)
         h >>= np.uint64(16)
-    h = h[: max(len(buf) - GRAM + 1, 0)]
     span, have = length - GRAM + 1, 1
     while have < span:  # minimum over 1, 2, 4, ... places
         step = min(have, span - have)
@@ -250,9 +253,8 @@ def removed(first: np.ndarray, begin: np.ndarray, sizes: np.ndarray, which: np.n
     whole = np.flatnonzero(high < own)
     out = [(whole, np.zeros(len(whole), np.int64), sizes[which[whole]] - 1)]
     some = np.flatnonzero((low < own) & (high >= own))
-    step = max(1, most // int(sizes.max(initial=1)))
-    for at in range(0, len(some), step):
-        occ = some[at : at + step]
+    at = np.cumsum(sizes[which[some]]) // most
+    for occ in np.split(some, np.flatnonzero(np.diff(at)) + 1) if len(some) else ():
         n = sizes[which[occ]]
         hit = _ragged(first, begin[which[occ]], n) < np.repeat(own[occ], n)
         row = np.repeat(np.arange(len(occ)), n)
@@ -263,6 +265,24 @@ def removed(first: np.ndarray, begin: np.ndarray, sizes: np.ndarray, which: np.n
     return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
 
 
+def verdicts_by_part(rows: list[dict], first: np.ndarray, begin: np.ndarray, windows: np.ndarray) -> list[tuple]:
+    """(part, documents, first windows, further windows) that go, of a shard's rows; ``first`` is gone through once for all parts."""
+    ends = np.cumsum([len(r["at"]) for r in rows])
+    occ, a, b = removed(first, begin, windows, *(np.concatenate([r[c] for r in rows]) for c in ("at", "of")))
+    # What a part gets stays together.
+    move = np.argsort(occ, kind="stable")
+    occ, a, b = occ[move], a[move], b[move]
+    cuts = np.searchsorted(occ, ends)
+    out = []
+    for r, end, i, j in zip(rows, ends.tolist(), [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+        if i < j:
+            own = occ[i:j] - (end - len(r["at"]))
+            doc, start = _unpack(r["docs"])[_unpack(r["doc"])].astype(np.int64)[own], _unpack(r["start"]).astype(np.int64)[own] + a[i:j]
+            order = np.lexsort((start, doc))
+            out.append((r["part"], _pack(np.diff(doc[order], prepend=0)), _pack(start[order]), _pack((b - a)[i:j][order])))
+    return out
+
+
 class _Part:
     """The texts of one part, and their stretches."""
 
@@ -444,13 +464,7 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         pieces = [p for _, p in number]
         first, begin = least_documents(pieces, np.array([h for h, _ in number], dtype=np.uint64), np.array(least, dtype=np.int64), length, array_bytes)
         windows = np.fromiter((len(p) - length + 1 for p in pieces), dtype=np.int64, count=len(pieces))
-        out = []
-        for r in rows_:
-            occ, a, b = removed(first, begin, windows, r["at"], r["of"])
-            if len(occ):
-                doc, start = _unpack(r["docs"])[_unpack(r["doc"])].astype(np.int64)[occ], _unpack(r["start"]).astype(np.int64)[occ] + a
-                order = np.lexsort((start, doc))
-                out.append((r["part"], _pack(np.diff(doc[order], prepend=0)), _pack(start[order]), _pack((b - a)[order])))
+        out = verdicts_by_part(rows_, first, begin, windows)
         return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "doc", "start", "more"])
 
     ddl = ", ".join(f"{n} {'long' if t == pa.int64() else 'binary'}" for n, t in SEGMENTS)

@@ -543,6 +543,51 @@ def test_repeats_in_tables(spark, empty):
     assert suffix_dedup.mark_repeats(empty).count() == 0
 
 
+def test_last_window_of_an_array():
+    """What stands after the last window in the array isn't compared with it."""
+    pieces = [b"a" * 10 + b"y" * 50, b"b" * 10 + b"y" * 50 + b"z" * 3]
+    pieces = [pieces[0], pieces[1][:60]]
+    pieces += [b"zzzzz" + b"c" * 50]
+    for text in (pieces, [b"m" * 49 + b"z", b"n" * 4 + b"m" * 49 + b"z", b"z" * 49 + b"!"]):
+        least = np.arange(1, len(text) + 1, dtype=np.int64)
+        array = suffix_dedup.Array(text, least, 50)
+        seen = {}
+        for k, t in enumerate(text):
+            for i in range(len(t) - 49):
+                seen.setdefault(t[i : i + 50], k + 1)
+        assert array.windows().tolist() == [seen[t[i : i + 50]] for t in text for i in range(len(t) - 49)]
+
+
+def test_shard_is_gone_through_once(monkeypatch):
+    """The work of a shard doesn't grow with its parts times its windows, nor by a long stretch among many short ones."""
+    rng = np.random.default_rng(5)
+    windows = np.concatenate([[1 << 20], rng.integers(1, 30, 3000)])
+    begin = np.cumsum(windows) - windows
+    first = rng.integers(0, 60, windows.sum())
+    rows = []
+    for k in range(40):
+        at = rng.integers(1, 3001, 100)
+        docs = np.unique(rng.integers(0, 50, 100))
+        rows.append({"part": k, "at": at, "of": np.full(100, 30 + k % 3), "docs": suffix_dedup._pack(docs), "doc": suffix_dedup._pack(rng.integers(0, len(docs), 100)), "start": suffix_dedup._pack(np.arange(100) * 1000)})
+    calls, whole = [], suffix_dedup._ragged
+    monkeypatch.setattr(suffix_dedup, "_ragged", lambda *a: calls.append(1) or whole(*a))
+    got = {part: sorted(zip(np.cumsum(suffix_dedup._unpack(d).astype(int)).tolist(), suffix_dedup._unpack(s).tolist(), suffix_dedup._unpack(m).tolist())) for part, d, s, m in suffix_dedup.verdicts_by_part(rows, first, begin, windows)}
+    assert len(calls) == 1
+    for r in rows:
+        want = []
+        docs = suffix_dedup._unpack(r["docs"])[suffix_dedup._unpack(r["doc"])]
+        for doc, at, own, start in zip(docs.tolist(), r["at"].tolist(), r["of"].tolist(), suffix_dedup._unpack(r["start"]).tolist()):
+            gone = [*(first[begin[at] : begin[at] + windows[at]] < own), False]
+            since = None
+            for i, g in enumerate(gone):
+                if g and since is None:
+                    since = i
+                elif not g and since is not None:
+                    want.append((doc, start + since, i - 1 - since))
+                    since = None
+        assert got.get(r["part"], []) == sorted(want)
+
+
 def test_suffix_order():
     rng = np.random.default_rng(6)
     text = rng.integers(97, 99, 700).astype(np.uint8)
