@@ -193,7 +193,7 @@ class Array:
         shared = common_prefixes(self.text, order, length)
         # Suffixes that aren't windows fall out; neighbours that are left share the least of what stood between them.
         left = np.flatnonzero(window[order])
-        shared = np.minimum.reduceat(shared, np.concatenate([[0], left[:-1] + 1]))
+        shared = np.minimum.reduceat(shared[: left[-1] + 1], np.concatenate([[0], left[:-1] + 1]))
         order = order[left]
         group = np.cumsum(shared < length)
         new = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
