@@ -30,8 +30,9 @@ WIDTH = 5
 BANDS, ROWS = 20, 6
 #: Bits that fingerprints of a candidate pair may differ in; 9.7 on average at the similarity, spread 2.9.
 DISTANCE = 22
-#: Rows of a task up to which all of its pairs are passed on, and the forests that a larger one passes on.
-FEW, LAYERS = 64, 8
+#: Rows of a task up to which all of its pairs go through joins, and the forests of a larger one that do. Blocks compare
+#: whatever is left over, so these decide only where a pair is compared, not whether.
+FEW, LAYERS = 16, 0
 #: Shingles that each side of a block has at most, or so.
 LOAD = 1 << 20
 
