@@ -35,6 +35,8 @@ UNLIKELY, PIECE = 3.5, 4
 LEAST_KNOWN = 4
 #: Hash bits of the counts of one, two and three characters.
 GRAM_BITS = (14, 17, 20)
+#: Characters of which grams are counted at a time.
+PLACES = 1 << 16
 #: Letters of a word's beginnings that are features.
 BEGINNINGS = (3, 4, 5, 6)
 #: Tokens without evidence that are remembered.
@@ -66,6 +68,18 @@ def _gram_cells(x: np.ndarray) -> list[np.ndarray]:
         return [((h ^ (h >> np.uint64(32))) * mix[0] >> np.uint64(64 - b)).astype(np.int64) for h, b in zip((one, two, three), GRAM_BITS, strict=True)]
 
 
+def _add_grams(total: list[np.ndarray], codes: np.ndarray) -> None:
+    """Add the counts of a text's code points; PLACES at a time, since the arrays of a step are many times as large as its text."""
+    table, last, before = _letters(), np.uint64(0), np.zeros(2, np.uint64)
+    for at in range(0, len(codes), PLACES):
+        x = table[codes[at : at + PLACES]]
+        x, last = x[(x != 0) | (np.concatenate([[last], x[:-1]]) != 0)], x[-1]  # one boundary between words
+        x = np.concatenate([before, x])
+        for counts, cells in zip(total, _gram_cells(x), strict=True):
+            np.add.at(counts, cells, 1)
+        before = x[-2:]
+
+
 def count_grams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[np.ndarray]:
     """Counts of characters, pairs and triples of all texts, hashed to fixed sizes.
 
@@ -75,14 +89,10 @@ def count_grams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = [np.zeros(1 << b, dtype=np.int64) for b in GRAM_BITS]
-        table = _letters()
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 text = "\n\n".join(["", *(t.lower() for t in part.column("text").to_pylist() if t), "x"])
-                x = table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-                x = x[(x[np.maximum(np.arange(len(x)) - 1, 0)] != 0) | (x != 0)]  # one boundary between words
-                for k, cells in enumerate(_gram_cells(np.concatenate([np.zeros(2, np.uint64), x]))):
-                    total[k] += np.bincount(cells, minlength=1 << GRAM_BITS[k])
+                _add_grams(total, np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32))
         for k, counts in enumerate(total):
             some = np.flatnonzero(counts)
             for a in range(0, len(some), 50_000):

@@ -231,6 +231,58 @@ def test_toxicity(spark, odd, empty):
     assert 0 < toxicity.score(odd, nothing).first()["score"] < 1
 
 
+def gram_task(monkeypatch):
+    """What a task of count_grams does with its batches."""
+
+    class Caught(Exception):
+        pass
+
+    class Rows:
+        def mapInArrow(self, run, ddl):
+            raise Caught(run)
+
+    monkeypatch.setattr(toxicity, "bare", lambda *a: Rows())
+    with pytest.raises(Caught) as caught:
+        toxicity.count_grams(None)
+    return caught.value.args[0]
+
+
+def test_grams_in_little_memory(monkeypatch):
+    """A task that counts grams takes a few times the size of the text that it works on, beside its counts of 10 MB."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    run, rng = gram_task(monkeypatch), random.Random(4)
+    text = " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(150_000))
+    batch = pa.RecordBatch.from_pydict({"text": [text[at : at + 5_000] for at in range(0, len(text), 5_000)]})
+    toxicity._letters()
+    tracemalloc.start()
+    assert sum(b.num_rows for b in run(iter([batch]))) > 1000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 45e6
+
+
+@pytest.mark.parametrize("places", [1, 2, 3, 7, 1 << 16])
+def test_grams_by_force(monkeypatch, places):
+    import pyarrow as pa
+
+    monkeypatch.setattr(toxicity, "PLACES", places)
+    texts = ["Abba, 12 b--c", None, "", "  ", "x", "\U0001f600 \u00c9t\u00e9 a\n"]
+    got = {}
+    for b in gram_task(monkeypatch)(iter([pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})])):
+        got |= {(k, cell): n for k, cell, n in zip(*(b.column(c).to_pylist() for c in ("k", "cell", "n")), strict=True)}
+    joined = "\n\n".join(["", *(t.lower() for t in texts if t), "x"])
+    letters = [ord(c) if c.isalpha() else 0 for c in joined]
+    letters = [0, 0, *(c for i, c in enumerate(letters) if c or (i and letters[i - 1]))]
+    want = defaultdict(int)
+    for i in range(2, len(letters)):
+        for k, cells in enumerate(toxicity._gram_cells(np.array(letters[i - 2 : i + 1], dtype=np.uint64))):
+            want[k, int(cells[0])] += 1
+    assert got == dict(want)
+
+
 def test_decoder_against_all_readings():
     """The cost of the decoded text is the least of all ways through the lattice, found by trying every one."""
     rng = np.random.default_rng(5)
