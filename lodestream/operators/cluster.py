@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,23 +106,103 @@ def spread_km(df: DataFrame, keys: list[str], lat: str = "lat", lon: str = "lon"
     return places.groupBy(*keys).applyInPandas(run, T.StructType([*(places.schema[k] for k in keys), T.StructField("spread_km", T.DoubleType())]))
 
 
-def split_places(lat: np.ndarray, lon: np.ndarray, radius_km: float) -> np.ndarray:
-    """Segment number of each row of one time group: while a segment spreads over more than the radius, cut it before its first longest jump."""
-    out, cuts, todo = np.zeros(len(lat), dtype=np.int64), [], [(0, len(lat))]
-    points = np.stack([lat, lon], axis=1)
-    placed = ~np.isnan(points).any(axis=1)
+def last_far(points: np.ndarray, radius_km: float, leaf: int = 32, few: int = 128) -> np.ndarray:
+    """For each point the position of the last one before it that is over the radius away, or -1.
+
+    Equal points are one place. A box of places that is out of a place's reach as a
+    whole counts by its last position, one in reach falls out, another is split.
+    A ``few`` points are compared directly.
+    """
+    places, at = np.unique(points, axis=0, return_inverse=True)
+    at, out = at.reshape(-1), np.full(len(points), -1, dtype=np.int64)
+    if len(points) <= few:
+        far = (_km(places[:, None], places[None]) > radius_km)[at[:, None], at]
+        return np.where(np.tril(far, -1), np.arange(len(points)), -1).max(axis=1, initial=-1)
+    order = np.argsort(at, kind="stable")
+    first = np.searchsorted(at[order], np.arange(len(places) + 1))
+    xyz, chord = _on_sphere(places), 2 * math.sin(min(radius_km / geo.EARTH_KM, math.pi) / 2)
+
+    def positions(own: np.ndarray) -> np.ndarray:
+        n = first[own + 1] - first[own]
+        return order[np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+    def pass_on(asked: np.ndarray, own: np.ndarray) -> None:
+        rows, seen = positions(asked), np.sort(positions(own))
+        before = np.searchsorted(seen, rows)
+        out[rows] = np.maximum(out[rows], np.where(before > 0, seen[before - 1], -1))
+
+    todo = [(np.arange(len(places)), np.arange(len(places)))]
     while todo:
-        a, b = todo.pop()
-        own = np.flatnonzero(placed[a:b]) + a
-        if len(own) < 2 or farthest_km(points[own], radius_km) <= radius_km:
+        own, asked = todo.pop()
+        if len(own) <= leaf:
+            for i in range(len(own)):
+                far = asked[_km(places[own[i]], places[asked]) > radius_km]
+                if len(far):
+                    pass_on(far, own[i : i + 1])
             continue
-        jumps = np.round(_km(points[own[:-1]], points[own[1:]]), 6)  # millimetres, so that equal jumps are equal everywhere
-        at = int(own[1:][int(np.argmax(jumps))]) if jumps.max() > 0 else a + (b - a) // 2
-        if at in (a, b):
+        low, high, x = xyz[own].min(axis=0), xyz[own].max(axis=0), xyz[asked]
+        least = np.sqrt((np.maximum(0.0, np.maximum(low - x, x - high)) ** 2).sum(axis=1))
+        most = np.sqrt((np.maximum(x - low, high - x) ** 2).sum(axis=1))
+        far = least > chord + 1e-9
+        if far.any():
+            pass_on(asked[far], own)
+        asked = asked[~far & (most > chord - 1e-9)]
+        if len(asked):
+            todo += [(half, asked) for half in np.array_split(own[np.argsort(xyz[own, int((high - low).argmax())], kind="stable")], 2)]
+    return out
+
+
+def split_places(lat: np.ndarray, lon: np.ndarray, radius_km: float, starts: Sequence[int] = (0,), few: int = 128) -> np.ndarray:
+    """Segment number of each row of time groups that begin at ``starts``: while a segment spreads over more than the radius, cut it before its first longest jump.
+
+    Numbers go on from group to group, whose starts aren't counted. From where
+    each row's reach ends it is known whether any segment is too wide, and the
+    jumps are a tree with the first longest on top, so nothing is gone through again for each cut.
+    """
+    points = np.stack([lat, lon], axis=1)
+    own = np.flatnonzero(~np.isnan(points).any(axis=1))
+    points, edges, cuts = points[own], [*starts, len(lat)], []
+    firsts = np.searchsorted(own, edges)
+    jumps = np.zeros(len(own))
+    jumps[1:] = np.round(_km(points[:-1], points[1:]), 6)  # millimetres, so that equal jumps are equal everywhere
+    far, p = [], 0
+    for q, end in zip(firsts[1:].tolist(), [*firsts[2:].tolist(), None], strict=True):
+        if end is None or end - p > few:  # small neighbouring groups are looked at together
+            far.append(last_far(points[p:q], radius_km, few=few))
+            far[-1][far[-1] >= 0] += p
+            p = q
+    far = np.concatenate(far)
+    inside = np.flatnonzero(far >= np.repeat(firsts[:-1], np.diff(firsts)))
+    reach = np.full(len(own), len(own))  # the first row that is too far from this one or from one between them
+    np.minimum.at(reach, far[inside], inside)
+    reach = np.minimum.accumulate(reach[::-1])[::-1].tolist()
+    own_rows, jump = own.tolist(), jumps.tolist()
+    for a, b, p, q in zip(edges, edges[1:], firsts.tolist(), firsts[1:].tolist(), strict=False):
+        if p == q or reach[p] >= q:
             continue
-        cuts.append(at)
-        todo += [(a, at), (at, b)]
-    out[np.array(sorted(cuts), dtype=np.int64)] = 1
+        left, right, open_ = {}, {}, []
+        for k in range(p + 1, q):
+            below = None
+            while open_ and jump[open_[-1]] < jump[k]:
+                below = open_.pop()
+            left[k] = below
+            if open_:
+                right[open_[-1]] = k
+            open_.append(k)
+        todo = [(a, b, p, q, open_[0])]
+        while todo:
+            a, b, p, q, k = todo.pop()
+            if p == q or reach[p] >= q:
+                continue
+            if jump[k] > 0:
+                at, m, parts = own_rows[k], k, (left[k], right.get(k))
+            else:  # all jumps are rounded to none: the middle row
+                at, parts = a + (b - a) // 2, (k, k)
+                m = int(np.searchsorted(own, at))
+            cuts.append(at)
+            todo += [(a, at, p, m, parts[0]), (at, b, m, q, parts[1])]
+    out = np.zeros(len(lat), dtype=np.int64)
+    out[np.array(cuts, dtype=np.int64)] = 1
     return np.cumsum(out)
 
 
@@ -143,31 +225,49 @@ def trip_clusters(photos: DataFrame, keys: list[str], gap_days: float = 3.0, rad
     loose = at.where("album is null and taken_at is not null")
     grouped = gap_sessions(loose, keys, F.col("taken_at"), gap_days * 86_400, ["id"], "gap_id")
 
-    def split(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["gap_id", "taken_at", "id"], kind="stable").reset_index(drop=True)
-        lat, lon, segment = g["lat"].to_numpy(dtype=float), g["lon"].to_numpy(dtype=float), np.zeros(len(g), dtype=np.int64)
-        starts = np.flatnonzero(np.diff(g["gap_id"].to_numpy(), prepend=-1)).tolist()
-        for a, b in zip(starts, [*starts[1:], len(g)], strict=True):
-            segment[a:b] = split_places(lat[a:b], lon[a:b], radius_km)
-        return g.assign(segment=segment)
+    by = Window.partitionBy(*keys).orderBy("taken_at", "id")
+    grouped = grouped.withColumn("_row", F.row_number().over(by)).withColumn("_fresh", F.lag("gap_id").over(by).isNull() | (F.lag("gap_id").over(by) != F.col("gap_id")))
+
+    def cut(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = pa.Table.from_batches(held)
+        lat, lon = (g[c].cast(pa.float64()).to_numpy() for c in ("lat", "lon"))
+        starts = np.flatnonzero(g["_fresh"].to_numpy()).tolist()
+        segment = pa.array(split_places(lat, lon, radius_km, starts), pa.int64())
+        return iter(g.drop_columns(["_row", "_fresh"]).append_column("segment", segment).to_batches())
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []  # what may go on in the next batch: the last time group
+        for batch in batches:
+            fresh = np.flatnonzero(batch["_fresh"].to_numpy(zero_copy_only=False))
+            last = int(fresh[-1]) if len(fresh) else 0
+            if len(fresh) and (held or last):
+                yield from cut([*held, batch.slice(0, last)])
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield from cut(held)
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([*grouped.schema.fields, T.StructField("segment", T.LongType())])
-    # Some neighbouring time groups share a call, since most are small.
-    timed = grouped.groupBy(*keys, F.floor(F.col("gap_id") / 64)).applyInPandas(split, schema)
-    timed = timed.withColumn("kind", F.lit(1)).withColumn("part", F.format_string("%012d-%06d", "gap_id", "segment")).drop("gap_id", "segment")
+    schema = T.StructType([*(f for f in grouped.schema.fields if f.name not in ("_row", "_fresh")), T.StructField("segment", T.LongType())])
+    # Many time groups share a call, since most are small and a call for each costs more than its rows.
+    timed = grouped.repartition(*keys).sortWithinPartitions(*keys, "_row").mapInArrow(split, schema)
+    timed = timed.withColumn("kind", F.lit(1)).withColumn("part", F.format_string("%012d-%012d", "gap_id", "segment")).drop("gap_id", "segment")
     undated = at.where("album is null and taken_at is null").withColumn("kind", F.lit(2)).withColumn("part", F.lit(""))
     homes = home_cell(photos, keys=keys)
     rows = albums.unionByName(timed).unionByName(undated).join(homes, keys, "left")
-    first = F.min(F.struct("taken_at", "id"))
-    place = rows.where("place is not null and place <> ''").groupBy(*keys, "kind", "part", "place").agg(F.count("*").alias("n"), first.alias("first"))
-    place = place.where("kind < 2").groupBy(*keys, "kind", "part").agg(F.min_by("place", F.struct((-F.col("n")).alias("n"), "first")).alias("place"))
-    out = rows.groupBy(*keys, "kind", "part").agg(
-        F.first("album").alias("album"), F.count("*").alias("photo_count"), F.array_sort(F.collect_list("id")).alias("photo_ids"),
-        F.min("taken_at").alias("_start"), F.max("taken_at").alias("_end"), home_share(F.col("lat"), F.col("lon"), F.col("home_lat"), F.col("home_lon"), home_radius_km).alias("_share"),
+    near = F.when(F.col("lat").isNotNull(), (geo.haversine_km(F.col("lat"), F.col("lon"), F.col("home_lat"), F.col("home_lon")) <= home_radius_km).cast("double"))
+    rows = rows.withColumn("_near", near)
+    # By place first, then by part, in one pass: two groupings of the rows would split all of them twice.
+    per = rows.groupBy(*keys, "kind", "part", "place").agg(
+        F.first("album").alias("album"), F.count("*").alias("n"), F.min(F.struct("taken_at", "id")).alias("first"), F.collect_list("id").alias("ids"),
+        F.min("taken_at").alias("_start"), F.max("taken_at").alias("_end"), F.sum("_near").alias("_near"), F.count("_near").alias("_placed"),
+    )
+    named = F.when((F.col("kind") < 2) & (F.col("place") != ""), F.struct((-F.col("n")).alias("n"), "first"))
+    out = per.groupBy(*keys, "kind", "part").agg(
+        F.first("album").alias("album"), F.sum("n").alias("photo_count"), F.array_sort(F.flatten(F.collect_list("ids"))).alias("photo_ids"), F.min("_start").alias("_start"), F.max("_end").alias("_end"),
+        F.try_divide(F.sum("_near"), F.sum("_placed")).alias("_share"), F.min_by("place", named).alias("place"),
     )
-    out = out.join(place, [*keys, "kind", "part"], "left")
     trip = (F.col("kind") == 0) | ((F.col("kind") == 1) & ~F.coalesce(F.col("_share") >= 0.8, F.lit(False)))
     days = F.concat(dates.day_text(F.col("_start")), F.lit("–"), dates.day_text(F.col("_end")))
     name = F.when(F.col("kind") == 0, F.col("album")).when(F.col("kind") == 2, "no-date").when(trip, F.concat_ws(" ", days, "place")).otherwise(dates.month_text(F.col("_start")))

@@ -48,6 +48,52 @@ def test_split_places():
     assert cluster.split_places(lat[:3], lon[:3], 50).tolist() == [0, 0, 0]
 
 
+def whole_rule(lat, lon, radius_km):
+    """The rule of split_places with all pairs of every segment."""
+    todo, cuts, points = [(0, len(lat))], np.zeros(len(lat), dtype=int), np.stack([lat, lon], axis=1)
+    while todo:
+        a, b = todo.pop()
+        own = a + np.flatnonzero(~np.isnan(points[a:b]).any(axis=1))
+        if len(own) > 1 and cluster._km(points[own, None], points[None, own]).max() > radius_km:
+            at = int(own[1:][np.argmax(np.round(cluster._km(points[own[:-1]], points[own[1:]]), 6))])
+            cuts[at] = 1
+            todo += [(a, at), (at, b)]
+    return np.cumsum(cuts)
+
+
+def test_split_places_of_groups():
+    rng = np.random.default_rng(5)
+    for few in (0, 30, 128):
+        for points in (np.round(rng.normal(0, 0.1, (240, 2)), 2), np.cumsum(rng.normal(0, 0.02, (240, 2)), axis=0), np.stack([rng.integers(0, 5, 240) * 0.05, rng.integers(0, 3, 240) * 0.03], axis=1)):
+            lat, lon, starts = points[:, 0] + 40, points[:, 1] + 10, [0, 3, 90, 91, 200]
+            lat[rng.random(240) < 0.1] = np.nan
+            got = cluster.split_places(lat, lon, 10.0, starts, few)
+            for a, b in zip(starts, [*starts[1:], 240], strict=True):
+                assert (got[a:b] - got[a] == whole_rule(lat[a:b], lon[a:b], 10.0)).all()
+
+
+def test_split_places_work_grows_with_rows(monkeypatch):
+    pairs, km = [], cluster._km
+    monkeypatch.setattr(cluster, "_km", lambda a, b: pairs.append(km(a, b)) or pairs[-1])
+    work = []
+    for n in (500, 4000):
+        rng, pairs[:] = np.random.default_rng(5), []
+        cluster.split_places(37 + rng.integers(0, 5, n) * 0.05, -122 + rng.integers(0, 3, n) * 0.03, 10.0)
+        work.append((sum(np.size(x) for x in pairs), len(pairs)))
+    assert work[1][0] <= 10 * work[0][0] and work[1][1] <= 2 * work[0][1]
+
+
+def test_trip_clusters_in_small_batches(spark):
+    rows = [(f"u{i % 3}", i, "/x/a.jpg", T0 + i * DAY // 4 + i // 40 * 5 * DAY, 12.9 + i % 4 * 0.3, 77.6, "x") for i in range(160)]
+    photos = spark.createDataFrame(rows, "u string, id long, path string, taken_at long, lat double, lon double, place string")
+    want = sorted(map(str, cluster.trip_clusters(photos, ["u"]).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert sorted(map(str, cluster.trip_clusters(photos, ["u"]).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_home(spark):
     df = spark.createDataFrame([(i, T0 + i, 12.9, 77.6) for i in range(3)] + [(9, T0 + 9, 51.9, 10.4)], "id long, taken_at long, lat double, lon double")
     assert tuple(cluster.home_cell(df).first()) == (13.0, 77.5)
