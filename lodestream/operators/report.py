@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
+from .dml import numbered
 
 
 def trip_summary(clusters: DataFrame, photos: DataFrame, scenes: DataFrame) -> DataFrame:
@@ -30,14 +31,24 @@ def estimated_gb(files: DataFrame, keys: list[str], order: str, first: int = 15)
     return at.select(*keys, F.round(F.col("s") / F.greatest(F.lit(1), F.least(F.lit(first), F.col("n"))) * F.col("n") / 1e9, 6).alias("raw_gb"))
 
 
+#: Parts that the rows of a cluster are dealt to when they meet its name.
+NAME_PARTS = 32
+
+
 def recommendation_lines(photos: DataFrame, names: DataFrame) -> DataFrame:
-    """(cluster, pos, line): Markdown table rows of described photos by cluster, by time (nulls last) and id."""
-    at = photos.join(names.select(F.col("id").alias("cluster_id"), F.col("name").alias("_n")), "cluster_id", "left")
-    cluster = F.when(F.coalesce("cluster_id", F.lit(0)) == 0, "unclustered").otherwise(F.coalesce("_n", F.concat(F.lit("cluster-"), F.col("cluster_id").cast("string"))))
+    """(cluster, pos, line): Markdown table rows of described photos by cluster, by time in seconds (nulls last) and id.
+
+    Lines are made before rows move, so that whole captions stay behind. A large
+    cluster's rows are dealt to parts, and numbered from counts per minute.
+    """
     cell = lambda c: F.coalesce(F.col(c), F.lit(""))
     line = F.concat(F.lit("| "), F.concat_ws(" | ", F.col("id").cast("string"), text.base_name(F.col("path")), cell("quality"), cell("scene"), cell("people"), text.shorten(F.col("caption"), 80), F.when(F.col("flagged") == 1, "yes").otherwise("")), F.lit(" |"))
-    pos = F.row_number().over(Window.partitionBy("cluster").orderBy(F.col("taken_at").asc_nulls_last(), "id"))
-    return at.withColumn("cluster", cluster).select("cluster", pos.alias("pos"), line.alias("line"))
+    rows = photos.select("cluster_id", "taken_at", "id", line.alias("line"), F.pmod(F.xxhash64("id"), F.lit(NAME_PARTS)).alias("_part"))
+    parts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(NAME_PARTS - 1).cast("bigint")))
+    at = rows.join(names.select(F.col("id").alias("cluster_id"), F.col("name").alias("_n"), parts.alias("_part")), ["cluster_id", "_part"], "left")
+    cluster = F.when(F.coalesce("cluster_id", F.lit(0)) == 0, "unclustered").otherwise(F.coalesce("_n", F.concat(F.lit("cluster-"), F.col("cluster_id").cast("string"))))
+    at = at.select(cluster.alias("cluster"), "taken_at", "id", "line")
+    return numbered(at, "pos", F.floor(F.col("taken_at") / 60), "taken_at", "id", ["cluster"]).select("cluster", F.col("pos").cast("int").alias("pos"), "line")
 
 
 def flag_counts(photos: DataFrame) -> DataFrame:

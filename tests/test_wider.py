@@ -281,3 +281,28 @@ def test_frame_scores(spark, tmp_path):
         g["video"], g["gt_score"] = np.array([f["name"].ref], dtype=h5py.ref_dtype), np.array([f["score"].ref], dtype=h5py.ref_dtype)
     spark.dataSource.register(documents.FrameScores)
     assert tuple(spark.read.format("frame_scores").load(path=str(tmp_path / "f.h5")).first()) == ("v1", [0.5, 1.0])
+
+
+def test_recommendation_lines(spark, monkeypatch):
+    monkeypatch.setattr(dml, "ID_RANGE", 8)
+    rows = [(i, f"/p/{i}.jpg", None if i % 7 == 0 else 30 * (i * 37 % 50), (0, 1, 1, 1, 2, None)[i % 6], "good", None, None, "long " * 40, i % 2) for i in range(120)]
+    photos = spark.createDataFrame(rows, "id long, path string, taken_at long, cluster_id long, quality string, scene string, people string, caption string, flagged int")
+    got = report.recommendation_lines(photos, spark.createDataFrame([(1, "Alps"), (3, "Goslar")], "id long, name string"))
+    want = {}
+    for r in sorted(rows, key=lambda r: (r[2] is None, r[2], r[0])):
+        lines = want.setdefault({0: "unclustered", None: "unclustered", 1: "Alps"}.get(r[3], "cluster-2"), [])
+        lines.append(f"| {r[0]} | {r[0]}.jpg | good |  |  | {r[7][:80]} | {'yes' if r[8] else ''} |")
+    assert sorted(map(tuple, got.collect())) == sorted((c, i, line) for c, lines in want.items() for i, line in enumerate(lines, 1))
+    assert got.schema["pos"].dataType.simpleString() == "int"
+
+
+def test_recommendation_lines_leave_captions_behind(spark):
+    photos = spark.range(40).selectExpr("id", "'/p/x' AS path", "id AS taken_at", "id % 2 AS cluster_id", "'' AS quality", "'' AS scene", "'' AS people", "repeat(string(id), 999) AS caption", "0 AS flagged").repartition(2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = report.recommendation_lines(photos, spark.createDataFrame([(1, "Alps")], "id long, name string"))
+        plan = spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = [b for b in plan.split("\n\n") if " Exchange" in b.split("Input")[0] and "RoundRobin" not in b]
+    assert moved and not any("caption#" in b for b in moved)
